@@ -6,19 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality_classifier, quality_rules, simhash, toxicity
+from . import exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_dropout, simhash, substring_dedup, toxicity
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, toxicity.learn(docs, labels))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_report(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_dropout.sentencepiece_report(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.quality_scores(docs, quality_classifier.train(docs, labels))
@@ -32,6 +52,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op6_simhash_near_dedup, op8_quality_classifier, op9_exact_dedup, op10_quality_rules)}
+_ALL = (
+    op1_line_dedup, op2_toxicity, op3_lm_scoring, op4_substring_dedup, op5_source_mixing,
+    op6_simhash_near_dedup, op7_sentencepiece, op8_quality_classifier, op9_exact_dedup, op10_quality_rules,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}

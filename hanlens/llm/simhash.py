@@ -152,33 +152,26 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def link_dense(forest: Forest, fps: np.ndarray, members: np.ndarray) -> None:
-    """Unite all members within ``MOST_BITS``: along sorted orders first, then class against the rest."""
-    own = fps[members]
+    """Unite all members within ``MOST_BITS``: along sorted orders first, then what is outside the largest class against all."""
+    own, local = fps[members], Forest(len(members))
+    _, first, back = np.unique(forest.classes()[members], return_index=True, return_inverse=True)
+    local.up = first[back]
     for turn in range(0, 64, 8):
         turned = (own << np.uint64(turn)) | (own >> np.uint64(64 - turn)) if turn else own
         order = np.argsort(turned)
         for gap in (1, 2, 3):
             a, b = order[:-gap], order[gap:]
             close = _near(own[a], own[b])
-            forest.unite(members[a[close]], members[b[close]])
-    while True:
-        of = forest.classes()[members]
-        roots, sizes = np.unique(of, return_counts=True)
-        before, largest = len(forest.links), roots[np.argmax(sizes)]
-        for r in roots[np.argsort(sizes)]:
-            if r == largest:
-                continue
-            of = forest.classes()[members]
-            inside = np.flatnonzero(of == forest.root(int(r)))
-            if len(inside) > len(members) // 2:
-                continue
-            outside = np.flatnonzero(of != forest.root(int(r)))
-            for k in range(0, len(inside), max(1, (1 << 22) // max(1, len(outside)))):
-                part = inside[k : k + max(1, (1 << 22) // max(1, len(outside)))]
-                x, y = np.nonzero(_near(own[part][:, None], own[outside][None, :]))
-                forest.unite(members[part[x]], members[outside[y]])
-        if len(forest.links) == before:
-            return
+            local.unite(a[close], b[close])
+    of = local.classes()
+    roots, sizes = np.unique(of, return_counts=True)
+    apart = np.flatnonzero(of != roots[np.argmax(sizes)])
+    step = max(1, (1 << 22) // len(members))
+    for k in range(0, len(apart), step):
+        x, y = np.nonzero(_near(own[apart[k : k + step]][:, None], own[None, :]))
+        local.unite(apart[k + x], y)
+    links = np.array(local.links, np.int64).reshape(-1, 2)
+    forest.unite(members[links[:, 0]], members[links[:, 1]])
 
 
 def bucket_links(filed_key: np.ndarray, filed_fp: np.ndarray, looked_key: np.ndarray, looked_fp: np.ndarray) -> np.ndarray:
