@@ -1,0 +1,147 @@
+"""Detectors over sentences, paragraphs, clauses and lines.
+
+A rule tests each unit of a text and fires when the hits it counts meet a
+condition on the document.  ``RX`` and ``CNT`` stand for a match and a count of
+matches in either dialect; Spark runs the rules row-local on arrays, the oracle
+on unnested rows.
+"""
+
+from __future__ import annotations
+
+import re
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .detectors import HEDGES, TRACKED, alt
+
+UNITS = {
+    "document": None,
+    "paragraph": r"\r\n\r\n|\n\n",
+    "sentence": r"[。！？\n]",
+    "clause": r"[，。；,\n]",
+    "line": r"\n",
+}
+_MINUS_PASSIVE = "CNT(u, '被') - CNT(u, '被(?:定義為|廣泛採用|置於|稱作|觀察到|記錄為)')"
+HEADINGS = ("挑戰與未來展望", "結論與展望", "挑戰與機遇", "問題與挑戰", "優勢與劣勢", "現狀與未來", "回顧與展望", "總結與展望", "影響與意義", "發展與演變")
+PARAGRAPH_ENDS = ("的基礎", "的基石", "的起點", "的關鍵", "的核心", "證明了", "揭示了", "展示了", "體現了", "正是這", "正是在", "這也正是")
+
+
+class Structure(NamedTuple):
+    code: str
+    issue_type: str
+    severity: str
+    unit: str
+    #: condition on one unit ``u``
+    hit: str
+    #: condition on ``hits``, ``units`` and ``chars`` of the document
+    having: str = "hits >= 1"
+
+
+RULES = (
+    Structure("a7_binary_contrast", "ai_style", "warning", "sentence", "RX(u, '(?:雖然|儘管|即便|即使).*(?:但|卻|然而|不過)') OR RX(u, '(?:不僅|不只|不單).*(?:更|還|也|亦)')", "chars >= 500 AND hits >= 3 AND hits * 1000.0 / chars > 5"),
+    Structure("a8_paragraph_endings", "ai_style", "info", "paragraph", f"RX(right(u, 30), '{alt(PARAGRAPH_ENDS)}')", "units >= 5 AND hits >= 3"),
+    Structure("a9_dashes", "ai_style", "info", "paragraph", "CNT(u, '—') >= 3", "hits >= 3"),
+    Structure("a10_formulaic_headings", "ai_style", "info", "line", f"RX(u, '^#') AND RX(u, '{alt(HEADINGS)}')", "hits >= 2"),
+    Structure("a11_list_density", "ai_style", "info", "paragraph", r"RX(u, '^\s*(?:[-*+] |[0-9]+\. )')", "units >= 5 AND hits >= 3 AND hits > 0.4 * units"),
+    Structure("a17_bold", "ai_style", "info", "sentence", r"CNT(u, '\*\*[^*]+\*\*') BETWEEN 2 AND 4"),
+    Structure("a18_em_dash", "ai_style", "info", "paragraph", "CNT(u, '——') >= 2"),
+    Structure("a21_hedging", "ai_style", "warning", "paragraph", f"length(u) >= 50 AND CNT(u, '{alt(HEDGES)}') >= greatest(3, ceil(3.0 * length(u) / 200))"),
+    Structure("a22_line_metaphor", "ai_style", "info", "paragraph", "RX(u, '一條線|路線|軸線|脈絡|橋') AND CNT(u, '這條線|這條路') >= 2 AND RX(u, '走出來|長出來|鋪出來|延伸|串起來|拓寬')"),
+    Structure("t1_passive", "translationese", "warning", "paragraph", f"length(u) >= 20 AND {_MINUS_PASSIVE} > greatest(2, ceil(2.0 * length(u) / 100))"),
+    Structure("t3_late_condition", "translationese", "info", "sentence", "length(trim(u)) >= 6 AND RX(substr(trim(u), length(trim(u)) div 2 + 1), '如果|假如|若')"),
+    Structure("t7_de_chain", "translationese", "warning", "clause", "CNT(u, '的') >= 4"),
+    Structure("t9_tense", "translationese", "info", "sentence", "RX(u, '[年月日0-9]') AND CNT(u, '[曾已過了]') >= 3"),
+    Structure("t10_one_of_density", "translationese", "info", "paragraph", "length(u) >= 100 AND CNT(u, '之一') >= greatest(2, ceil(2.0 * length(u) / 200))"),
+    Structure("t16_nominal_pair", "translationese", "info", "clause", "RX(u, '的(?:實施|改善|提升|下降)[^與和及]*?的(?:提升|改善|下降)|的(?:分析|講解|理解|認識)[^與和及]*?的(?:發現|理解|認識)')"),
+    *(Structure(f"a6_density_{k}", "ai_style", "warning", "document", f"CNT(u, '{p}') * 1000.0 / length(u) > {t}", "chars >= 500 AND hits >= 1") for k, (p, t) in enumerate(TRACKED)),
+)
+BY_CODE = {r.code: r for r in RULES}
+
+
+def spark_sql(rule: str) -> str:
+    rule = re.sub(r"RX\((.*?), '([^']*)'\)", r"(\1 RLIKE r'\2')", rule)
+    return re.sub(r"CNT\((.*?), '([^']*)'\)", r"regexp_count(\1, r'\2')", rule)
+
+
+def duck_sql(rule: str) -> str:
+    rule = re.sub(r"RX\((.*?), '([^']*)'\)", r"regexp_matches(\1, '\2')", rule).replace(" div ", " // ")
+    return re.sub(r"CNT\((.*?), '([^']*)'\)", r"len(regexp_extract_all(\1, '\2'))", rule)
+
+
+def units(text: str, unit: str) -> str:
+    """Spark SQL array of a text's non-blank units."""
+    array = f"array({text})" if UNITS[unit] is None else f"split({text}, r'{UNITS[unit]}', -1)"
+    return f"filter({array}, u -> u RLIKE r'[^\\s]')"
+
+
+def structural(docs: DataFrame, rules: tuple[Structure, ...] = RULES) -> DataFrame:
+    """(doc_id, code, issue_type, severity, hits) for every rule that fires; no shuffle."""
+    need = sorted({r.unit for r in rules})
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = d.select("doc_id", F.length("text").alias("chars"), *(F.expr(units("text", n)).alias(f"u_{n}") for n in need))
+    rows = []
+    for r in rules:
+        hits = f"size(filter(u_{r.unit}, u -> {spark_sql(r.hit)}))"
+        having = re.sub(r"\bunits\b", f"size(u_{r.unit})", re.sub(r"\bhits\b", lambda m: hits, r.having))
+        rows.append(f"if({having}, named_struct('code', '{r.code}', 'issue_type', '{r.issue_type}', 'severity', '{r.severity}', 'hits', cast({hits} as bigint)), null)")
+    fired = F.expr(f"filter(array({', '.join(rows)}), x -> x is not null)")
+    return d.select("doc_id", F.explode(fired).alias("i")).select("doc_id", "i.*")
+
+
+def oracle(rule: Structure, corpus: str) -> str:
+    split = UNITS[rule.unit]
+    array = "[t]" if split is None else f"string_split_regex(t, '{split}')"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(t, '') AS t FROM ({corpus}) x),
+v AS (SELECT doc_id, length(t) AS chars, unnest({array}) AS u FROM d),
+g AS (SELECT doc_id, chars, count(*) AS units, count_if({duck_sql(rule.hit)}) AS hits FROM v WHERE regexp_matches(u, '[^\s]') GROUP BY 1, 2)
+SELECT doc_id, '{rule.code}' AS code, '{rule.issue_type}' AS issue_type, '{rule.severity}' AS severity, CAST(hits AS BIGINT) AS hits FROM g WHERE {rule.having}
+"""
+
+
+def pronoun_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, runs): runs of three or more sentences in a paragraph that start with a pronoun (T4)."""
+    flags = "transform(filter(split(p, r'[。！？\\n]', -1), s -> s RLIKE r'[^\\s]'), s -> if(trim(s) RLIKE r'^(?:他們|她們|他|她|它)', 'y', 'n'))"
+    runs = F.expr(f"aggregate(transform({units('text', 'paragraph').replace('u ->', 'p ->').replace('u RLIKE', 'p RLIKE')}, p -> regexp_count(array_join({flags}, ''), 'y{{3,}}')), 0, (a, x) -> a + x)")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", runs.cast("long").alias("runs")).where("runs > 0")
+
+
+PRONOUN_RUNS_ORACLE = r"""
+WITH p AS (SELECT doc_id, unnest(range(len(ps))) AS k, unnest(ps) AS p FROM (SELECT doc_id, string_split_regex(coalesce(t, ''), '\r\n\r\n|\n\n') AS ps FROM ({corpus}) x)),
+s AS (SELECT doc_id, k, unnest(range(len(ss))) AS j, unnest(ss) AS s FROM (SELECT doc_id, k, list_filter(string_split_regex(p, '[。！？\n]'), lambda x: regexp_matches(x, '[^\s]')) AS ss FROM p)),
+f AS (SELECT doc_id, k, j, j - row_number() OVER (PARTITION BY doc_id, k ORDER BY j) AS island FROM s WHERE regexp_matches(trim(s), '^(?:他們|她們|他|她|它)')),
+r AS (SELECT doc_id, k, island FROM f GROUP BY 1, 2, 3 HAVING count(*) >= 3)
+SELECT doc_id, count(*) AS runs FROM r GROUP BY 1
+"""
+
+
+def tricolons(docs: DataFrame) -> DataFrame:
+    """(doc_id, n): clauses with three ``、`` items in a row of one length, 1 to 8."""
+    items = "split(u, '、', -1)"
+    hit = f"size({items}) >= 3 AND exists(sequence(0, size({items}) - 3), k -> length({items}[k]) BETWEEN 1 AND 8 AND length({items}[k]) = length({items}[k + 1]) AND length({items}[k]) = length({items}[k + 2]))"
+    n = F.expr(f"size(filter({units('text', 'clause')}, u -> {hit}))")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", n.cast("long").alias("n")).where("n > 0")
+
+
+TRICOLONS_ORACLE = r"""
+WITH c AS (SELECT doc_id, k, us[k] AS u FROM (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS k FROM (SELECT doc_id, string_split_regex(coalesce(t, ''), '[，。；,\n]') AS us FROM ({corpus}) x))),
+i AS (SELECT doc_id, k, unnest(range(len(v))) AS j, length(unnest(v)) AS n FROM (SELECT doc_id, k, string_split(u, '、') AS v FROM c)),
+w AS (SELECT doc_id, k, n, lead(n, 1) OVER q AS n1, lead(n, 2) OVER q AS n2 FROM i WINDOW q AS (PARTITION BY doc_id, k ORDER BY j))
+SELECT doc_id, count(DISTINCT k) AS n FROM w WHERE n BETWEEN 1 AND 8 AND n = n1 AND n = n2 GROUP BY 1
+"""
+
+
+def repeated_slogans(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentence, paragraphs): 8 to 80 character sentences with a comma that several paragraphs hold."""
+    d = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n\r\n|\n\n", -1)).alias("para", "p"))
+    s = d.select("doc_id", "para", F.explode(F.expr("filter(transform(split(p, r'[。！？\\n]', -1), x -> trim(x)), x -> length(x) BETWEEN 8 AND 80 AND x RLIKE '[，、]')")).alias("sentence"))
+    return s.groupBy("doc_id", "sentence").agg(F.countDistinct("para").alias("paragraphs")).where("paragraphs > 1")
+
+
+SLOGANS_ORACLE = r"""
+WITH p AS (SELECT doc_id, k, ps[k] AS p FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT doc_id, string_split_regex(coalesce(t, ''), '\r\n\r\n|\n\n') AS ps FROM ({corpus}) x))),
+s AS (SELECT doc_id, k, trim(unnest(string_split_regex(p, '[。！？\n]'))) AS sentence FROM p)
+SELECT doc_id, sentence, count(DISTINCT k) AS paragraphs FROM s WHERE length(sentence) BETWEEN 8 AND 80 AND regexp_matches(sentence, '[，、]') GROUP BY 1, 2 HAVING count(DISTINCT k) > 1
+"""
