@@ -16,7 +16,7 @@ def glossary(issues: DataFrame, proper: list[str], banned: list[str], docs: Data
     """Proper nouns are no issues; banned terms are errors, and become issues where none covers them."""
     left = issues.where(~F.col("found").isin(proper)) if proper else issues
     left = left.withColumn("glossary_banned", F.col("found").isin(banned) if banned else F.lit(False))
-    left = left.withColumn("severity", F.when("glossary_banned", "error").otherwise(F.col("severity"))) if banned else left
+    left = left.withColumn("severity", F.when(F.col("glossary_banned"), "error").otherwise(F.col("severity"))) if banned else left
     if docs is None or not banned:
         return left
     from ..functions.spans import matches
@@ -31,7 +31,7 @@ def glossary(issues: DataFrame, proper: list[str], banned: list[str], docs: Data
 def suppressed(issues: DataFrame, terms: DataFrame) -> DataFrame:
     """Issues whose found text is on the list (``term``) become info."""
     on = terms.select(F.col("term").alias("found"), F.lit(True).alias("listed")).distinct()
-    return issues.join(on, "found", "left").withColumn("severity", F.when("listed", "info").otherwise(F.col("severity"))).drop("listed")
+    return issues.join(on, "found", "left").withColumn("severity", F.when(F.col("listed"), "info").otherwise(F.col("severity"))).drop("listed")
 
 
 def remembered(issues: DataFrame, memory: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def judged(issues: DataFrame, judgements: DataFrame) -> DataFrame:
 
 
 def resolution_tier() -> Column:
-    return F.when("llm_judged", "llm").when(F.isnull("tier2_outcome"), "deterministic").when(F.col("tier2_outcome") == "gray", "unresolved").otherwise("heuristic")
+    return F.when(F.col("llm_judged"), "llm").when(F.isnull("tier2_outcome"), "deterministic").when(F.col("tier2_outcome") == "gray", "unresolved").otherwise("heuristic")
 
 
 def anchored(issues: DataFrame, translations: DataFrame) -> DataFrame:
