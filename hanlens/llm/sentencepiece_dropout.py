@@ -25,7 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import sliced, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS, REMEMBERED = 0.1, 7, 4, 250_000
+#: Cuts of at most so many known characters are merged together, many at a time; others one by one.
+SHORT, TOGETHER = 32, 8192
+_NONE = 1 << 30
+#: Text bytes coded at a time.
+SLICE_BYTES = 2 << 20
 MARK = "▁"
 _CUT = re.compile(" +[^ ]*")
 _M = (1 << 64) - 1
@@ -52,7 +57,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.p, self.seed, self.variants = p, seed, variants
-        self.merges: dict[str, tuple[float, int]] = {}
+        self.ids: dict[str, int] = {}
+        scores: dict[str, float] = {}
         self.byte_ids = [0] * 256
         self.bytes_of: list[bytes] = []
         for k in range(sp.get_piece_size()):
@@ -63,56 +69,131 @@ class Pieces:
             elif sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k):
                 self.bytes_of.append(b"")
             else:
-                self.merges[piece] = (-sp.get_score(k), k)
+                self.ids[piece], scores[piece] = k, -sp.get_score(k)
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
-        if any(MARK in p.lstrip(MARK) for p in self.merges):
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from a word into the next space")
+        order = {x: k for k, x in enumerate(sorted(set(scores.values())))}
+        #: Place of each piece in the order of merging; equal scores have equal ranks.
+        self.ranks = {p: order[x] for p, x in scores.items()}
+        pairs = sorted((self.ids[q[:k]] * len(self.bytes_of) + self.ids[q[k:]], i, self.ranks[q]) for q, i in self.ids.items() for k in range(1, len(q)) if q[:k] in self.ids and q[k:] in self.ids)
+        #: Pairs of pieces that make a piece: sorted keys, the piece, its rank.
+        self.pairs = tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self._known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_known": [{} for _ in range(self.variants)]}
 
+    def _key(self, cut: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(cut.encode(), self.seed * 1_000_003 + variant) if self.p else 0
+
     def _code(self, cut: str, variant: int) -> tuple[int, ...]:
         """Ids of one cut: a symbol for each character, then merges from the agenda."""
-        merges, least = self.merges, int(self.p * 2**64)
-        key = xxhash.xxh64_intdigest(cut.encode(), self.seed * 1_000_003 + variant) if least else 0
         # A literal space mark must not take part as the model's: it stands apart under NUL.
-        sym = [MARK if c == " " else "\0" + c if c == MARK else c for c in cut]
-        n = len(sym)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, int, str]] = []
+        symbols = [MARK if c == " " else "\0" + c if c == MARK else c for c in cut]
+        ids: list[int] = []
+        for s in self._merged(symbols, self._key(cut, variant), int(self.p * 2**64)):
+            if (k := self.ids.get(s)) is not None:
+                ids.append(k)
+            else:
+                ids += [self.byte_ids[x] for x in (s[1:] if len(s) > 1 and s[0] == "\0" else s).encode()]
+        return tuple(ids)
 
-        def propose(a: int, b: int) -> None:
-            if (m := merges.get(sym[a] + sym[b])) is not None:
-                agenda.append((m[0], a, b, sym[a] + sym[b]))
+    @staticmethod
+    def _skipped(key: int, place: int, piece: int, least: int) -> bool:
+        h = ((key ^ (place * _A + piece * _B)) * _C) & _M
+        return ((h ^ h >> 29) * _B & _M) < least
 
-        for k in range(n - 1):
-            propose(k, k + 1)
+    def _merged(self, sym: list[str], key: int, least: int) -> list[str]:
+        """The symbols after all merges, for a cut of any length: the agenda is a heap, the symbols are linked."""
+        ranks, n = self.ranks, len(sym)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        agenda = [(r, k, k + 1, a + b) for k, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if (r := ranks.get(a + b)) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, a, b, piece = heapq.heappop(agenda)
-            if not sym[a] or not sym[b] or right[a] != b or sym[a] + sym[b] != piece:
+            if not sym[a] or not sym[b] or right[a] != b or sym[a] + sym[b] != piece or (least and self._skipped(key, a, self.ids[piece], least)):
                 continue
-            if least:
-                h = (key ^ (a * _A + merges[piece][1] * _B)) & _M
-                h = ((h ^ h >> 30) * _B) & _M
-                h = ((h ^ h >> 27) * _C) & _M
-                if (h ^ h >> 31) < least:
-                    continue
             sym[a], sym[b] = piece, ""
             right[a] = r = right[b]
             if r < n:
                 left[r] = a
-                if (m := merges.get(piece + sym[r])) is not None:
-                    heapq.heappush(agenda, (m[0], a, r, piece + sym[r]))
-            if (q := left[a]) >= 0 and (m := merges.get(sym[q] + piece)) is not None:
-                heapq.heappush(agenda, (m[0], q, a, sym[q] + piece))
-        ids: list[int] = []
-        for s in sym:
-            if s:
-                m = merges.get(s)
-                ids += (m[1],) if m is not None else [self.byte_ids[x] for x in s.lstrip("\0").encode()] if s != "\0" else [self.byte_ids[0]]
-        return tuple(ids)
+                if (m := ranks.get(piece + sym[r])) is not None:
+                    heapq.heappush(agenda, (m, a, r, piece + sym[r]))
+            if (q := left[a]) >= 0 and (m := ranks.get(sym[q] + piece)) is not None:
+                heapq.heappush(agenda, (m, q, a, sym[q] + piece))
+        return [s for s in sym if s]
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece and rank that neighbours make (rank ``_NONE``: none)."""
+        keys, piece, rank = self.pairs
+        q = a.astype(np.int64) * len(self.bytes_of) + b
+        at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+        made = (keys[at] == q) & (a >= 0) & (b >= 0)
+        return np.where(made, piece[at], -1), np.where(made, rank[at], _NONE)
+
+    def _merged_together(self, rows: list[list[int]], keys: np.ndarray) -> list[tuple[int, ...]]:
+        """``_merged`` for many cuts of known characters at once: each row's agenda is its line of ranks."""
+        least = int(self.p * 2**64)
+        n, wide = len(rows), max(map(len, rows)) + 1
+        sym = np.full((n, wide), -1, np.int64)  # one column of nothing ends every row
+        for k, r in enumerate(rows):
+            sym[k, : len(r)] = r
+        right = np.minimum(np.arange(1, wide + 1), wide - 1) + np.zeros((n, 1), np.int64)
+        left = np.arange(-1, wide - 1) + np.zeros((n, 1), np.int64)
+        piece, rank = np.full((n, wide), -1, np.int64), np.full((n, wide), _NONE, np.int64)
+        piece[:, :-1], rank[:, :-1] = self._pair(sym[:, :-1], sym[:, 1:])
+        live = np.arange(n)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            more = rank[live, at] < _NONE
+            live, at = live[more], at[more]
+            made = piece[live, at]
+            if least:
+                h = (keys[live] ^ (at.astype(np.uint64) * np.uint64(_A) + made.astype(np.uint64) * np.uint64(_B))) * np.uint64(_C)
+                skip = (h ^ h >> np.uint64(29)) * np.uint64(_B) < np.uint64(least)
+                rank[live[skip], at[skip]] = _NONE
+                row, k, made = live[~skip], at[~skip], made[~skip]
+            else:
+                row, k = live, at
+            gone = right[row, k]
+            after, before = right[row, gone], left[row, k]
+            sym[row, k], sym[row, gone], rank[row, gone] = made, -1, _NONE
+            right[row, k], left[row, after] = after, k
+            piece[row, k], rank[row, k] = self._pair(made, np.where(after > k, sym[row, after], -1))
+            has = before >= 0
+            r, p = row[has], before[has]
+            piece[r, p], rank[r, p] = self._pair(sym[r, p], made[has])
+        flat, counts = sym[sym >= 0].tolist(), (sym >= 0).sum(axis=1).tolist()
+        out, s = [], 0
+        for c in counts:
+            out.append(tuple(flat[s : s + c]))
+            s += c
+        return out
+
+    def _learn(self, missed: set[tuple[int, str]]) -> dict[tuple[int, str], tuple[int, ...]]:
+        """Codes of cuts that are not remembered; those of at most 64 characters are from now on."""
+        ids, mark = self.ids, self.ids[MARK]
+        codes: dict[tuple[int, str], tuple[int, ...]] = {}
+        short, rows = [], []
+        for v, cut in sorted(missed, key=lambda m: len(m[1])):
+            row = [mark if c == " " else -1 if c == MARK else ids.get(c, -1) for c in cut] if len(cut) <= SHORT else [-1]
+            if -1 in row:
+                codes[v, cut] = self._code(cut, v)
+            else:
+                short.append((v, cut))
+                rows.append(row)
+        for k in range(0, len(rows), TOGETHER):
+            part = short[k : k + TOGETHER]
+            keys = np.array([self._key(cut, v) for v, cut in part], np.uint64)
+            codes.update(zip(part, self._merged_together(rows[k : k + TOGETHER], keys), strict=True))
+        if sum(map(len, self._known)) + len(codes) > REMEMBERED:
+            for known in self._known:
+                known.clear()
+        for (v, cut), c in codes.items():
+            if len(cut) <= 64 and len(self._known[v]) < REMEMBERED // self.variants:
+                self._known[v][cut] = c
+        return codes
 
     def _variants(self, doc_id: int | None, n: int) -> list[int]:
         """The variant of each of a text's cuts (splitmix64 of a keyed start)."""
@@ -122,22 +203,20 @@ class Pieces:
         h = (h ^ h >> np.uint64(27)) * np.uint64(_C)
         return ((h ^ h >> np.uint64(31)) % np.uint64(self.variants)).tolist()
 
+    def encode_many(self, texts_: list[str], doc_ids: list[int | None]) -> list[list[int]]:
+        """Ids of each text; unknown cuts of all of them are coded together."""
+        cuts = [_CUT.findall(" " + t) if t else [] for t in texts_]
+        drawn = [self._variants(i, len(c)) if self.p else [0] * len(c) for i, c in zip(doc_ids, cuts, strict=True)]
+        known = self._known
+        found = [[known[v].get(c) for v, c in zip(d, cs, strict=True)] for d, cs in zip(drawn, cuts, strict=True)]
+        missed = {(v, c) for f, d, cs in zip(found, drawn, cuts, strict=True) if None in f for x, v, c in zip(f, d, cs, strict=True) if x is None}
+        if missed:
+            codes = self._learn(missed)
+            found = [[x if x is not None else codes[v, c] for x, v, c in zip(f, d, cs, strict=True)] if None in f else f for f, d, cs in zip(found, drawn, cuts, strict=True)]
+        return [list(chain.from_iterable(f)) for f in found]
+
     def encode(self, text: str, doc_id: int | None) -> list[int]:
-        if not text:
-            return []
-        cuts = _CUT.findall(" " + text)
-        drawn = self._variants(doc_id, len(cuts)) if self.p else repeat(0, len(cuts))
-        known, out = self._known, []
-        for cut, v in zip(cuts, drawn, strict=True):
-            ids = known[v].get(cut)
-            if ids is None:
-                ids = self._code(cut, v)
-                if len(cut) <= 64:
-                    if len(known[v]) >= REMEMBERED // self.variants:
-                        known[v].clear()
-                    known[v][cut] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return self.encode_many([text], [doc_id])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
@@ -156,15 +235,13 @@ def encode_docs(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
-                ends, ids, whole = [0], [], []
-                for i, t in zip(part.column(part.schema.get_field_index(id_col)).cast(pa.int64()).to_pylist(), texts(part.column(part.schema.get_field_index(text_col))), strict=True):
-                    text = t.decode()
-                    own = p.encode(text, i)
-                    ids += own
-                    ends.append(len(ids))
-                    whole.append(p.decode(own) == text)
+            for part in sliced(iter([b]), text_col, SLICE_BYTES):
+                names_in = part.schema
+                given = [t.decode() for t in texts(part.column(names_in.get_field_index(text_col)))]
+                coded = p.encode_many(given, part.column(names_in.get_field_index(id_col)).cast(pa.int64()).to_pylist())
+                whole = [p.decode(ids) == t for ids, t in zip(coded, given, strict=True)]
+                ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
+                ids = list(chain.from_iterable(coded))
                 lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(ids, np.int32)))
                 columns = [*part.columns, lists, pa.array(np.diff(ends)), pa.array(whole, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
