@@ -366,3 +366,113 @@ def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(detectors.issues(short(spark, sf_dir), (detectors.BY_CODE["p1_comma"],)))
 
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling(spark, sf_dir).withColumn("issue_type", F.col("rule_type"))
+
+
+_ONE = "len(dst) = 1 AND dst[1] <> ''"
+
+
+@query(f"""{_FOUND} SELECT doc_id, found, CASE WHEN severity = 'error' THEN 'high' WHEN {_ONE} AND len(clues) = 0 THEN 'high' WHEN len(dst) > 1 THEN 'low' ELSE 'medium' END AS confidence,
+{_ONE} AND len(clues) = 0 AS auto_fix_safe, len(dst) <> 1 OR len(clues) > 0 AS needs_review FROM i""")
+def explain_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.explained(_spelling(spark, sf_dir)).select("doc_id", "found", "confidence", F.coalesce("auto_fix_safe", F.lit(False)).alias("auto_fix_safe"), "needs_review")
+
+
+@query(f"""{_FOUND}, w AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['computer', 'memory'] WHEN 1 THEN ['thread', 'software'] END AS words FROM documents)
+SELECT doc_id, found, CASE WHEN english IS NULL OR words IS NULL THEN 'unknown' WHEN len(list_intersect(string_split(lower(english), ' '), words)) > 0 THEN 'yes' ELSE 'no' END AS anchor_match FROM i LEFT JOIN w USING (doc_id)""")
+def anchor_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings against the words of a translation that is handed in (null where there is none)."""
+    words = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("computer"), F.lit("memory"))).when(F.col("doc_id") % 3 == 1, F.array(F.lit("thread"), F.lit("software")))
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", words.alias("words"))
+    return annotate.anchored(_spelling(spark, sf_dir), given).select("doc_id", "found", F.when(F.isnull("anchor_match"), "unknown").when(F.col("anchor_match"), "yes").otherwise("no").alias("anchor_match"))
+
+
+@query(f"""{_FOUND}, j AS (SELECT doc_id, found, dst, severity, doc_id % 4 AS k FROM i)
+SELECT doc_id, found, CASE WHEN k = 0 THEN 'llm' WHEN k = 1 THEN 'deterministic' WHEN k = 2 THEN 'unresolved' ELSE 'heuristic' END AS tier,
+CASE WHEN k = 0 AND found <> '進程' AND found <> '內存' THEN 'info' ELSE severity END AS severity, CASE WHEN k = 0 AND found = '進程' THEN '處理程序,行程,進度' ELSE array_to_string(dst, ',') END AS suggestions FROM j""")
+def judgement_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray terms meet a table of judgements; the tier says what settled each."""
+    i = _typed(spark, sf_dir).withColumn("context_key", (F.col("doc_id") % 4).cast("string"))
+    made = spark.createDataFrame([("內存", "0", "記憶體", 0.9), ("進程", "0", "處理程序", 0.9), *((t, "0", None, 0.9) for t in sorted({r.from_ for r in RULES} - {"內存", "進程"}))], "found string, context_key string, chosen string, confidence double")
+    i = annotate.judged(i, made).withColumn("tier2_outcome", F.when(F.col("context_key") == "2", "gray").when(F.col("context_key") == "3", "resolved"))
+    return i.select("doc_id", "found", annotate.resolution_tier().alias("tier"), "severity", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query(f"{_FOUND} SELECT (SELECT count(*) FROM i) AS issues, (SELECT count(*) FROM documents) AS docs, round((SELECT count(*) FROM i) * 1000.0 / (SELECT sum(length(t)) FROM ({SHORT})), 6) AS per_1k, round((SELECT count(*) FILTER (WHERE severity <> 'info') * 1.0 / nullif(count(*), 0) FROM i), 6) AS graver_share")
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = report.telemetry(_spelling(spark, sf_dir), short(spark, sf_dir))
+    return t.select("issues", "docs", F.round("per_1k", 6).alias("per_1k"), F.round("graver_share", 6).alias("graver_share"))
+
+
+@query(f"""{_FOUND}, f AS (SELECT DISTINCT doc_id, found FROM i), g AS (SELECT doc_id, found FROM f WHERE doc_id % 3 <> 0), cl AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM g))
+SELECT round((SELECT count(*) FROM g) / (SELECT count(*) FROM f), 6) AS "precision", round((SELECT count(*) FROM g) / nullif((SELECT count(*) FROM g), 0), 6) AS recall, round((SELECT count(*) FROM cl WHERE doc_id IN (SELECT doc_id FROM f)) / (SELECT count(*) FROM cl), 6) AS false_positive_rate""")
+def corpus_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _spelling(spark, sf_dir)
+    m = report.corpus_metrics(i, i.where("doc_id % 3 <> 0"), short(spark, sf_dir))
+    return m.select(*(F.round(c, 6).alias(c) for c in m.columns))
+
+
+@query(f"{_FOUND} SELECT doc_id, CASE WHEN count_if(severity <> 'info') > 99 THEN '99+' ELSE CAST(count_if(severity <> 'info') AS VARCHAR) END AS badge FROM i GROUP BY 1")
+def badge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.badge(_spelling(spark, sf_dir))
+
+
+@query(f"SELECT src AS term, CASE WHEN len(dst) = 0 THEN '' WHEN dst[1] = '' THEN '(delete)' WHEN len(dst) = 1 THEN dst[1] ELSE dst[1] || '+' || CAST(len(dst) - 1 AS VARCHAR) END AS compact, array_to_string(CASE WHEN len(dst) = 1 AND dst[1] = '' THEN dst WHEN len(list_filter(dst, lambda x: x <> '')) > 0 THEN list_filter(dst, lambda x: x <> '') WHEN english IS NOT NULL THEN [english] ELSE CAST([] AS VARCHAR[]) END, '|') AS effective FROM {_ALL_RULES}")
+def suggestion_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = dictionary.rule_table(spark)
+    return r.select(F.col("from").alias("term"), chars.compact_suggestion(F.col("to")).alias("compact"), F.array_join(chars.effective_suggestions(F.col("to"), F.col("english")), "|").alias("effective"))
+
+
+@query(rf"SELECT doc_id, 'v1:' || substr(b, CAST(greatest(floor((length(b) - 80) / 2), 0) AS INTEGER) + 1, 80) AS cache_key, replace(replace(replace(replace(t, '\', '\\'), chr(9), '\t'), chr(10), '\n'), chr(13), '\r') AS tsv FROM (SELECT doc_id, t, regexp_replace(t, '\s+', '', 'g') AS b FROM ({SHORT}))")
+def context_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return short(spark, sf_dir).select("doc_id", chars.cache_context(F.col("text")).alias("cache_key"), chars.escape_tsv(F.col("text")).alias("tsv"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 3 <> 0")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache of results does not hold: an anti join on the content key."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("content_key", chars.identity(F.col("o_orderkey")))
+    return annotate.to_scan(o, o.where("o_orderkey % 3 = 0")).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 'changed' ELSE c_name END AS c_name FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 10 = 0")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove and upsert rows of a store by key."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    left = annotate.remove(c, c.where("c_custkey % 7 = 0"), "c_custkey")
+    return annotate.upsert(left, c.where("c_custkey % 10 = 0").withColumn("c_name", F.lit("changed")), "c_custkey")
+
+
+@query("SELECT user_id, CASE WHEN count(*) >= 9 AND avg(value) >= 1 THEN round(stddev_pop(value) / avg(value), 6) END AS cv FROM events GROUP BY 1")
+def coefficient_of_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population deviation over mean of a list, as distances between marks are judged."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.collect_list("value").alias("v"))
+    return e.select("user_id", F.round(scores.variation(F.col("v")), 6).alias("cv"))
+
+
+@query()
+def heading_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = long(spark, sf_dir)
+    h = kernels.per_text(d, kernels.headings, "start int, stop int").withColumnRenamed("stop", "end")
+    return resolve.boosted(detectors.issues(d, (detectors.BY_CODE["p1_comma"],)), h)
+
+
+@query()
+def residual_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues left after a fix, by document: a rescan of the fixed texts."""
+    d = short(spark, sf_dir)
+    f = kernels.fixed(scan.scan(d), d).select("doc_id", F.col("fixed_text").alias("text"))
+    return report.severity_counts(scan.scan(f), d)
+
+
+@query()
+def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return short(spark, sf_dir).select("doc_id", F.array_join(scores.quality_flags(), ",").alias("flags"))
+
+
+@query()
+def style_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.scorecard(long(spark, sf_dir), _spelling(spark, sf_dir))
