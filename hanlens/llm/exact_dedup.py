@@ -96,12 +96,12 @@ def with_row_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def duplicate_groups(rows: DataFrame) -> DataFrame:
     """(rid, doc_id, text) to (rid, doc_id, keep_rid, keep_id, group_size, sha)."""
     t = written(rows.mapInArrow(_fold, _ROWS), "dedup-local")
-    best = F.max(F.struct("n_chars", (~F.isnull("doc_id")).alias("has"), (-F.col("doc_id")).alias("id"), (-F.col("rid")).alias("row")))
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.isnull("doc_id").alias("none"), "doc_id", "rid"))
 
     def merge(part: DataFrame, keys: list[str], member: str) -> DataFrame:
         """One row for each digest and content: the survivor, the size, what it stands for."""
         g = part.groupBy(*keys).agg(best.alias("best"), F.sum("n").alias("n"), F.collect_list(member).alias("of"))
-        return g.select(*keys, F.col("best.n_chars").alias("n_chars"), (-F.col("best.id")).alias("doc_id"), (-F.col("best.row")).alias("rid"), "n", "of")
+        return g.select(*keys, (-F.col("best.short")).alias("n_chars"), "best.doc_id", "best.rid", "n", "of")
 
     local = t.where("content is not null").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     salted = written(merge(local, ["sha", "salt", "content"], "rep").withColumn("salt_rep", F.col("rid")), "dedup-salted")
