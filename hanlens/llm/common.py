@@ -12,6 +12,7 @@ Everything here is independent of the rest of the library.  Conventions:
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zlib
@@ -52,6 +53,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect plans that are done, so that executors drop their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _forget() -> None:
     """Remove what ``written`` left, as far as the session still lives."""

@@ -45,11 +45,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, shuffle_partitions, sliced, texts, written
+from .common import arrow_schema, batch, release, shuffle_partitions, sliced, texts, written
 
-WINDOW, GRAM = 13, 5
-#: Text bytes of a block; blocks that make an anchor hot; distinct words a shard indexes at once.
-BLOCK_BYTES, HOT = 8 << 20, 24
+WINDOW, GRAM = 13, 6
+#: Text bytes of a block; blocks that make an anchor hot.
+BLOCK_BYTES, HOT = 32 << 20, 24
 NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,54 +75,70 @@ def segments(words: list[bytes]) -> Segments:
     g ^= g >> np.uint64(33)
     g *= np.uint64(0xFF51AFD7ED558CCD)
     g ^= g >> np.uint64(33)
-    g &= ~np.uint64(1)  # the lowest bit is a flag
     at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(g, WINDOW - GRAM + 1).argmin(axis=1)
     start = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     return Segments(start, np.append(start[1:], n), g[at[start]])
 
 
-_BLOCKS = "block long, rid long, doc_id long, words binary, n_words long, sha string, bucket int, anchors binary"
+def _filed(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket (high half) and 31 bits of the hash, above a free flag bit.
+
+    A chance clash within a bucket only sends a segment to be searched in vain.
+    """
+    return ((anchors >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (anchors & np.uint64(0xFFFFFFFE))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as zstd of their differences, byte by byte."""
+    d = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint32).ravel(), dtype=np.uint64)
+
+
+_BLOCKS = "block long, ids binary, words binary, bucket int, anchors binary"
 
 
 def _read_blocks(docs: DataFrame, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Documents (words joined by one space, zstd) by block, and each block's anchors by bucket."""
+    """A block's documents as one zstd text, a line each with single spaces; its anchors by bucket."""
     schema = arrow_schema(_BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = zstandard.ZstdCompressor(level=1).compress
-        block = rid = TaskContext.get().partitionId() << 32
+        code = zstandard.ZstdCompressor(level=6).compress
+        block = TaskContext.get().partitionId() << 32
         for b in sliced(batches, "text", BLOCK_BYTES):
-            ids = [NO_ID if i is None else i for i in b.column(0).to_pylist()]
-            rows, anchors, owners = [], [], []
-            for k, (i, t) in enumerate(zip(ids, texts(b.column(1)), strict=True)):
+            ids = np.array([NO_ID if i is None else i for i in b.column(0).to_pylist()], np.int64)
+            joined, anchors = [], []
+            for t in texts(b.column(1)):
                 words = t.split()
-                joined = b" ".join(words)
-                a = np.unique(segments(words).anchor)
-                anchors.append(a)
-                owners.append(np.full(len(a), i, np.int64))
-                rows.append((block, rid + k, i, code(joined), len(words), hashlib.sha256(joined).hexdigest(), None, None))
-            a, o = np.concatenate(anchors), np.concatenate(owners)
+                joined.append(b" ".join(words))
+                anchors.append(np.unique(_filed(segments(words).anchor, buckets)))
+            rows = [(block, ids.tobytes(), code(b"\n".join(joined)), None, None)]
+            a, o = np.concatenate(anchors), np.repeat(ids, [len(x) for x in anchors])
             order = np.lexsort((o, a))
             a, o = a[order], o[order]
             first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
             if len(first):
                 last = np.append(first[1:], len(a)) - 1
                 a = a[first] | (o[first] != o[last]).astype(np.uint64)
-                to = (a >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                a, to = a[order], to[order]
+                to = a >> np.uint64(32)
                 edge = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
-                rows += [(block, None, None, None, None, None, int(to[s]), a[s:e].tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                rows += [(block, None, None, int(to[s]), _pack(a[s:e] & np.uint64(0xFFFFFFFF))) for s, e in zip(edge[:-1], edge[1:], strict=True)]
             yield batch(schema, [list(c) for c in zip(*rows, strict=True)])
             block += 1
-            rid += len(ids)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _BLOCKS)
 
 
+_REPEATED = "block long, bucket int, anchors binary"
+
+
 def _repeated(group: pa.Table) -> pa.Table:
     """One bucket's anchors by block to those that repeat, by block; the flag now says hot."""
-    packed = [np.frombuffer(x, np.uint64) for x in group.column("anchors").to_pylist()]
+    packed = [_unpack(x) for x in group.column("anchors").to_pylist()]
     blocks = group.column("block").to_numpy()
     a = np.concatenate(packed)
     of = np.repeat(np.arange(len(packed)), [len(x) for x in packed])
@@ -136,53 +152,59 @@ def _repeated(group: pa.Table) -> pa.Table:
     order = np.argsort(of, kind="stable")
     a, of = a[order], of[order]
     edge = [*np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])).tolist(), len(of)] if len(of) else [0]
-    return pa.table([pa.array([blocks[of[s]] for s in edge[:-1]], pa.int64()), pa.array([a[s:e].tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], schema=arrow_schema("block long, anchors binary"))
+    bucket = group.column("bucket")[0].as_py()
+    columns = [[blocks[of[s]] for s in edge[:-1]], [bucket] * (len(edge) - 1), [_pack(a[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)]]
+    return pa.Table.from_batches([batch(arrow_schema(_REPEATED), columns)])
+
+
+_CUT = "block long, places binary, shard int, pick binary, owner binary, content binary"
 
 
-_CUT = "block long, rid long, doc_id long, words binary, starts binary, picks binary, shard int, pick binary, owner binary, content array<binary>"
+def _documents(block: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and joined words of a block's documents."""
+    ids = np.frombuffer(block.column("ids")[0].as_py(), np.int64)
+    return ids, zstandard.ZstdDecompressor().decompress(block.column("words")[0].as_py()).split(b"\n")
 
 
 def _cut(shards: int):
     schema = arrow_schema(_CUT)
 
-    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
-        """A block's segments with a repeated anchor: distinct ones by shard, and where each document has them."""
-        if not docs.num_rows or not repeated.num_rows:
+    def run(block: pa.Table, repeated: pa.Table) -> pa.Table:
+        """A block's segments with a repeated anchor: distinct ones by shard, and their places (document, window, segment)."""
+        if not block.num_rows or not repeated.num_rows:
             return schema.empty_table()
-        known = np.sort(np.frombuffer(b"".join(repeated.column("anchors").to_pylist()), np.uint64))
-        plain, decode = known & ~np.uint64(1), zstandard.ZstdDecompressor().decompress
+        known = np.sort(np.concatenate([_unpack(a) | np.uint64(k << 32) for k, a in zip(repeated.column("bucket").to_pylist(), repeated.column("anchors").to_pylist(), strict=True)]))
+        plain, code = known & ~np.uint64(1), zstandard.ZstdCompressor(level=3).compress
         seen: dict[bytes, int] = {}
         owner: list[int] = []
         shard: list[int] = []
-        rows = []
-        for rid, doc_id, words in zip(*(docs.column(c).to_pylist() for c in ("rid", "doc_id", "words")), strict=True):
-            tokens = decode(words).split(b" ")
+        places: list[tuple[int, int, int]] = []
+        for d, (doc_id, words) in enumerate(zip(*_documents(block), strict=True)):
+            tokens = words.split()
             seg = segments(tokens)
-            at = np.minimum(np.searchsorted(plain, seg.anchor), len(plain) - 1)
-            hit = np.flatnonzero(plain[at] == seg.anchor)
-            starts, picks = [], []
+            filed = _filed(seg.anchor, shards)
+            at = np.minimum(np.searchsorted(plain, filed), len(plain) - 1)
+            hit = np.flatnonzero(plain[at] == filed)
             for s, e, k in zip(seg.start[hit].tolist(), seg.end[hit].tolist(), at[hit].tolist(), strict=True):
                 hot = bool(known[k] & np.uint64(1))
                 for p, q in ((i, i + 1) for i in range(s, e)) if hot else ((s, e),):
                     content = b" ".join(tokens[p : q + WINDOW - 1])
                     if (x := seen.setdefault(content, len(seen))) == len(owner):
                         owner.append(doc_id)
-                        shard.append((xxhash.xxh64_intdigest(content) if hot else int(plain[k]) >> 8) % shards)
+                        shard.append((xxhash.xxh64_intdigest(content) if hot else (int(plain[k]) * int(_MIX) & NO_ID) >> 20) % shards)
                     elif doc_id < owner[x]:
                         owner[x] = doc_id
-                    starts.append(p)
-                    picks.append(x)
-            if starts:
-                rows.append((rid, doc_id, words, np.array(starts, np.int32).tobytes(), np.array(picks, np.int32).tobytes(), None, None, None, None))
+                    places.append((d, p, x))
         content, mine = list(seen), np.array(owner, np.int64)
         to = np.array(shard, np.int64)
         order = np.argsort(to, kind="stable")
+        rows = [(code(np.array(places, np.int32).tobytes()), None, None, None, None)] if places else []
         edge = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(order)]]).tolist() if len(order) else [0]
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             part = order[s:e]
-            rows.append((None, None, None, None, None, int(to[part[0]]), part.astype(np.int32).tobytes(), mine[part].tobytes(), [content[k] for k in part.tolist()]))
-        block = docs.column("block")[0].as_py()
-        return pa.Table.from_batches([batch(schema, [[block] * len(rows), *([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 9)])])
+            rows.append((None, int(to[part[0]]), part.astype(np.int32).tobytes(), mine[part].tobytes(), code(b"\n".join([content[k] for k in part.tolist()]))))
+        own = block.column("block")[0].as_py()
+        return pa.Table.from_batches([batch(schema, [[own] * len(rows), *([list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5)])])
 
     return run
 
@@ -280,51 +302,58 @@ def index_owners(contents: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     return np.split(best, np.cumsum(windows)[:-1])
 
 
-_OWNED = arrow_schema("block long, pick binary, counts binary, owners binary")
+_OWNED = arrow_schema("block long, places binary, pick binary, counts binary, owners binary")
 
 
 def _search(group: pa.Table) -> pa.Table:
     """One shard's segments by block to the owners of their windows, by block."""
     seen: dict[bytes, int] = {}
-    picks = [[seen.setdefault(c, len(seen)) for c in row] for row in group.column("content").to_pylist()]
+    decode = zstandard.ZstdDecompressor().decompress
+    picks = [[seen.setdefault(c, len(seen)) for c in decode(row).split(b"\n")] for row in group.column("content").to_pylist()]
     owners = np.full(len(seen), NO_ID, np.int64)
     for p, o in zip(picks, group.column("owner").to_pylist(), strict=True):
         np.minimum.at(owners, p, np.frombuffer(o, np.int64))
     found = index_owners(list(seen), owners)
-    code = zstandard.ZstdCompressor(level=1).compress
+    code = zstandard.ZstdCompressor(level=3).compress
     counts = [np.array([len(found[k]) for k in p], np.int32).tobytes() for p in picks]
     packed = [code(np.concatenate([found[k] for k in p]).tobytes()) for p in picks]
-    return pa.table([group.column("block").combine_chunks(), group.column("pick").combine_chunks(), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], schema=_OWNED)
+    return pa.table([group.column("block").combine_chunks(), pa.nulls(len(counts), pa.binary()), group.column("pick").combine_chunks(), pa.array(counts, pa.binary()), pa.array(packed, pa.binary())], schema=_OWNED)
 
 
-_REMOVED = "rid long, n_removed long, kept_sha256 string, spans array<int>, kept_text binary"
+_REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text binary"
 
 
 def _remove(with_text: bool):
     schema = arrow_schema(_REMOVED)
 
-    def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
+    def run(block: pa.Table, right: pa.Table) -> pa.Table:
         """A block's documents without the words of windows that a smaller id owns."""
-        if not docs.num_rows or not owned.num_rows:
-            return schema.empty_table()
         decode = zstandard.ZstdDecompressor().decompress
         owners: dict[int, np.ndarray] = {}
-        for p, c, o in zip(*(owned.column(k).to_pylist() for k in ("pick", "counts", "owners")), strict=True):
+        places = np.empty((0, 3), np.int32)
+        for w, p, c, o in zip(*(right.column(k).to_pylist() for k in ("places", "pick", "counts", "owners")), strict=True):
+            if w is not None:
+                places = np.frombuffer(decode(w), np.int32).reshape(-1, 3)
+                continue
             parts = np.split(np.frombuffer(decode(o), np.int64), np.cumsum(np.frombuffer(c, np.int32))[:-1])
             owners.update(zip(np.frombuffer(p, np.int32).tolist(), parts, strict=True))
+        ids, joined = _documents(block)
+        of = np.searchsorted(places[:, 0], np.arange(len(ids) + 1))
         rows = []
-        for rid, doc_id, words, starts, picks in zip(*(docs.column(k).to_pylist() for k in ("rid", "doc_id", "words", "starts", "picks")), strict=True):
-            tokens = decode(words).split(b" ")
-            edge = np.zeros(len(tokens) + 1, np.int32)
-            for s, k in zip(np.frombuffer(starts, np.int32).tolist(), np.frombuffer(picks, np.int32).tolist(), strict=True):
-                taken = s + np.flatnonzero(owners[k] < doc_id)
-                edge[taken] += 1
-                edge[taken + WINDOW] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            kept = b" ".join([tokens[k] for k in np.flatnonzero(~gone).tolist()])
-            rows.append((rid, int(gone.sum()), hashlib.sha256(kept).hexdigest(), change.tolist(), kept if with_text else None))
-        return pa.Table.from_batches([batch(schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5)])
+        for d, (doc_id, words) in enumerate(zip(ids.tolist(), joined, strict=True)):
+            tokens, change = words.split(), []
+            if of[d] < of[d + 1]:
+                edge = np.zeros(len(tokens) + 1, np.int32)
+                for _, s, k in places[of[d] : of[d + 1]].tolist():
+                    taken = s + np.flatnonzero(owners[k] < doc_id)
+                    edge[taken] += 1
+                    edge[taken + WINDOW] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+                words = b" ".join([tokens[k] for k in np.flatnonzero(~gone).tolist()]) if change else words
+            removed = sum(change[1::2]) - sum(change[::2])
+            rows.append((None if doc_id == NO_ID else doc_id, len(tokens), removed, hashlib.sha256(words).hexdigest(), change, words if with_text else None))
+        return pa.Table.from_batches([batch(schema, [list(c) for c in zip(*rows, strict=True)])])
 
     return run
 
@@ -334,33 +363,18 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``spans`` holds the removed word positions as start, end, start, end, ...
     """
-    spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(1 << 16, max(shuffle_partitions(spark), size >> 25, 1))
+    parts = min(1 << 16, max(shuffle_partitions(docs.sparkSession), size >> 25, 1))
     blocks = written(_read_blocks(docs, parts, id_col, text_col), "substring-blocks")
-    rows = blocks.where("rid is not null")
-    repeated = blocks.where("bucket is not null").select("block", "bucket", "anchors").groupBy("bucket").applyInArrow(_repeated, "block long, anchors binary")
-    cut = rows.select("block", "rid", "doc_id", "words").groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_cut(parts), _CUT)
-    cut = written(cut, "substring-segments")
-    owned = cut.where("shard is not null").select("shard", "block", "pick", "owner", "content").groupBy("shard").applyInArrow(_search, "block long, pick binary, counts binary, owners binary")
-    held = cut.where("rid is not null").select("block", "rid", "doc_id", "words", "starts", "picks")
-    removed = held.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(_remove(with_text), _REMOVED)
-    columns = [
-        F.when(F.col("doc_id") == NO_ID, None).otherwise(F.col("doc_id")).alias("doc_id"), "n_words",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast("array<int>")).alias("spans"),
-    ]
-    whole = ["rid", "doc_id", "n_words", "sha", *(["words"] if with_text else [])]
-    out = rows.select(*whole).join(removed, "rid", "left")
-    if not with_text:
-        return out.select(*columns)
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            text = pa.array([(k if k is not None else decode(w)).decode() for k, w in zip(b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), text], names=["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"])
-
-    return out.select(*columns, "kept_text", "words").mapInArrow(unpack, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>, kept_text string")
+    rows = blocks.where("ids is not null").select("block", "ids", "words").groupBy("block")
+    repeated = blocks.where("bucket is not null").select("block", "bucket", "anchors").groupBy("bucket").applyInArrow(_repeated, _REPEATED)
+    cut = written(rows.cogroup(repeated.groupBy("block")).applyInArrow(_cut(parts), _CUT), "substring-segments")
+    release(docs.sparkSession)
+    owned = cut.where("shard is not null").select("shard", "block", "pick", "owner", "content").groupBy("shard").applyInArrow(_search, "block long, places binary, pick binary, counts binary, owners binary")
+    none = F.lit(None).cast("binary")
+    places = cut.where("places is not null").select("block", "places", none.alias("pick"), none.alias("counts"), none.alias("owners"))
+    out = rows.cogroup(places.unionByName(owned).groupBy("block")).applyInArrow(_remove(with_text), _REMOVED)
+    return out.withColumn("kept_text", F.decode("kept_text", "UTF-8")) if with_text else out.drop("kept_text")
 
 
 def substring_report(docs: DataFrame) -> DataFrame:
