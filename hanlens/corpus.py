@@ -25,7 +25,7 @@ SAMPLES = (
     "這個方法被廣泛使用，也被廣泛採用。這樣的故事告訴我們要努力。領先業界5年。",
     "值得注意的是，這不只是工具，而是平台。讓我們拭目以待。奠定了理論基礎。",
     "儘管面臨許多挑戰，產業仍然成長。從設計到測試再到部署都要自動化。",
-    "價格的下降導致需求上升。我會去，如果明天不下雨的話。他是一個善良的人。",
+    "價格的下降導致需求上升。我明天會去台北找老朋友，如果不下雨的話。他是一個善良的人。",
     "他仔細的看書，慢慢地走路。我的朋友的父親的公司的產品的價格很高。",
     "他來了。他走了。他笑了。她哭了。2020年他曾經去過，已經看了。",
     "這是最美麗的城市之一。因為下雨，所以不去。當我到家的時候，雨停了。",
@@ -43,6 +43,7 @@ SAMPLES = (
 KEPT = 4
 #: Longer documents for rules about density and paragraphs.
 RICH = (
+    "\n\n".join(f"這意味著第{n}點不容忽視，它深刻影響了結果，從某種意義上說也是如此，從某種程度上說更是這樣。需要注意的是，在某種程度上我們都會改變，在這個過程中學習" for n in "一二三四五六七八九"),
     "\n\n".join(f"雖然第{n}次測試失敗了，但是團隊沒有放棄，值得注意的是，更重要的是大家學到了經驗。不僅速度很快，也更穩定——真的很好——非常好——這證明了努力是成功的關鍵" for n in "一二三四五六七八"),
     "\n\n".join(["# 挑戰與未來展望", "## 結論與展望", "- **效能**很好而且**品質**很好，價格也低", "- 第二項說明", "- 第三項說明", "1. 第四項說明"]),
     "他被批評，被責罵，被忽視，被開除，被遺忘，被嘲笑，然後離開了那個地方再也沒有回來過。\n\n可以說是相對而言在某種程度上這個結果還算可以接受，從某個角度來看它可以說是相對而言非常成功的一次嘗試，值得大家一起學習參考與討論。",

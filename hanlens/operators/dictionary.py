@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.spans import matches
+from ..functions.spans import matches, outside
 from ..rules import CASES, INTERNATIONAL_ONLY, SEVERITY, Rule, parse
 
 MOST_RULES, MOST_CLUES, CLUE_CHARS, PLACE_CHARS = 50_000, 32, 40, 20
@@ -61,12 +61,13 @@ def alternation(terms: Iterable[str]) -> str:
     return "|".join(re.escape(t).replace("\\，", "，") for t in sorted(set(terms), key=lambda t: (-len(t), t)))
 
 
-def hits(docs: DataFrame, rules: Iterable[Rule] | None = None, absorb: bool = False) -> DataFrame:
-    """(doc_id, start, length, from, pre, post): leftmost-longest hits with 40 characters on both sides."""
+def hits(docs: DataFrame, rules: Iterable[Rule] | None = None, absorb: bool = False, excluded: str | None = None) -> DataFrame:
+    """(doc_id, start, length, from, pre, post): leftmost-longest hits outside the excluded ranges, with 40 characters on both sides."""
     rules = list(parse() if rules is None else rules)
     terms = [r.from_ for r in rules if not r.disabled]
     spans = matches(F.col("text"), alternation([*terms, *(absorbers(rules) if absorb else ())]))
-    rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = spans if excluded is None else outside(spans, F.col(excluded))
+    rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.coalesce("text", F.lit("")).alias("text"), *([excluded] if excluded else []))
     rows = rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["found"].alias("from"), _before(s["start"]).alias("pre"), _after(s["start"] + s["length"]).alias("post"))).alias("spans"))
     rows = rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
     return rows.where(F.col("from").isin(terms)) if absorb else rows
@@ -115,9 +116,9 @@ def conditions(found: DataFrame, rules: DataFrame) -> DataFrame:
     return m.withColumn("kept", F.col("superstring_ok") & F.col("exception_ok") & F.col("clues_ok") & F.col("position_ok"))
 
 
-def spelling_issues(docs: DataFrame, rules: DataFrame, terms: Iterable[Rule] | None = None) -> DataFrame:
+def spelling_issues(docs: DataFrame, rules: DataFrame, terms: Iterable[Rule] | None = None, excluded: str | None = None) -> DataFrame:
     """Issues of the dictionary: a deletion also takes one following ``，`` or ``：``; attributes come last."""
-    m = conditions(hits(docs, terms), rules).where("kept")
+    m = conditions(hits(docs, terms, excluded=excluded), rules).where("kept")
     deletion = (F.size("to") == 1) & (F.element_at("to", 1) == "") & F.left("post", F.lit(1)).isin("，", "：")
     found = F.when(deletion, F.concat("from", F.left("post", F.lit(1)))).otherwise(F.col("from"))
     return m.select("doc_id", "rule_id", F.col("type").alias("rule_type"), "severity", F.col("start").alias("offset"), F.octet_length(found).alias("length"), found.alias("found"), F.col("to").alias("suggestions"), "english", "clues")

@@ -59,11 +59,9 @@ def scan(docs: DataFrame, profile: str = "base", rules: list[Rule] | None = None
     d = with_exclusions(docs, content_type)
     spans = detectors.issues(d, wanted(p), "excluded").withColumn("rule_id", F.lit(None).cast("int"))
     table = dictionary.compiled(dictionary.layered(dictionary.rule_table(docs.sparkSession, terms)), p.variants, p.fillers, p.translationese, p.stance)
-    words = dictionary.spelling_issues(d, table, terms)
+    words = dictionary.spelling_issues(d, table, terms, "excluded")
     kind = F.when(F.col("rule_type") == "ai_filler", "ai_style").otherwise(F.col("rule_type"))
     words = words.select("doc_id", F.lit("dictionary").alias("code"), kind.alias("issue_type"), "severity", "offset", "length", "found", F.when(F.size("suggestions") == 1, F.element_at("suggestions", 1)).alias("suggestion"), "rule_id")
-    skip = d.select("doc_id", "excluded")
-    words = words.join(skip, "doc_id").where(~F.exists("excluded", lambda r: (F.col("offset") < r["end"]) & (F.col("offset") + F.col("length") > r["start"]))).drop("excluded")
     return resolved(spans.select(*words.columns).unionByName(words))
 
 
