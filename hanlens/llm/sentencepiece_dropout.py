@@ -11,8 +11,9 @@ Text is coded as it is: one space goes in front, spaces are the model's space
 mark, and what the vocabulary lacks, a literal space mark included, goes as
 bytes.  No merge crosses from a word into the next space, so a text is cut there;
 each cut draws one of ``VARIANTS`` variants by a keyed hash of (seed, doc_id,
-place), and a worker remembers the codes of (variant, word) it met, at most
-``REMEMBERED`` of them.
+place), and a worker remembers the codes of (variant, word) it met in two
+generations of at most ``REMEMBERED`` together: when the young one is full it
+becomes the old one, and what is met again moves up.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated
 rows with one doc_id are coded alike; a null id draws like id -1; ids do not
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from .common import sliced, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS, REMEMBERED = 0.1, 7, 4, 250_000
+DROPOUT, SEED, VARIANTS, REMEMBERED = 0.1, 7, 2, 600_000
 #: Cuts of at most so many known characters are merged together, many at a time; others one by one.
 SHORT, TOGETHER = 32, 8192
 _NONE = 1 << 30
@@ -79,10 +80,23 @@ class Pieces:
         pairs = sorted((self.ids[q[:k]] * len(self.bytes_of) + self.ids[q[k:]], i, self.ranks[q]) for q, i in self.ids.items() for k in range(1, len(q)) if q[:k] in self.ids and q[k:] in self.ids)
         #: Pairs of pieces that make a piece: sorted keys, the piece, its rank.
         self.pairs = tuple(np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self._known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self._old = self._known
+        self._char = np.full(0x110000, -1, np.int32)
+        for piece, k in self.ids.items():
+            if len(piece) == 1 and piece != MARK:
+                self._char[ord(piece)] = k
+        self._char[ord(" ")] = self.ids[MARK]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": [{} for _ in range(self.variants)]}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "_old", "_char")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
 
     def _key(self, cut: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(cut.encode(), self.seed * 1_000_003 + variant) if self.p else 0
@@ -132,13 +146,11 @@ class Pieces:
         made = (keys[at] == q) & (a >= 0) & (b >= 0)
         return np.where(made, piece[at], -1), np.where(made, rank[at], _NONE)
 
-    def _merged_together(self, rows: list[list[int]], keys: np.ndarray) -> list[tuple[int, ...]]:
-        """``_merged`` for many cuts of known characters at once: each row's agenda is its line of ranks."""
+    def _merged_together(self, rows: np.ndarray, keys: np.ndarray) -> list[tuple[int, ...]]:
+        """``_merged`` for many cuts at once, a row of piece ids each, -1 behind: a row's agenda is its line of ranks."""
         least = int(self.p * 2**64)
-        n, wide = len(rows), max(map(len, rows)) + 1
-        sym = np.full((n, wide), -1, np.int64)  # one column of nothing ends every row
-        for k, r in enumerate(rows):
-            sym[k, : len(r)] = r
+        n, wide = len(rows), rows.shape[1] + 1
+        sym = np.concatenate([rows, np.full((n, 1), -1)], axis=1)  # one column of nothing ends every row
         right = np.minimum(np.arange(1, wide + 1), wide - 1) + np.zeros((n, 1), np.int64)
         left = np.arange(-1, wide - 1) + np.zeros((n, 1), np.int64)
         piece, rank = np.full((n, wide), -1, np.int64), np.full((n, wide), _NONE, np.int64)
@@ -172,27 +184,39 @@ class Pieces:
         return out
 
     def _learn(self, missed: set[tuple[int, str]]) -> dict[tuple[int, str], tuple[int, ...]]:
-        """Codes of cuts that are not remembered; those of at most 64 characters are from now on."""
-        ids, mark = self.ids, self.ids[MARK]
+        """Codes of cuts that the young generation lacks; those of at most 64 characters are in it from now on."""
         codes: dict[tuple[int, str], tuple[int, ...]] = {}
-        short, rows = [], []
-        for v, cut in sorted(missed, key=lambda m: len(m[1])):
-            row = [mark if c == " " else -1 if c == MARK else ids.get(c, -1) for c in cut] if len(cut) <= SHORT else [-1]
-            if -1 in row:
-                codes[v, cut] = self._code(cut, v)
+        new = []
+        for m in missed:
+            if (old := self._old[m[0]].get(m[1])) is not None:
+                codes[m] = old
             else:
-                short.append((v, cut))
-                rows.append(row)
-        for k in range(0, len(rows), TOGETHER):
-            part = short[k : k + TOGETHER]
+                new.append(m)
+        new.sort(key=lambda m: len(m[1]))
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            lengths = np.array([len(cut) for _, cut in part])
+            if lengths[-1] > SHORT:
+                codes.update((m, self._code(m[1], m[0])) for m in part if len(m[1]) > SHORT)
+                part = [m for m in part if len(m[1]) <= SHORT]
+                lengths = lengths[: len(part)]
+            if not part:
+                continue
+            there = np.arange(lengths[-1]) < lengths[:, None]
+            rows = np.full(there.shape, -1, np.int64)
+            rows[there] = self._char[np.frombuffer("".join([cut for _, cut in part]).encode("utf-32-le"), np.uint32)]
+            odd = (rows < 0) & there
             keys = np.array([self._key(cut, v) for v, cut in part], np.uint64)
-            codes.update(zip(part, self._merged_together(rows[k : k + TOGETHER], keys), strict=True))
-        if sum(map(len, self._known)) + len(codes) > REMEMBERED:
-            for known in self._known:
-                known.clear()
+            merged = self._merged_together(rows, keys)
+            codes.update(zip(part, merged, strict=True))
+            codes.update((part[j], self._code(part[j][1], part[j][0])) for j in np.flatnonzero(odd.any(axis=1)).tolist())
+        if sum(map(len, self._known)) + len(codes) > REMEMBERED // 2:
+            self._old, self._known = self._known, [{} for _ in range(self.variants)]
+        room = REMEMBERED // 2
         for (v, cut), c in codes.items():
-            if len(cut) <= 64 and len(self._known[v]) < REMEMBERED // self.variants:
+            if len(cut) <= 64 and room:
                 self._known[v][cut] = c
+                room -= 1
         return codes
 
     def _variants(self, doc_id: int | None, n: int) -> list[int]:
