@@ -10,9 +10,10 @@ count.  The score is the logistic of ``a + b * sum(weights) / words ** gamma``.
 
 Lexicon, exceptions learnt beside the given ones, ``a``, ``b`` and ``gamma`` come
 from at most ``PER_CLASS`` labelled rows of each class (the documented bound).
-An entry is a word or a word's beginning whose document log-odds are high; a
-greedy cover takes the entry that explains most of the toxic rows not yet
-explained, so words that merely travel with one copied text are left out.
+Every word, and every beginning of words, that enough toxic texts hold and whose
+document log-odds are high is an entry.  Copies of one text count once towards
+enough, so words that merely travel with it are left out; a beginning is folded
+into its entries when too few toxic texts hold it without one of them.
 
 Cases: null and empty texts have no match and score like any text without one;
 no labelled rows of both classes leave an empty lexicon and a score of 0.25
@@ -31,6 +32,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,13 +41,16 @@ from .common import arrow_schema, batch, held_out, label_sample, texts, written
 PER_CLASS = 4096
 #: Lengths of word beginnings that may become entries.
 STEM = range(4, 9)
-MIN_ROWS, MIN_LOG_ODDS, MOST_CANDIDATES, MOST_ENTRIES = 5, 3.0, 20_000, 2_000
+MIN_ROWS, MIN_LOG_ODDS, MOST_LEARNT = 5, 3.0, 2_000
+#: Texts are copies when all hashes of a band agree: smallest hashes of their runs of three words.
+BANDS, BAND_HASHES = 4, 4
 EXCEPTIONS = ("clown fish", "trash can", "pathetic fallacy")
 
 #: Letters of other scripts that look like Latin ones, and signs used for letters.
 LOOK_ALIKE = "аеорсухкмтвніѕјԁԛԝɡɩαεικνορτυχ"
 LOOKS_LIKE = "aeopcyxkmtbhisjdqwgiaeikvoptux"
 SIGNS, LETTERS = "013457@$!|", "oieastasil"
+_M64 = (1 << 64) - 1
 _ZERO_WIDTH = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 
@@ -187,37 +192,63 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     odds = F.log((F.col("n1") + 0.5) / (all1 + 1)) - F.log((F.col("n0") + 0.5) / (all0 + 1))
     rows = sample.select("text", "y").mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    rows = rows.where((F.col("n1") >= MIN_ROWS) & (odds >= MIN_LOG_ODDS)).orderBy(F.desc("n1"), F.length("term"), "term").limit(MOST_CANDIDATES).collect()
+    rows = rows.where((F.col("n1") >= MIN_ROWS) & (odds >= MIN_LOG_ODDS)).collect()
     weight = {r.term: _log_odds(r.n1, r.n0, all1, all0) for r in rows}
     sent = sample.sparkSession.sparkContext.broadcast(weight)
-    holding = arrow_schema("doc_id long, terms array<string>")
+    holding = arrow_schema("doc_id long, terms array<string>, copied array<long>")
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(holding, [b.column(0), [sorted(t for t in _terms(_words(x.decode())) if t in sent.value) for x in texts(b.column(1))]])
+            given = [x.decode() for x in texts(b.column(1))]
+            yield batch(holding, [b.column(0), [sorted(t for t in _terms(_words(x)) if t in sent.value) for x in given], [_bands(x) for x in given]])
 
-    toxic = sample.where("y = 1").select("doc_id", "text").mapInArrow(hold, "doc_id long, terms array<string>").orderBy("doc_id").collect()
-    chosen = _cover([set(r.terms) for r in toxic], weight)
+    toxic = sample.where("y = 1").select("doc_id", "text").mapInArrow(hold, "doc_id long, terms array<string>, copied array<long>").orderBy("doc_id").collect()
+    chosen = _admitted([set(r.terms) for r in toxic], _same([r.copied for r in toxic]), weight)
     entries = tuple((t[1:], t[0] == "=", w) for t, w in chosen)
     return _calibrated(sample, Toxicity(entries, exceptions, 0.0, 0.0, 0.0))
 
 
-def _cover(rows: list[set[str]], weight: dict[str, float]) -> list[tuple[str, float]]:
-    """Entries by greedy cover, each lengthened as far as no covered row is lost."""
+def _bands(text: str) -> list[int]:
+    """A key for each band of the text's smallest hashes; copies of a text agree in one of them."""
+    w = fold(plain(text)).split()
+    runs = {" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    h = np.array([xxhash.xxh64_intdigest(r) for r in runs], np.uint64)
+    least = [int(((h ^ np.uint64(k * 0x9E3779B97F4A7C15 & _M64)) * np.uint64(0xBF58476D1CE4E5B9)).min()) for k in range(1, BANDS * BAND_HASHES + 1)]
+    return [xxhash.xxh64_intdigest(repr((k, least[k : k + BAND_HASHES]))) >> 1 for k in range(0, len(least), BAND_HASHES)]
+
+
+def _same(keys: list[list[int]]) -> list[int]:
+    """The text of each row: rows that share a key have the same one."""
+    up = list(range(len(keys)))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    first: dict[int, int] = {}
+    for k, row in enumerate(keys):
+        for x in row:
+            a, b = root(k), root(first.setdefault(x, k))
+            up[max(a, b)] = min(a, b)
+    return [root(k) for k in range(len(keys))]
+
+
+def _admitted(rows: list[set[str]], text: list[int], weight: dict[str, float]) -> list[tuple[str, float]]:
+    """Every term of enough distinct texts; a beginning counts those that hold no entry it begins."""
     where: dict[str, set[int]] = {}
-    for k, terms in enumerate(rows):
+    for k, terms in zip(text, rows, strict=True):
         for t in terms:
             where.setdefault(t, set()).add(k)
-    left, chosen = set(range(len(rows))), []
-    while left and len(chosen) < MOST_ENTRIES:
-        gain = {t: len(s & left) for t, s in where.items()}
-        top = max(gain.values(), default=0)
-        if top < MIN_ROWS:
-            break
-        t = max((t for t, g in gain.items() if g >= 0.98 * top), key=lambda t: (t[0] == "=", len(t), weight[t], t))
-        chosen.append((t, weight[t]))
-        left -= where.pop(t)
-        where = {u: s for u, s in where.items() if s & left}
+    chosen: list[tuple[str, float]] = []
+    under: dict[str, set[int]] = {}
+    for t in sorted(where, key=lambda t: (t[0] != "=", -len(t), t)):
+        if len(where[t] - under.get(t[1:], set()) if t[0] == "^" else where[t]) >= MIN_ROWS:
+            chosen.append((t, weight[t]))
+            for k in STEM:
+                if len(t) > k:
+                    under.setdefault(t[1 : k + 1], set()).update(where[t])
     return chosen
 
 
@@ -245,7 +276,7 @@ def _calibrated(sample: DataFrame, model: Toxicity) -> Toxicity:
     near: tuple[Counter, Counter] = (Counter(), Counter())
     for r in rows:
         near[r.y].update(r.around)
-    learnt = sorted(p for p, n in near[0].items() if n >= 3 and not near[1][p])[:MOST_ENTRIES]
+    learnt = sorted(p for p, n in near[0].items() if n >= 3 and not near[1][p])[:MOST_LEARNT]
     if learnt:
         model = model._replace(exceptions=(*model.exceptions, *learnt))
         sent = sample.sparkSession.sparkContext.broadcast(model)

@@ -235,6 +235,18 @@ def test_toxicity_learns_and_folds(spark):
     assert toxicity.toxic_spans(docs, model).count() > 0
 
 
+def test_toxicity_keeps_words_that_share_rows(spark):
+    bad = [f"x{k} vileword y{k * 7} {'scumword' if k % 2 else 'z'} q{k}" for k in range(60)] + [f"z{k} scumword u{k * 3} t{k}" for k in range(3)]
+    copied = [" ".join(f"c{j}" for j in range(60)) + f" vileword passenger e{k}" for k in range(12)]
+    rows = list(enumerate(bad + copied + [f"a{k} calm day b{k * 5} n{k}" for k in range(300)], 1000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000 + len(bad + copied))) for i, _ in rows], "doc_id long, toxic int")
+    entries = {(t, whole) for t, whole, _ in toxicity.learn(docs, labels).entries}
+    assert {("vileword", True), ("scumword", True)} <= entries
+    assert not any("passenger".startswith(t) for t, _ in entries)
+    assert not any(not whole and "scumword".startswith(t) for t, whole in entries)
+
+
 def test_quality_classifier(spark):
     docs, labels = labelled(spark, lambda k: f"buy | now | w{k} | $$$ | cheap | click", lambda k: f"a calm sentence number w{k}, which ends well.", "quality")
     model = quality_classifier.train(docs, labels)
