@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from hanlens.llm import exact_dedup, mixing, quality_classifier, sentencepiece_dropout, simhash
 from hanlens.llm.common import table, written
@@ -37,8 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Add the piece ids of every text."""
-    return sentencepiece_dropout.encode_docs(docs, sentencepiece_dropout.Pieces())
+    """Add the piece ids of every text; the two rows of a document taken twice draw differently."""
+    copy = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("doc_id", "text")).orderBy(F.lit(0))) - 1
+    return sentencepiece_dropout.encode_docs(docs.withColumn("_copy", copy), sentencepiece_dropout.Pieces(), copy_col="_copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -216,6 +216,18 @@ def test_sentencepiece_round_trip(edge):
     assert sentencepiece_dropout.encode_docs(edge.limit(0), varied).count() == 0
 
 
+def test_sentencepiece_draws_for_each_occurrence():
+    varied, plain = sentencepiece_dropout.Pieces(), sentencepiece_dropout.Pieces(p=0.0)
+    word = "understanding"
+    docs = varied.encode_many([word] * 4000, list(range(4000)))
+    ways = collections.Counter(map(tuple, docs))
+    assert len(ways) > 8 and tuple(plain.encode(word, 1)) in ways and all(varied.decode(w) == word for w in ways)
+    # What a worker remembers changes nothing: heap, table and tree draw alike.
+    assert docs == [varied._code(" " + word, int(varied._keys(k, 0, 1)[0]))[0] for k in range(4000)]
+    assert docs[3999] == sentencepiece_dropout.Pieces().encode(word, 3999)
+    assert len({tuple(varied.encode_many([LONG], [1], [c])[0]) for c in (0, 1)}) == 2
+
+
 def labelled(spark, bad, good, label):
     rows = [(k, (bad if k % 2 else good)(k), "s", "x") for k in range(400)]
     return spark.createDataFrame(rows + EDGE, SCHEMA), spark.createDataFrame([(k, int((k % 2 == 1) == (label == "toxic"))) for k in range(400)], f"doc_id long, {label} int")

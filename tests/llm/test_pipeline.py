@@ -31,6 +31,12 @@ def test_run_equals_brute_force_dedup(spark, sf_dir):
     assert max(collections.Counter(r.doc_id for r in out).values()) <= 2
 
 
+def test_copies_of_a_mixed_document_draw_differently(spark, sf_dir):
+    text = " ".join(f"understanding{k} remarkable" for k in range(50))
+    docs = spark.createDataFrame([(k, text, "en", "s", len(text)) for k in (1, 1, 2)], table(spark, sf_dir, "documents").schema)
+    assert len({tuple(r.piece_ids) for r in corpus_pipeline.encode(spark, docs, sf_dir).collect()}) == 3
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None), (1, "", None, None, 0), (1, "", None, None, 0), (2, "a b c", "en", "s", 5)]])
 def test_odd_rows_pass_every_stage(spark, sf_dir, rows):
     docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
