@@ -353,7 +353,7 @@ def fix_lexical_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def convert_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.converge(short(spark, sf_dir), 2)
+    return scan.converge(short(spark, sf_dir))
 
 
 @query()

@@ -43,6 +43,12 @@ def test_entry(spark):
     assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
 
 
+def test_convert_loop_runs_three_rounds(spark, sf_dir, monkeypatch):
+    rounds, fixed = [], queries.kernels.fixed
+    monkeypatch.setattr(queries.kernels, "fixed", lambda *a: (rounds.append(1), fixed(*a))[1])
+    assert queries.convert_loop(spark, sf_dir).columns == ["doc_id", "text"] and len(rounds) == 3
+
+
 def test_names_are_documented_pairs():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert set(queries.QUERIES) <= set(entry.queries())
