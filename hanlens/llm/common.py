@@ -17,6 +17,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 #: Java and RE2 both read this as "one word".
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str]] = []
+_owner = ContextVar("owner", default="")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +52,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hanlens/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _written.append((spark, path, _owner.get()))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,14 +62,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Tables written meanwhile belong to ``owner``."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def drop_unread(owner: str, docs: DataFrame) -> None:
+    """Remove the tables of ``owner`` that ``docs`` does not read."""
+    mine = [t for t in _written if t[2] == owner]
+    read = {p for f in docs.inputFiles() for p in f.split("/")} if mine else set()
+    for t in mine:
+        if t[1].rsplit("/", 1)[1] not in read:
+            _remove(*t[:2])
+            _written.remove(t)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _forget() -> None:
     """Remove what ``written`` left, as far as the session still lives."""
-    for spark, path in _written:
+    for spark, path, _ in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session is gone: the folder's owner clears it
             return
 
@@ -88,6 +114,14 @@ def held_out_col(doc_id: str | Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % mod == rest
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, with ``_`` behind until no column has it in any case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,14 +11,17 @@ stages merge equal texts, each comparing the full content and not only a digest:
 
 The content travels zstd-compressed; the coding is injective and deterministic,
 so equal codes are equal contents.  A group's members find their survivor by two
-joins of small rows along member -> local winner -> salt winner; no join key
-holds more rows than a group has tasks.
+joins of small rows along member -> local winner -> salt winner.  In the first a
+key has the copies of one local winner, at most what one task reads in
+``LOCAL_BYTES`` of contents; in the second at most a salt's local winners.
 
 Cases: a null text is empty; the empty text is a text like any other, so all
-blank rows form one group; repeated rows (even with one doc_id) are rows of
-their own, of which one stays; ties go to the longest original (code points),
+blank rows form one group; a very long text is coded and compared whole, and is
+a batch of its own where need be; repeated rows (even with one doc_id) are rows
+of their own, of which one stays; ties go to the longest original (code points),
 the smallest doc_id (null last), the earliest row read.  An empty table gives
-an empty result.  Other columns are not read by the report.
+an empty result.  Other columns are not read by the report, and all stay in
+``exact_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch, texts, written
+from .common import arrow_schema, batch, free_name, texts, written
 
 SALTS = 32
 #: Bytes of content a task holds before it hands its local winners on.
@@ -120,15 +123,16 @@ def exact_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = numbered(docs)
-    groups = duplicate_groups(kept.select(F.col(ROW_ID).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    stay = groups.where("rid = keep_rid").select(F.col("rid").alias(ROW_ID))
-    return kept.join(stay, ROW_ID, "left_semi").drop(ROW_ID)
+    kept, rid = numbered(docs)
+    groups = duplicate_groups(kept.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    stay = groups.where("rid = keep_rid").select(F.col("rid").alias(rid))
+    return kept.join(stay, rid, "left_semi").drop(rid)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` as a written table with a row id that stays the same whenever it is read."""
-    return written(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a row id that stays the same whenever it is read, and that column's name."""
+    rid = free_name(docs.columns, ROW_ID)
+    return written(docs.withColumn(rid, F.monotonically_increasing_id()), "rows"), rid
 
 
 ORACLE = r"""

@@ -16,10 +16,13 @@ candidate, and what follows if it is merged or skipped, down to the codes.  Only
 the hash is drawn anew.  A way met for the first time and once is coded without
 growing a tree; trees that have grown over ``REMEMBERED`` are dropped.
 
-Cases: null and empty texts have no ids and decode to the empty text; repeated
+Cases: null and empty texts have no ids and decode to the empty text; a very long
+text is coded in one go with a key a cut, and a cut over ``LONGEST`` characters on
+its own, never remembered; of equal scores the leftmost merges first; repeated
 rows with one doc_id are coded alike unless ``copy_col`` numbers them; a null id draws like id -1; ids do not
 depend on partitioning, order or executor; an empty table gives an empty
-result; other columns stay in ``encode_docs``.
+result; other columns stay in ``encode_docs``, and of names that clash in any case
+the new one gets ``_`` behind.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, texts
+from .common import free_name, sliced, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, REMEMBERED = 0.1, 7, 8_000_000
@@ -338,9 +341,7 @@ def encode_docs(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
     kept = [f for f in docs.schema.fields if f.name != copy_col]
     names = []
     for name in ("piece_ids", "n_pieces", "lossless"):
-        while name in docs.columns or name in names:
-            name += "_"
-        names.append(name)
+        names.append(free_name([*docs.columns, *names], name))
     out = T.StructType([*kept, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.BooleanType())])
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
 

@@ -19,9 +19,11 @@ sorted orders first, then only across what is still apart, so thousands of near
 copies cost no square of rows.  Components come from ``graph.components``.
 
 Cases: a null or blank text has fingerprint zero and links like any other; texts
-of one or two words have one shingle, the whole sequence; repeated rows share
-their fingerprint; a component of null ids alone has a null id; an empty table
-gives an empty result; other columns stay in ``near_dedup``.
+of one or two words have one shingle, the whole sequence; a very long text is
+hashed whole, its bits counted 65,536 shingles at a time; a bit set in exactly
+half the shingles (a tie) is 0; repeated rows share their fingerprint; a
+component of null ids alone has a null id; an empty table gives an empty result;
+other columns stay in ``near_dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, batch, shuffle_partitions, texts, written
-from .exact_dedup import ROW_ID, numbered
+from .exact_dedup import numbered
 from .graph import components, skew_lookup
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -269,8 +271,8 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest id (null last, then the first read)."""
-    rows = numbered(docs)
-    prints = written(fingerprints(rows.select(F.col(id_col).alias("doc_id"), ROW_ID, text_col), ["doc_id", ROW_ID], text_col), "simhash")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", ROW_ID)).alias("first")
-    stay = near_groups(prints).groupBy("root").agg(first).select(F.col(f"first.{ROW_ID}").alias(ROW_ID))
-    return rows.join(stay, ROW_ID, "left_semi").drop(ROW_ID)
+    rows, rid = numbered(docs)
+    prints = written(fingerprints(rows.select(F.col(id_col).alias("doc_id"), F.col(rid).alias("rid"), text_col), ["doc_id", "rid"], text_col), "simhash")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rid")).alias("first")
+    stay = near_groups(prints).groupBy("root").agg(first).select(F.col("first.rid").alias(rid))
+    return rows.join(stay, rid, "left_semi").drop(rid)
