@@ -15,20 +15,25 @@ only has to meet the one index that can hold its copies:
    different contexts could follow, is dealt window by window instead, each to
    the shard of its own words.
 3. *Index.*  A shard folds equal segments of all blocks (keeping the smallest
-   id), and indexes the distinct ones: suffix array, Burrows-Wheeler transform,
-   and a wavelet matrix of bit vectors with rank counts.  All windows of all
-   segments are searched backward together; a search whose interval has one
-   entry has met only itself and stops.  What reaches ``WINDOW`` words gets the
-   smallest id of its interval, and goes back to the block.
-4. *Removal.*  A block marks the words of windows owned by a smaller id.
+   id), and indexes the distinct ones: Burrows-Wheeler transform, a wavelet
+   matrix of bit vectors with rank counts, and for each suffix the number of its
+   segment instead of its place.  All places of all segments stream past the
+   index together, extended backward while their interval has more than one
+   entry: their matching statistics, as far as the threshold.  What reaches
+   ``WINDOW`` words gets the smallest id of its interval, and goes back to the
+   block.
+4. *Removal.*  A block joins the places above the threshold that a smaller id owns
+   into intervals of words (``matched_intervals``) and takes those words out.
 
 Hashes only choose where windows meet; the index compares words.  Nothing is
-collected on the driver, and a shard holds distinct content only.
+collected on the driver, a shard holds distinct content only, and the number of
+shards follows the text's bytes.
 
-Cases: a null text has no words; texts shorter than a window lose nothing;
-a document never loses words to itself or to rows with its own id; null ids come
+Cases: a null text has no words; texts shorter than a window lose nothing; a very
+long text is a block of its own; a document never loses words to itself, to
+rows with its own id (repeated rows, ties) or to a larger id; null ids come
 after all others and are equal to each other; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ from .common import arrow_schema, batch, release, shuffle_partitions, sliced, te
 WINDOW, GRAM = 13, 6
 #: Text bytes of a block; blocks that make an anchor hot.
 BLOCK_BYTES, HOT = 32 << 20, 24
+#: Text bytes a shard; the number of shards follows the corpus.
+SHARD_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,7 +227,7 @@ class WaveletMatrix:
             one = (s >> level & 1).astype(bool)
             packed = np.packbits(np.concatenate([one, np.zeros(-len(one) % 64 + 64, bool)]), bitorder="little").view(np.uint64)
             self.bits.append(packed)
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
+            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.uint32 if self.n < 1 << 32 else np.int64))
             self.zeros.append(int(self.n - one.sum()))
             s = np.concatenate([s[~one], s[one]])
 
@@ -228,15 +235,19 @@ class WaveletMatrix:
         """Where the occurrences of ``symbol`` among the first ``i`` entries end in the last level."""
         for k in range(self.levels):
             word, bit = i >> 6, (i & 63).astype(np.uint64)
-            ones = self.ranks[k][word] + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            ones = self.ranks[k][word].astype(np.int64) + np.bitwise_count(self.bits[k][word] & ((np.uint64(1) << bit) - np.uint64(1)))
             i = np.where(symbol >> (self.levels - 1 - k) & 1, self.zeros[k] + ones, i - ones)
         return i
 
 
 class FmIndex:
-    """Backward search over texts of symbols; 0 stands between texts and is in no pattern."""
+    """Backward search over texts of symbols; 0 stands between texts and is in no pattern.
 
-    def __init__(self, text: np.ndarray, symbols: int, depth: int = WINDOW) -> None:
+    Once built it holds bit vectors with 32-bit counts, and instead of suffixes
+    (places in the text) the 32-bit label of the text each of them begins in.
+    """
+
+    def __init__(self, text: np.ndarray, symbols: int, labels: np.ndarray, depth: int = WINDOW) -> None:
         n = len(text)
         rank, step = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
@@ -249,7 +260,7 @@ class FmIndex:
             rank = np.empty(n, np.int64)
             rank[order] = new
             step *= 2
-        self.suffixes = order
+        self.labels = labels.astype(np.int32)[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.tree = WaveletMatrix(text[order - 1], max(1, int(symbols - 1).bit_length()))
         every = np.arange(symbols)
@@ -287,7 +298,7 @@ def index_owners(contents: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     of = np.zeros(len(text), np.int64)
     of[starts] = 1
     of = np.maximum(np.cumsum(of) - 1, 0)
-    index = FmIndex(text, len(ids) + 1)
+    index = FmIndex(text, len(ids) + 1, of)
     windows = lengths - WINDOW + 1
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(windows)[:-1]]), windows) + np.arange(windows.sum())
     best = owners[of[at]].copy()
@@ -296,7 +307,7 @@ def index_owners(contents: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
         unique, back = np.unique(low, return_inverse=True)
         end = np.empty(len(unique), np.int64)
         end[back] = high
-        by_suffix = np.append(owners[of[index.suffixes]], NO_ID)
+        by_suffix = np.append(owners[index.labels], NO_ID)
         least = np.minimum.reduceat(by_suffix, np.stack([unique, end], axis=1).ravel())[::2]
         best[here] = np.minimum(best[here], least[back])
     return np.split(best, np.cumsum(windows)[:-1])
@@ -363,8 +374,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``spans`` holds the removed word positions as start, end, start, end, ...
     """
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(1 << 16, max(shuffle_partitions(docs.sparkSession), size >> 25, 1))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), size // SHARD_BYTES, 1)
     blocks = written(_read_blocks(docs, parts, id_col, text_col), "substring-blocks")
     rows = blocks.where("ids is not null").select("block", "ids", "words").groupBy("block")
     repeated = blocks.where("bucket is not null").select("block", "bucket", "anchors").groupBy("bucket").applyInArrow(_repeated, _REPEATED)
@@ -377,6 +388,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumn("kept_text", F.decode("kept_text", "UTF-8")) if with_text else out.drop("kept_text")
 
 
+def matched_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, stop): word intervals of ``WINDOW`` words or more that smaller ids hold too, joined where they touch."""
+    pairs = F.expr("transform(sequence(0, size(spans) div 2 - 1), k -> struct(spans[cast(2 * k as int)] AS start, spans[cast(2 * k + 1 as int)] AS stop))")
+    return repeated_words(docs, id_col, text_col).where(F.size("spans") > 0).select("doc_id", F.explode(pairs).alias("i")).select("doc_id", "i.*")
+
+
 def substring_report(docs: DataFrame) -> DataFrame:
     return repeated_words(docs).drop("spans")
 
