@@ -15,9 +15,15 @@ document log-odds are high is an entry.  Copies of one text count once towards
 enough, so words that merely travel with it are left out; a beginning is folded
 into its entries when too few toxic texts hold it without one of them.
 
-Cases: null and empty texts have no match and score like any text without one;
-no labelled rows of both classes leave an empty lexicon and a score of 0.25
-everywhere; repeated rows score alike; other columns are ignored.
+Bounds: the sample alone bounds the lexicon, the exceptions (a match with the
+word next to it that three clean texts and no toxic one hold) and so the
+automaton that is sent to the workers; beginnings are 4 to 8 letters long.
+
+Cases: null and empty texts have no match and score like any text without one; a
+very long text is matched whole in one pass; of entries that start together
+(ties) the heaviest counts, once; no labelled rows of both classes leave an empty
+lexicon and a score of 0.25 everywhere; repeated rows score alike; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +47,9 @@ from .common import arrow_schema, batch, held_out, label_sample, texts, written
 PER_CLASS = 4096
 #: Lengths of word beginnings that may become entries.
 STEM = range(4, 9)
-MIN_ROWS, MIN_LOG_ODDS, MOST_LEARNT = 5, 3.0, 2_000
+MIN_ROWS, MIN_LOG_ODDS = 5, 2.5
+#: Powers of the length that a score may be divided by; none of them leaves the length out.
+GAMMAS = (0.25, 0.5, 0.75, 1.0)
 #: Texts are copies when all hashes of a band agree: smallest hashes of their runs of three words.
 BANDS, BAND_HASHES = 4, 4
 EXCEPTIONS = ("clown fish", "trash can", "pathetic fallacy")
@@ -132,7 +140,14 @@ class Matcher:
                     safe.append((start, end))
                 elif not (v[0] and end < len(low) and low[end].isalnum()) and any(c.isalpha() for c in low[start:end]) and v[1] > best.get(start, (0, 0.0))[1]:
                     best[start] = (end, v[1])
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in safe)]
+        out, k, reach = [], 0, 0
+        safe.sort()
+        for s, (e, w) in sorted(best.items()):
+            while k < len(safe) and safe[k][0] <= s:  # how far the phrases that start by now reach
+                reach, k = max(reach, safe[k][1]), k + 1
+            if e > reach:
+                out.append((s, e, w))
+        return out
 
     def value(self, text: str, gamma: float) -> float:
         total = sum(w for *_, w in self.hits(text))
@@ -149,7 +164,7 @@ def _log_odds(n1: int, n0: int, all1: int, all0: int) -> float:
 
 def _terms(words: set[str]) -> set[str]:
     """Words as ``=word`` and beginnings as ``^stem``."""
-    return {"=" + w for w in words if len(w) >= 3 and len(w) <= 64} | {"^" + w[:k] for w in words for k in STEM if len(w) >= k}
+    return {"=" + w for w in words if len(w) >= 3} | {"^" + w[:k] for w in words for k in STEM if len(w) >= k}
 
 
 def _logistic_1d(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -276,22 +291,36 @@ def _calibrated(sample: DataFrame, model: Toxicity) -> Toxicity:
     near: tuple[Counter, Counter] = (Counter(), Counter())
     for r in rows:
         near[r.y].update(r.around)
-    learnt = sorted(p for p, n in near[0].items() if n >= 3 and not near[1][p])[:MOST_LEARNT]
+    learnt = sorted(p for p, n in near[0].items() if n >= 3 and not near[1][p])
     if learnt:
         model = model._replace(exceptions=(*model.exceptions, *learnt))
         sent = sample.sparkSession.sparkContext.broadcast(model)
         rows = measure()
     y, n, total = (np.array([r[k] for r in rows], float) for k in range(3))
-    fits = [(_logistic_1d(total / np.maximum(n, 1) ** g, y), g) for g in (0.0, 0.1, 0.25, 0.5, 1.0)]
+    fits = [(_logistic_1d(total / np.maximum(n, 1) ** g, y), g) for g in GAMMAS]
     (a, b, _), gamma = min(fits, key=lambda f: f[0][2])
     return model._replace(a=a, b=b, gamma=gamma)
 
 
 def _around(low: str, start: int, end: int) -> list[str]:
-    """The match with the word before it, and with the word after it."""
-    before, after = re.search(r"\w+ $", low[max(0, start - 65) : start]), re.match(r"\w* \w+", low[end : end + 129])
-    out = [before[0] + low[start:end]] if before else []
-    return [*out, low[start:end] + after[0]] if after else out
+    """The match with the word before it, and with the word after it, where one space parts them."""
+    def word(k: int) -> bool:
+        return 0 <= k < len(low) and (low[k].isalnum() or low[k] == "_")
+
+    out, a, b = [], start - 1, end
+    if a > 0 and low[a] == " ":
+        while word(a - 1):
+            a -= 1
+        if a < start - 1:
+            out.append(low[a:end])
+    while word(b):
+        b += 1
+    if low[b : b + 1] == " " and word(b + 1):
+        b += 1
+        while word(b):
+            b += 1
+        out.append(low[start:b])
+    return out
 
 
 def toxicity_scores(docs: DataFrame, model: Toxicity, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
