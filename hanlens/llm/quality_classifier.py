@@ -10,10 +10,12 @@ documented bound; see ``label_sample``), collected as at most ``2**BITS``
 hashed counts a row.  Classes weigh the same, so the score is P(label 1) under
 even priors.  Every row of the table is scored over its whole text.
 
-Cases: a null or empty text has no feature and scores the bias alone; without
-labelled rows of both classes every score is 0.5; repeated rows score alike;
-null ids count as ``''`` for the held-out split; other columns are ignored by
-the report and kept by the filter.
+Cases: a null or empty text has no feature and scores the bias alone; a very long
+text is at most ``2**BITS`` counts; a score that equals the threshold (a tie)
+passes; without labelled rows of both classes every score is 0.5; repeated rows
+score alike; null ids count as ``''`` for the held-out split; an empty table
+gives an empty result; other columns are ignored by the report and kept by the
+filter, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,8 +13,10 @@ Failing lines are removed.  A document is rejected when they hold more than
 see ``COUNTS``.
 
 Cases: a null text is empty, so it has no word, fails the base rule and is not
-kept; blank lines are neither counted nor lost; repeated rows get equal rows;
-an empty table gives an empty result; the filter keeps all columns.
+kept; blank lines are neither counted nor lost; a very long text, or line, is
+judged whole; a document that loses exactly ``MOST_LOST`` (a tie) is kept;
+repeated rows get equal rows; an empty table gives an empty result; the report
+ignores other columns, the filter keeps all of them, whatever their names.
 """
 
 from __future__ import annotations
