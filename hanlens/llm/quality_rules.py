@@ -6,7 +6,7 @@ A line with a word fails when one of these holds (``w`` its words):
 * *symbols*: ``#*$%&|<>`` make at least half as many characters as words;
 * *repetition*: eight words or more of which half or more repeat the word before;
 * *punctuation*: twelve words or more without any of ``.,;:!?`` or their CJK forms;
-* *boilerplate*: it holds one of ``BOILERPLATE`` in any ASCII case.
+* *boilerplate*: it holds one of ``BOILERPLATE`` (legal and sharing lines in four languages) in any ASCII case.
 
 Failing lines are removed.  A document is rejected when they hold more than
 ``MOST_LOST`` of its words.  The base counts are taken on the whole input text:
@@ -33,7 +33,11 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, batch, texts
 
 MIN_WORDS, MOST_REPEATED, MOST_LOST = 50, 50, 0.3
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here to", "lorem ipsum", "share this article")
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "subscribe to our newsletter", "click here to", "lorem ipsum", "share this article",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "newsletter abonnieren", "tous droits réservés", "politique de confidentialité", "mentions légales", "partager cet article",
+    "todos los derechos reservados", "política de privacidad", "aviso legal", "compartir este artículo",
+)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
