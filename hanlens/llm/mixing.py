@@ -42,7 +42,7 @@ from .exact_dedup import numbered
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 ITERATIONS, TOLERANCE = 80, 1e-9
-SLOTS = 4096
+SLOTS = 1024
 NO_SIZE = (1 << 63) - 1
 _SOURCE = ["no_source", "source_name"]
 _CELL = [*_SOURCE, "size"]

@@ -202,7 +202,7 @@ def brute_mix(rows):
         for n in cells:
             def place(k):
                 d = rows[k][0]
-                return (42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) % 4096, d is not None, d or 0
+                return (42 if d is None else xxhash.xxh64_intdigest(struct.pack("<q", d), 42)) % mixing.SLOTS, d is not None, d or 0
 
             members = sorted((k for k, r in enumerate(rows) if r[2] == s and size[k] == n), key=place)
             for at, k in enumerate(members):
