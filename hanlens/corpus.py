@@ -1,7 +1,7 @@
 """A mixed corpus over the driver's documents, as one SQL expression that Spark and DuckDB share.
 
-The driver's texts hold no Chinese, so most rows take one of these sentences by
-their id; every ``len(SAMPLES) + KEPT``-th run keeps ``KEPT`` untouched rows.
+The driver's texts hold no Chinese, so most rows begin with one of these samples,
+by their id, and go on with their whole text; ``KEPT`` residues have no sample.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ SAMPLES = (
     "這個軟件的內存很大,但是線程太多. 用戶界面需要優化!",
     "他說\"這是測試\"然後離開了; 真的嗎? 好(的)。",
     "請見 https://example.org/a?b=1 與 @writer_1 的說明, 內存在此。",
-    "<!-- note:ignore-next-line -->\n這一行的內存不算。\n下一行的內存要算。",
+    "<!-- hanlens:ignore-next-line -->\n這一行的內存不算。\n下一行的內存要算。",
     "蘋果，香蕉，橘子，西瓜，這些水果都很好吃，因為它們新鮮而且價格便宜。",
     "他用“引號”和‘單引號’寫作,大約3~五天,第一-第二章。",
     "等一下...我想想。。。好吧… 共有１２３個。。",
@@ -39,6 +39,18 @@ SAMPLES = (
     "",
     "嗯，就是說這個東西其實很好用啦，然後那個基本上就對不對。",
     "快速、高效、穩定的平台。這條路線連接過去，這條線會走出來，這條線延伸到未來。",
+    "| 項目開發 | 內存 |\n|---|---|\n| 軟件 | 支持系統 |\n\n「外『內』外」與『單獨』，還有「沒關上。",
+    "---\ntitle: \"內存 標題\"\ntags: 軟件\n---\n::: note\n軟件在此。\n:::\n\n    縮排 內存\n\n> 引用 線程\n\n`內存` 與 <b>軟件</b>",
+    "<!-- hanlens:ignore-block -->\n內存\n軟件\n<!-- hanlens:end-ignore -->\n線程 // hanlens:ignore\n硬件",
+    "進程的排程需要PID，多個進程一起跑。學習進程需要耐心。程序編譯成執行檔。令牌用OAuth認證。令牌在區塊鏈上。中間件處理HTTP。",
+    "換言之，這意味著失敗。這意味著很多。系統作為核心，程式充當橋樑，他有所作為。使用者擁有權限，擁有者擁有API介面。",
+    "我昨天在城裡遇到的朋友送的書很好，這本由許多優秀的作者共同完成的關於程式設計的經典的著作值得一讀。",
+    "因為天氣不好。所以我們沒去。雖然很累！但是值得。系統的實施帶來效率的提升，方法的分析的講解，制度的改善與環境的改善。",
+    "實際上，他基本上絕對地相信。基本上 (basically) 是這樣。制度的減少在過去這麼多年的發展之中最後導致了失敗。",
+    "- **效能提升**：很好\n- **品質改善**：很好\n- **成本下降**：很低\n\n1. **甲**說明\n2. **乙**說明\n3. **丙**說明\n\n- 一\n- 二\n- 三",
+    "這是café與naïve的é測試，ｶﾞ與가的內存。Dr. Wang left. He said hi. 中文。etc. Then more? Yes! 好嗎？",
+    "共有１２３4個。甲 - 乙。價格 = ...元。// 註解...好\n第一章.....3。東京 ~ 大阪。好…。",
+    "我愛你你。謝謝，哈哈。天天向上。測試測試一下。這個 這個。我們的的書。是是非非。",
 )
 KEPT = 4
 #: Longer documents for rules about density and paragraphs.
@@ -60,15 +72,19 @@ def _literal(text: str) -> str:
     return " || chr(10) || ".join(parts)
 
 
-def text_sql(column: str = '"text"') -> str:
-    """The corpus text of a document row, in either dialect (the column name must be quoted for each)."""
+def _before(cases: str, divisor: int, column: str) -> str:
+    return f"coalesce(CASE doc_id % {divisor} {cases} END || chr(10) || chr(10), '') || coalesce({column}, '')"
+
+
+def text_sql(column: str = "text") -> str:
+    """A document's whole text with its sample before it, in either dialect."""
     cases = " ".join(f"WHEN {k} THEN {_literal(s)}" for k, s in enumerate(SAMPLES))
-    return f"CASE doc_id % {len(SAMPLES) + KEPT} {cases} ELSE {column} END"
+    return _before(cases, len(SAMPLES) + KEPT, column)
 
 
-def long_sql(column: str = '"text"') -> str:
-    """Longer documents: eight samples in a row, as paragraphs, for rules that need length."""
+def long_sql(column: str = "text") -> str:
+    """Longer samples: twelve in a row, as paragraphs, or a rich one, before the whole text."""
     k = len(SAMPLES)
     cases = " ".join(f"WHEN {n} THEN {' || chr(10) || chr(10) || '.join(_literal(SAMPLES[(n * 5 + j * (1 + n % 3)) % k]) for j in range(12))}" for n in range(k))
     rich = " ".join(f"WHEN {k + KEPT + n} THEN {_literal(t)}" for n, t in enumerate(RICH))
-    return f"CASE doc_id % {k + KEPT + len(RICH)} {cases} {rich} ELSE {column} END"
+    return _before(f"{cases} {rich}", k + KEPT + len(RICH), column)

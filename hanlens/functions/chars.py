@@ -40,18 +40,6 @@ def byte_offset(text: Column, chars: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), chars)).cast("int")
 
 
-def line_of(text: Column, offset: Column) -> Column:
-    """1-based line of a byte offset."""
-    head = prefix(text, offset)
-    return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
-
-
-def column_of(text: Column, offset: Column) -> Column:
-    """1-based column of a byte offset in UTF-16 units."""
-    last = F.element_at(F.split(prefix(text, offset), "\n", -1), -1)
-    return (F.length(last) + F.regexp_count(last, F.lit(r"[\x{10000}-\x{10FFFF}]")) + 1).cast("int")
-
-
 def prefix(text: Column, offset: Column) -> Column:
     """The text before a byte offset."""
     return F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset), "UTF-8")
@@ -97,6 +85,14 @@ def cache_context(context: Column) -> Column:
     return F.concat(F.lit("v1:"), F.substring(bare, low + 1, F.lit(80)))
 
 
+def compressed_locations(locations: Column) -> Column:
+    """``line:col`` pairs ``array<struct<line, col>>`` as text: lines first and the column once where all share it."""
+    shared = F.forall(locations, lambda x: x["col"] == F.element_at(locations, 1)["col"])
+    lines = F.array_join(F.transform(locations, lambda x: x["line"].cast("string")), ",")
+    each = F.array_join(F.transform(locations, lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["col"].cast("string"))), ",")
+    return F.when(F.size(locations) == 0, "").when((F.size(locations) > 1) & shared, F.concat(lines, F.lit(":"), F.element_at(locations, 1)["col"].cast("string"))).otherwise(each)
+
+
 def identity(*parts: Column) -> Column:
     """Identity of a tuple: SHA-256 over its parts, each with its length."""
     return F.sha2(F.concat_ws("|", *(F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in (F.coalesce(p.cast("string"), F.lit("")) for p in parts))), 256)

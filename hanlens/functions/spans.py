@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Hits summed one by one before their sums are summed: no array grows by single elements beyond this.
+STRETCH = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """``array<struct<start, length, found>>`` of a pattern's matches (none may be empty).
 
     With ``group`` the match's text is that of the group, which must start the match.
+    Offsets are running sums in two levels, so the work grows with the hits.
     """
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    found = hits if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), F.octet_length(h).alias("all"))), found, lambda p, f: F.struct(p["gap"].alias("gap"), p["all"].alias("all"), f.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int,found:string>>)").alias("out"))
-    step = lambda a, r: F.struct((a["at"] + r["gap"] + r["all"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + r["gap"]).alias("start"), F.octet_length(r["found"]).alias("length"), r["found"].alias("found"))).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(rows, start, step, lambda a: a["out"])).otherwise(start["out"])
+    none = F.expr("cast(array() as array<struct<start:int,length:int,found:string>>)")
+
+    def sized(hits: Column) -> Column:
+        found = hits if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), F.octet_length(h).alias("all")))
+        return F.zip_with(lengths, found, lambda n, f: F.struct(n["gap"].alias("gap"), n["all"].alias("all"), f.alias("found")))
+
+    def placed(stretch: Column, begin: Column) -> Column:
+        start = F.struct(begin.alias("at"), none.alias("out"))
+        step = lambda a, r: F.struct((a["at"] + r["gap"] + r["all"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + r["gap"]).alias("start"), F.octet_length(r["found"]).alias("length"), r["found"].alias("found"))).alias("out"))
+        return F.aggregate(stretch, start, step, lambda a: a["out"])
+
+    def summed(stretches: Column) -> Column:
+        sums = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda a, r: a + r["gap"] + r["all"]))
+        begins = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
+        return F.flatten(F.zip_with(stretches, F.slice(begins, 1, F.size(stretches)), placed))
+
+    def cut(rows: Column) -> Column:
+        last = F.floor((F.size(rows) - 1) / STRETCH).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * STRETCH + 1, F.lit(STRETCH))), summed)
+
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.when(text.rlike(pattern), let(hits, lambda h: let(sized(h), cut))).otherwise(none)
 
 
 def ranges(spans: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.chars import content_words, identity
-from ..rules import COLLOCATIONS, PRIORS
+from ..functions.spans import matches
+from ..rules import COLLOCATIONS, OTHER_SENSES, PRIORS
+from .dictionary import alternation
 
 IMMUNE = ("punctuation", "case", "variant", "grammar", "ai_style")
 
@@ -15,17 +16,16 @@ IMMUNE = ("punctuation", "case", "variant", "grammar", "ai_style")
 def glossary(issues: DataFrame, proper: list[str], banned: list[str], docs: DataFrame | None = None) -> DataFrame:
     """Proper nouns are no issues; banned terms are errors, and become issues where none covers them."""
     left = issues.where(~F.col("found").isin(proper)) if proper else issues
-    left = left.withColumn("glossary_banned", F.col("found").isin(banned) if banned else F.lit(False))
-    left = left.withColumn("severity", F.when(F.col("glossary_banned"), "error").otherwise(F.col("severity"))) if banned else left
     if docs is None or not banned:
-        return left
-    from ..functions.spans import matches
-    from .dictionary import alternation
-
-    spans = docs.select("doc_id", F.explode(matches(F.coalesce("text", F.lit("")), alternation(banned))).alias("s"))
-    extra = spans.select("doc_id", F.lit("cross_strait").alias("issue_type"), F.lit("error").alias("severity"), F.col("s.start").alias("offset"), F.col("s.length").alias("length"), F.col("s.found").alias("found"), F.lit(True).alias("glossary_banned"))
-    covers = (left.doc_id == extra.doc_id) & (left.offset <= extra.offset) & (left.offset + left.length >= extra.offset + extra.length)
-    return left.unionByName(extra.join(left, covers, "left_anti"), allowMissingColumns=True)
+        return left.withColumn("glossary_banned", F.lit(False))
+    spans = docs.select("doc_id", F.explode(matches(F.coalesce("text", F.lit("")), alternation(banned))).alias("s")).select("doc_id", "s.*")
+    mine = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("banned"))  # a document's own places, no more than its text holds
+    covered = F.exists("banned", lambda b: (F.col("offset") <= b["start"]) & (F.col("offset") + F.col("length") >= b["start"] + b["length"]))
+    left = left.join(mine, "doc_id", "left").withColumn("glossary_banned", F.coalesce(covered, F.lit(False))).drop("banned")
+    left = left.withColumn("severity", F.when(F.col("glossary_banned"), "error").otherwise(F.col("severity")))
+    cover = (left["doc_id"] == spans["doc_id"]) & (left["offset"] <= spans["start"]) & (left["offset"] + left["length"] >= spans["start"] + spans["length"])
+    extra = spans.join(left, cover, "left_anti").select("doc_id", F.lit("cross_strait").alias("issue_type"), F.lit("error").alias("severity"), F.col("start").alias("offset"), "length", "found", F.lit(True).alias("glossary_banned"))
+    return left.unionByName(extra, allowMissingColumns=True)
 
 
 def suppressed(issues: DataFrame, terms: DataFrame) -> DataFrame:
@@ -62,22 +62,46 @@ def consistency(issues: DataFrame, docs: DataFrame) -> DataFrame:
     return g.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "english", F.array_join("terms", ",").alias("terms"), "preferred", F.contains("text", "preferred").alias("mixed"), "n")
 
 
-def eligible() -> Column:
-    """Tier 2 looks at ambiguous regional terms."""
-    return F.col("rule_type").isin("cross_strait", "confusable") & ((F.size("suggestions") > 1) | (F.size("clues") > 0) | (F.col("found") == "進程"))
+def _anchor(issues: DataFrame) -> Column:
+    """Whether a translation anchors the term; null where nobody looked."""
+    return F.col("anchor_match") if "anchor_match" in issues.columns else F.lit(None).cast("boolean")
 
 
-def tier2_score(window: str = "window") -> DataFrame | Column:
-    """Score of a term in its window: a collocation settles it, else clues and the prior."""
-    hit = F.lit(False)
-    for term, near, to in COLLOCATIONS:
-        hit = hit | ((F.col("found") == term) & F.contains(window, F.lit(near)) & F.array_contains("suggestions", to))
-    n = F.size(F.filter("clues", lambda c: F.contains(F.col(window), c)))
+def eligible(anchor: Column | None = None) -> Column:
+    """Tier 2 looks at ambiguous regional terms."""
+    anchored_ = F.lit(False) if anchor is None else F.coalesce(anchor, F.lit(False))
+    return F.col("rule_type").isin("cross_strait", "confusable") & (anchored_ | (F.size("suggestions") > 1) | (F.size("clues") > 0) | F.col("found").isin(*OTHER_SENSES))
+
+
+def _said(words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.col("window"), w))
+
+
+def tier2(issues: DataFrame, profile: str = "base") -> DataFrame:
+    """``issues`` with ``tier2_score``, ``tier2_outcome`` and the term it settles on.
+
+    A hard anchor or a collocation settles it, another sense of the word ends
+    it; else clues, the profile's prior and a soft anchor add up.
+    """
+    anchor = _anchor(issues)
+    collocated, prior, preferred = F.lit(None).cast("string"), F.lit(0.0), F.lit(None).cast("string")
+    for term, near, to in reversed(COLLOCATIONS):  # the first one whose word is there counts
+        collocated = F.when((F.col("found") == term) & F.contains("window", F.lit(near)), to).otherwise(collocated)
+    for term, want, weight in PRIORS[profile]:
+        prior, preferred = (F.when(F.col("found") == term, v).otherwise(old) for v, old in ((weight, prior), (want, preferred)))
+    elsewhere = F.lit(False)
+    for term, words in OTHER_SENSES.items():
+        elsewhere = elsewhere | ((F.col("found") == term) & _said(words))
+    n = F.size(F.filter("clues", lambda c: F.contains(F.col("window"), c)))
     clue = F.when(n > 0, F.least(F.lit(0.7), 0.3 + 0.4 * n / F.size("clues"))).otherwise(0.0)
-    prior = F.lit(0.0)
-    for term, preferred, weight in PRIORS:
-        prior = F.when((F.col("found") == term) & F.array_contains("suggestions", preferred), weight).otherwise(prior)
-    return F.when(hit, 1.0).otherwise(F.least(F.lit(1.0), clue + prior))
+    bonus = F.when(anchor & (F.size("suggestions") > 1), 0.2).when(~anchor, -0.2).otherwise(0.0)
+    hard, fits = F.coalesce(anchor & (F.size("suggestions") == 1), F.lit(False)), F.coalesce(F.array_contains("suggestions", F.col("_collocated")), F.lit(False))
+    rows = issues.withColumns({"_collocated": collocated, "_clue": clue, "_prior": prior, "_preferred": preferred})
+    score = F.when(hard | fits, 1.0).when(elsewhere, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(F.col("_clue") + F.col("_prior") + bonus, 9))))
+    first = F.get("suggestions", F.lit(0))
+    term = F.when(hard, first).when(fits, F.col("_collocated")).when((F.col("_prior") > F.col("_clue")) & F.array_contains("suggestions", F.col("_preferred")), F.col("_preferred")).otherwise(first)
+    rows = rows.withColumn("tier2_score", score).withColumn("tier2_outcome", tier2_outcome("tier2_score")).withColumn("tier2_term", F.when(F.col("tier2_outcome") == "resolved", term))
+    return rows.drop("_collocated", "_clue", "_prior", "_preferred")
 
 
 def tier2_outcome(score: str | Column) -> Column:
@@ -85,25 +109,33 @@ def tier2_outcome(score: str | Column) -> Column:
     return F.when(s >= 0.6, "resolved").when(s < 0.3, "suppressed").otherwise("gray")
 
 
-def tier2_apply(issues: DataFrame) -> DataFrame:
-    """Promote the collocation's or prior's suggestion; suppressed terms become info."""
-    best = F.lit(None).cast("string")
-    for term, preferred, _ in PRIORS:
-        best = F.when(F.col("found") == term, preferred).otherwise(best)
-    for term, near, to in COLLOCATIONS:
-        best = F.when((F.col("found") == term) & F.contains("window", F.lit(near)), to).otherwise(best)
-    front = F.array_union(F.array(best), F.array_remove("suggestions", best))
-    out = issues.withColumn("tier2_score", tier2_score()).withColumn("tier2_outcome", tier2_outcome("tier2_score"))
-    out = out.withColumn("suggestions", F.when((F.col("tier2_outcome") == "resolved") & F.array_contains("suggestions", best), front).otherwise(F.col("suggestions")))
+def promoted(term: Column) -> Column:
+    """The suggestions with ``term`` and the first one changed places, if it is among them."""
+    swap = F.transform("suggestions", lambda x, k: F.when(k == 0, term).when(x == term, F.get("suggestions", F.lit(0))).otherwise(x))
+    return F.when(F.coalesce(F.array_contains("suggestions", term), F.lit(False)), swap).otherwise(F.col("suggestions"))
+
+
+def tier2_apply(issues: DataFrame, profile: str = "base") -> DataFrame:
+    """Eligible terms settled or suppressed: the settled suggestion first, suppressed ones info."""
+    out = tier2(issues, profile)
+    on = F.coalesce(eligible(_anchor(issues)), F.lit(False))
+    out = out.withColumns({c: F.when(on, F.col(c)) for c in ("tier2_score", "tier2_outcome", "tier2_term")})
+    out = out.withColumn("suggestions", F.when(F.isnotnull("tier2_term"), promoted(F.col("tier2_term"))).otherwise(F.col("suggestions")))
     return out.withColumn("severity", F.when(F.col("tier2_outcome") == "suppressed", "info").otherwise(F.col("severity")))
 
 
+def confirmed(issues: DataFrame, answers: DataFrame) -> DataFrame:
+    """Answers of a bulk question (doc_id, offset, keep): what is not kept becomes info."""
+    out = issues.join(answers, ["doc_id", "offset"], "left")
+    return out.withColumn("severity", F.when(~F.col("keep"), "info").otherwise(F.col("severity"))).drop("keep")
+
+
 def judged(issues: DataFrame, judgements: DataFrame) -> DataFrame:
     """Gray terms with a judgement (found, context_key, chosen): promoted, or info when rejected."""
     out = issues.join(judgements, ["found", "context_key"], "left")
     take = F.col("chosen").isNotNull() & F.array_contains("suggestions", F.col("chosen"))
     out = out.withColumn("llm_judged", F.col("confidence").isNotNull())
-    out = out.withColumn("suggestions", F.when(take, F.array_union(F.array("chosen"), F.col("suggestions"))).otherwise(F.col("suggestions")))
+    out = out.withColumn("suggestions", F.when(take, promoted(F.col("chosen"))).otherwise(F.col("suggestions")))
     return out.withColumn("severity", F.when(F.col("llm_judged") & F.isnull("chosen"), "info").otherwise(F.col("severity"))).drop("chosen", "confidence")
 
 
@@ -140,9 +172,8 @@ def conflicts(rules: DataFrame) -> DataFrame:
 
 
 def fresh(cache: DataFrame, now: int, ttl: int, most: int, key: list[str]) -> DataFrame:
-    """Cache rows (..., created_at) not older than ``ttl``; of a partition's rows the newest ``most``."""
-    live = cache.where(F.col("created_at") >= now - ttl)
-    return live.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("created_at"), *key))).where(F.col("rank") <= most).drop("rank")
+    """Cache rows (..., created_at) not older than ``ttl``, the newest ``most`` of them (O32); a top-k, so no task holds more."""
+    return cache.where(F.col("created_at") >= now - ttl).orderBy(F.desc("created_at"), *key).limit(most)
 
 
 def to_scan(docs: DataFrame, cache: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ look-around: a plain core pattern and a condition on what stands before
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -23,13 +25,15 @@ K = r"[^，。；,\n]"
 
 # Word lists of the rules.
 VERB_SUFFIXES = "了過著來去完好到"
-PRONOUNS = ("我們", "你們", "他們", "她們", "這個", "那個", "我", "你", "他", "她", "它", "這", "那")
+PRONOUNS = ("我", "你", "他", "她", "它", "我們", "你們", "他們", "她們", "這", "那", "這個", "那個")
 ADJECTIVES = (
     "漂亮", "高興", "開心", "難過", "傷心", "生氣", "快樂", "緊張", "害怕", "著急", "無聊", "好看",
     "難看", "厲害", "聰明", "笨", "冷", "熱", "忙", "累", "餓", "渴", "胖", "瘦", "大", "小", "多",
     "少", "長", "短", "高", "矮", "好", "壞", "新", "舊", "快", "慢", "早", "晚", "遠", "近", "深",
     "淺", "重", "輕", "難", "容易",
 )
+#: May follow a bare adjective; any other ideograph makes it modify a noun.
+ADJECTIVE_TAILS = "的了啊呀呢吧嗎又且並但而"
 A_NOT_A = (
     "是不是", "有沒有", "能不能", "會不會", "要不要", "好不好", "對不對", "行不行", "可不可以", "願不願意",
     "想不想", "知不知道", "喜不喜歡", "認不認識", "做不做", "吃不吃", "去不去", "來不來", "看不看", "走不走",
@@ -52,18 +56,7 @@ ADVERBS_DE = ("慢慢地", "靜靜地", "認真地", "安靜地", "輕輕地", "
 ENDINGS = ("展望未來", "拭目以待", "值得期待", "我們有理由相信", "具有重要意義", "具有重要戰略意義")
 ENDING_PAIRS = (("奠定", "理論基礎"), ("提供", "重要框架"), ("發揮", "關鍵作用"), ("印證", "重要性"))
 PERSON_NOUNS = ("畫家", "學者", "作家", "工程師", "程式設計師", "設計師", "研究員", "運動員", "球員", "演員", "歌手", "作者", "記者", "教授", "醫師", "醫生")
-NOT_WHEN = "下時作初今年日前地局事中然面選權代"
-CHAIN_HEADS = (
-    "實施", "分析", "講解", "理解", "認識", "發現", "提升", "下降", "改善", "評估", "探索", "建構", "推動",
-    "落實", "形成", "確立", "發展", "建立", "促進", "強化", "深化", "整合", "統合", "落地", "規劃", "執行",
-)
-FALSE_FRIENDS = ("實際上", "字面上", "基本上", "絕對地", "肯定地", "明顯地", "嚴肅地表示", "誠實地說")
 TWO_LETTER_ACRONYMS = ("AI", "IO", "OS", "IP", "UI", "VM", "GC", "PC", "DB", "PR", "RD", "QA", "ML", "FE", "BE")
-HEDGES = ("在某種程度上", "從某個角度來看", "可以說是", "相對而言")
-TRACKED = (
-    ("更重要的是", 0.5), ("值得注意的是", 0.3), ("這意味著", 0.5), ("不容忽視", 0.2), ("深刻影響", 0.3),
-    ("從某種意義上", 0.2), ("從某種程度上", 0.2), ("需要注意的是", 0.3), ("在某種程度上", 0.2), ("在這個過程中", 0.3),
-)
 
 
 def alt(words) -> str:
@@ -85,35 +78,42 @@ def _case(pairs) -> str:
     return "CASE " + " ".join(f"WHEN f = '{a}' THEN '{b}'" for a, b in pairs) + " END"
 
 
+#: White space as Unicode has it.
+W = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+BEFORE, AFTER = rf"(?<=[{C}][{W}]{{0,30}})", rf"(?=[{W}]*[{C}])"
+SQL_BEFORE, SQL_AFTER = rf"regexp_matches(pre, '[{C}][{W}]{{0,30}}$')", rf"regexp_matches(post, '^[{W}]*[{C}]')"
+
+
 def _near(sign: str) -> tuple[str, str]:
-    """(Java, SQL) for CJK context on either side, whitespace skipped."""
-    return rf"(?:(?<=[{C}]\s{{0,30}}){sign}|{sign}(?=\s*[{C}]))", rf"(regexp_matches(pre, '[{C}]\s{{0,30}}$') OR regexp_matches(post, '^\s*[{C}]'))"
+    """(Java, SQL) for CJK context on either side, whitespace skipped; the sign itself is looked for first."""
+    return rf"(?={sign})(?:{BEFORE}{sign}|{sign}{AFTER})", rf"({SQL_BEFORE} OR {SQL_AFTER})"
 
 
 def _punctuation() -> list[Detector]:
     made = []
     java, sql = _near(",")
-    made.append(Detector("p1_comma", "punctuation", "warning", rf"(?!(?<=[0-9]),[0-9]){java}", "'，'", 0, (",", f"{sql} AND NOT (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[0-9]'))")))
-    made.append(Detector("p2_period", "punctuation", "warning", rf"(?<![.])(?<=[{C}]\s{{0,30}})\.(?![.A-Za-z0-9])", "'。'", 0, (r"\.", rf"NOT regexp_matches(pre, '\.$') AND regexp_matches(pre, '[{C}]\s{{0,30}}$') AND NOT regexp_matches(post, '^[.A-Za-z0-9]')")))
+    made.append(Detector("p1_comma", "punctuation", "warning", rf"{java}(?!(?<=[0-9],)[0-9])", "'，'", 0, (",", f"{sql} AND NOT (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[0-9]'))")))
+    made.append(Detector("p2_period", "punctuation", "warning", rf"(?=\.)(?<![.]){BEFORE}\.(?![.A-Za-z0-9])", "'。'", 0, (r"\.", rf"NOT regexp_matches(pre, '\.$') AND {SQL_BEFORE} AND NOT regexp_matches(post, '^[.A-Za-z0-9]')")))
     for code, sign, full in (("p3_exclamation", "!", "！"), ("p3_question", r"\?", "？"), ("p3_semicolon", ";", "；")):
         java, sql = _near(sign)
         exempt = r"(?!!\[)" if sign == "!" else ""
         made.append(Detector(code, "punctuation", "warning", exempt + java, f"'{full}'", 0, (sign, sql + (r" AND NOT regexp_matches(post, '^\[')" if exempt else ""))))
     made.append(Detector("p4_parenthesis", "punctuation", "warning", rf"(?<=[{C}])[()](?=[{C}])", "CASE WHEN f = '(' THEN '（' ELSE '）' END", 0, ("[()]", f"regexp_matches(pre, '[{C}]$') AND regexp_matches(post, '^[{C}]')")))
     java, sql = _near(":")
-    made.append(Detector("p5_colon", "punctuation", "warning", rf"(?!(?<=[0-9]):[0-9])(?!://)(?<!\])(?!(?<![^\n]): ){java}", "'：'", 0, (":", rf"{sql} AND NOT (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[0-9]')) AND NOT regexp_matches(post, '^//') AND NOT regexp_matches(pre, '\]$') AND NOT ((pre = '' OR regexp_matches(pre, '\n$')) AND regexp_matches(post, '^ '))")))
+    made.append(Detector("p5_colon", "punctuation", "warning", rf"(?=:)(?!(?<=[0-9]):[0-9])(?!://)(?<!\])(?!(?<![^\n]): ){java}", "'：'", 0, (":", rf"{sql} AND NOT (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[0-9]')) AND NOT regexp_matches(post, '^//') AND NOT regexp_matches(pre, '\]$') AND NOT ((pre = '' OR regexp_matches(pre, '\n$')) AND regexp_matches(post, '^ '))")))
     quotes = rf"(?:(?<=[{C}]\s{{0,3}})[“”]|[“”](?=\s{{0,3}}[{C}]))"
     made.append(Detector("p8_double_curly", "punctuation", "warning", quotes, "CASE WHEN f = '“' THEN '「' ELSE '」' END", 0, ("[“”]", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]'))")))
     single = rf"(?<![A-Za-z])(?:(?<=[{C}]\s{{0,3}})[‘’]|[‘’](?=\s{{0,3}}[{C}]))(?![A-Za-z])"
     made.append(Detector("p8_single_curly", "punctuation", "warning", single, "CASE WHEN f = '‘' THEN '『' ELSE '』' END", 0, ("[‘’]", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]')) AND NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]')")))
-    tilde = rf"(?:(?<=[{C}])~(?=[0-9{C}])|(?<=[0-9])~(?=[{C}]))"
-    made.append(Detector("p9_range_tilde", "punctuation", "info", tilde, "'～'", 0, ("~", f"(regexp_matches(pre, '[{C}]$') AND regexp_matches(post, '^[0-9{C}]')) OR (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[{C}]'))")))
-    made.append(Detector("p9_range_hyphen", "punctuation", "info", rf"(?<=[{C}])-(?=[{C}])", "'～'", 0, ("-", f"regexp_matches(pre, '[{C}]$') AND regexp_matches(post, '^[{C}]')")))
-    dots = rf"(?:(?<=[{C}]\s{{0,3}})\.{{3,}}|(?<!\.)\.{{3,}}(?=\s{{0,3}}[{C}]))"
-    made.append(Detector("p10_ascii_dots", "punctuation", "warning", dots, "'……'", 0, (r"\.{3,}", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]'))")))
+    made.append(Detector("p9_range_tilde", "punctuation", "info", rf"(?=~)(?:{BEFORE}|(?<=[0-9]))~{AFTER}", "'～'", 0, ("~", rf"({SQL_BEFORE} OR regexp_matches(pre, '[0-9]$')) AND {SQL_AFTER}")))
+    line_start = r"(?<![\n\r][ \t]{0,30})(?<!^[ \t]{0,30})"
+    made.append(Detector("p9_range_hyphen", "punctuation", "info", rf"(?=-)(?<!-){line_start}{BEFORE}-(?!-){AFTER}", "'～'", 0, ("-", rf"NOT regexp_matches(pre, '-$') AND NOT regexp_matches(post, '^-') AND NOT regexp_matches(pre, '(^|[\n\r])[ \t]*$') AND {SQL_BEFORE} AND {SQL_AFTER}")))
+    formula, comment = rf"(?<!=[{W}]{{0,30}})", rf"(?<!(?:^|[\n\r])[{W}]{{0,30}}(?://|/\*)[^\n\r]{{0,200}})"
+    dots = rf"(?=\.\.\.)(?<!\.){formula}{comment}(?:{BEFORE}\.{{3,}}|\.{{3,}}{AFTER})(?!\.)(?!(?<=\.{{5}}) *[0-9])"
+    made.append(Detector("p10_ascii_dots", "punctuation", "warning", dots, "'……'", 0, (r"\.{3,}", rf"({SQL_BEFORE} OR {SQL_AFTER}) AND NOT regexp_matches(pre, '=[{W}]*$') AND NOT regexp_matches(pre, '(^|[\n\r])[{W}]*(//|/\*)[^\n\r]*$') AND NOT (length(f) >= 5 AND regexp_matches(post, '^ *[0-9]'))")))
     made.append(Detector("p10_full_stops", "punctuation", "warning", "。{3,}", "'……'"))
-    one = rf"(?<!…)(?:(?<=[{C}]\s{{0,3}})…|…(?=\s{{0,3}}[{C}]))(?!…)"
-    made.append(Detector("p10_single_ellipsis", "punctuation", "info", one, "'……'", 0, ("…", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]')) AND NOT regexp_matches(pre, '…$') AND NOT regexp_matches(post, '^…')")))
+    one = rf"(?=…)(?<!…)(?:{BEFORE}…|…{AFTER})(?!…)"
+    made.append(Detector("p10_single_ellipsis", "punctuation", "info", one, "'……'", 0, ("…", rf"({SQL_BEFORE} OR {SQL_AFTER}) AND NOT regexp_matches(pre, '…$') AND NOT regexp_matches(post, '^…')")))
     made.append(Detector("p12_space_before", "punctuation", "info", rf"(?<=[{I}A-Za-z0-9]) +(?=[{FP}])", "''", 0, (" +", f"regexp_matches(pre, '[{I}A-Za-z0-9]$') AND regexp_matches(post, '^[{FP}]')")))
     made.append(Detector("p12_space_after", "punctuation", "info", rf"(?<=[{FP}]) +(?=[{I}A-Za-z0-9])", "''", 0, (" +", f"regexp_matches(pre, '[{FP}]$') AND regexp_matches(post, '^[{I}A-Za-z0-9]')")))
     made.append(Detector("p14_full_digit", "punctuation", "warning", "[０-９]", "translate(f, '０１２３４５６７８９', '0123456789')"))
@@ -121,13 +121,13 @@ def _punctuation() -> list[Detector]:
 
 
 def _style() -> list[Detector]:
-    p, adj = alt(PRONOUNS), alt(sorted(ADJECTIVES, key=len, reverse=True))
+    p, adj = alt(sorted(PRONOUNS, key=len, reverse=True)), alt(sorted(ADJECTIVES, key=len, reverse=True))
     fronted = rf"(?<![針面絕相反比核校應配])對(?!於)[^，。；,\n進對]{{1,6}}進行[^，。；,\n]{{0,2}}?{alt(FRONTED_VERBS)}"
     attribution = r"根據[^，。；,\n\[\]]+?(?:顯示(?!器)|指出|表明|表示(?!式)|說明(?!書))"
     return [
         Detector("r1_a_not_a_ma", "grammar", "warning", rf"({alt(A_NOT_A)}{N}*嗎)\s*(?:{Z}|$)", "CASE " + " ".join(f"WHEN f LIKE '{w}%' THEN '{w}'" for w in A_NOT_A) + " END", 1),
         Detector("r2_and_clauses", "grammar", "info", rf"(?<=[{VERB_SUFFIXES}])和(?={p})(?!.{{0,10}}(?:一樣|一般|相同|類似|相似))", "'，'", 0, ("和", rf"regexp_matches(pre, '[{VERB_SUFFIXES}]$') AND regexp_matches(post, '^{p}') AND NOT regexp_matches(post, '^.{{0,10}}(?:一樣|一般|相同|類似|相似)')")),
-        Detector("r3_bare_adjective", "grammar", "info", rf"{p}是{adj}(?![{I}])", "replace(f, '是', '很')", 0, (rf"{p}是{adj}", f"NOT regexp_matches(post, '^[{I}]')")),
+        Detector("r3_bare_adjective", "grammar", "info", rf"{p}是{adj}(?:(?=[{ADJECTIVE_TAILS}])|(?![{I}]))", "replace(f, '是', '很')", 0, (rf"{p}是{adj}", f"(NOT regexp_matches(post, '^[{I}]') OR regexp_matches(post, '^[{ADJECTIVE_TAILS}]'))")),
         Detector("r4_redundant_preposition", "grammar", "info", "|".join(rf"{v}[^，。；,\n]{{0,2}}?{q}" for v, q in REDUNDANT_PREPOSITIONS), "substr(f, 1, 2)"),
         Detector("r5_light_verb", "grammar", "info", rf"(?:進行|加以|予以)[^，。；,\n]{{0,2}}?{alt(NOMINALISED)}", "right(f, 2)"),
         Detector("r6_light_action", "grammar", "info", rf"(?:做出|作出)[^，。；,\n]?{alt(ACTION_OBJECTS)}", "right(f, 2)"),
@@ -141,14 +141,10 @@ def _style() -> list[Detector]:
         Detector("a15_stock_ending", "ai_style", "info", alt(sorted(ENDINGS, key=len, reverse=True)) + "|" + "|".join(rf"{a}{N}{{0,20}}?{b}" for a, b in ENDING_PAIRS) + rf"|隨著{N}{{0,40}}?不斷發展"),
         Detector("a19_challenge", "ai_style", "info", rf"儘管{N}{{0,40}}?挑戰{N}{{0,40}}?(?:仍然|持續|蓬勃發展|繼續){N}*"),
         Detector("a20_from_to", "ai_style", "info", rf"從{N}{{1,20}}?到{N}{{1,20}}?再到{N}{{3,}}"),
-        Detector("t2_abstract_subject", "translationese", "info", rf"的(?:減少|增加|提高|下降|通過|實施){N}{{0,40}}?(?:導致|標誌著|意味著)"),
         Detector("t5_copula_classifier", "translationese", "info", rf"(是一(?:個|名|位)){N}*?的", "'是'", 1),
         Detector("t6_de", "translationese", "warning", alt(a for a, _ in PAIRS_DE), _case(PAIRS_DE)),
         Detector("t8_redundant_de", "translationese", "info", alt(ADVERBS_DE), "substr(f, 1, 2)"),
-        Detector("t11_connective_pair", "translationese", "info", rf"因為{N}{{1,40}}?所以|雖然{N}{{1,40}}?但是|如果{N}{{1,40}}?那麼|當(?![{NOT_WHEN}]){N}{{1,30}}?的時候", "CASE WHEN f LIKE '當%' THEN substr(f, 2) WHEN f LIKE '因為%' THEN substr(f, 3) WHEN f LIKE '雖然%' THEN substr(f, 3) ELSE substr(f, 1, length(f) - 2) END", 0, (rf"因為{N}{{1,40}}?所以|雖然{N}{{1,40}}?但是|如果{N}{{1,40}}?那麼|當[^。？！?!\n{NOT_WHEN}]{N}{{0,29}}?的時候", "TRUE")),
-        Detector("t12_nominal_chain", "translationese", "info", rf"{alt(CHAIN_HEADS)}(?:的{alt(CHAIN_HEADS)}){{2,}}"),
         Detector("t14_one_of_most", "translationese", "info", rf"(?:最|極為)[^之。？！?!\n]{{1,20}}?(?<!{alt(PERSON_NOUNS)})之一", "NULL", 0, (r"(?:最|極為)[^之。？！?!\n]{1,20}?之一", f"NOT regexp_matches(f, '{alt(PERSON_NOUNS)}之一$')")),
-        Detector("t17_false_friend", "translationese", "info", alt(FALSE_FRIENDS)),
         Detector("p19_spaced_acronym", "repetition", "info", rf"(?<![A-Za-z])(?:(?:[A-Z] ){{2,}}[A-Z]|{'|'.join(' '.join(a) for a in TWO_LETTER_ACRONYMS)})(?![A-Za-z]| [A-Z](?![A-Za-z]))", "replace(f, ' ', '')", 0, (r"(?:[A-Z] )+[A-Z]", "NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]') AND (length(f) >= 5 OR replace(f, ' ', '') IN (" + ", ".join(f"'{a}'" for a in TWO_LETTER_ACRONYMS) + "))")),
     ]
 
@@ -163,28 +159,51 @@ def found(text: Column, detector: Detector, excluded: Column | None = None) -> C
     return spans if excluded is None else outside(spans, excluded)
 
 
-def _labelled(d: Detector):
-    return lambda s: F.struct(F.lit(d.code).alias("code"), F.lit(d.issue_type).alias("issue_type"), F.lit(d.severity).alias("severity"), s["start"].alias("offset"), s["length"].alias("length"), s["found"].alias("f"))
+def _labelled(d: Detector, code: Column) -> Callable[[Column], Column]:
+    return lambda s: F.struct(code.alias("code"), s["start"].alias("offset"), s["length"].alias("length"), s["found"].alias("f"))
+
+
+def hits(text: Column, detectors: tuple[Detector, ...]) -> tuple[Column, str]:
+    """A column ``hits`` and the expression that finishes it: ``array<struct<code, offset, length, suggestion>>`` of several detectors; ``code`` is a detector's number among them."""
+    found_ = [F.transform(found(text, d), _labelled(d, F.lit(k))) for k, d in enumerate(detectors)]
+    cases = " ".join(f"WHEN {k} THEN ({d.suggestion})" for k, d in enumerate(detectors))
+    suggestion = re.sub(r"\bf\b", "s.f", f"CASE s.code {cases} END")
+    return F.flatten(F.array(*found_)), f"transform(hits, s -> named_struct('code', s.code, 'offset', s.offset, 'length', s.length, 'suggestion', cast({suggestion} AS string)))"
 
 
 def issues(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, excluded: str | None = None) -> DataFrame:
     """(doc_id, code, issue_type, severity, offset, length, found, suggestion), one row an issue; no shuffle."""
     skip = None if excluded is None else F.col(excluded)
-    arrays = [F.transform(found(F.col("text"), d, skip), _labelled(d)) for d in detectors]
-    rows = docs.select("doc_id", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("i")).select("doc_id", "i.*")
-    suggestion = F.expr("CASE code " + " ".join(f"WHEN '{d.code}' THEN ({d.suggestion})" for d in detectors) + " END").cast("string")
-    return rows.withColumn("suggestion", suggestion).withColumnRenamed("f", "found")
+    arrays = [F.transform(found(F.col("text"), d, skip), _labelled(d, F.lit(d.code))) for d in detectors]
+    rows = docs.select("doc_id", F.explode(F.flatten(F.array(*arrays))).alias("i")).select("doc_id", "i.*")
+
+    def by_code(value: str) -> Column:
+        return F.expr("CASE code " + " ".join(f"WHEN '{d.code}' THEN {value.format(d=d)}" for d in detectors) + " END")
+
+    rows = rows.withColumns({"issue_type": by_code("'{d.issue_type}'"), "severity": by_code("'{d.severity}'"), "suggestion": by_code("({d.suggestion})").cast("string")})
+    return rows.select("doc_id", "code", "issue_type", "severity", "offset", "length", F.col("f").alias("found"), "suggestion")
+
+
+#: Characters that an oracle's conditions see on both sides of a hit.
+SQL_CONTEXT = 240
+
+
+def hits_sql(corpus: str, core: str, group: int = 0) -> str:
+    """CTEs ``c``, ``e`` and ``x``: every hit ``f`` of a pattern with its character offset ``p``, byte offset ``b``, and its sides."""
+    q = core.replace("'", "''")
+    found = f"regexp_extract(w, '{q}', {group})" if group else "w"
+    return rf"""
+c AS (SELECT doc_id, t, regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS g FROM (SELECT doc_id, coalesce(t, '') AS t FROM ({corpus}) y) WHERE regexp_matches(t, '{q}')),
+u AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS i, unnest(h) AS w, unnest(g[1:len(h)]) AS gap FROM c),
+o AS (SELECT doc_id, i, w, sum(length(gap) + length(w)) OVER q - length(w) AS p, sum(strlen(gap) + strlen(w)) OVER q - strlen(w) AS b FROM u WINDOW q AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT o.doc_id, {found} AS f, CAST(p AS BIGINT) AS p, CAST(b AS BIGINT) AS b, substr(t, CAST(greatest(p - {SQL_CONTEXT}, 0) AS BIGINT) + 1, CAST(least(p, {SQL_CONTEXT}) AS BIGINT)) AS pre, substr(t, CAST(p + length(w) AS BIGINT) + 1, {SQL_CONTEXT}) AS post FROM o JOIN c USING (doc_id))"""
 
 
 def oracle(detector: Detector, corpus: str) -> str:
     """SQL for one detector's issues over ``SELECT doc_id, text``."""
     core, where = detector.check or (detector.pattern, "TRUE")
-    q = core.replace("'", "''")
-    found_sql = f"regexp_extract(h[i], '{q}', {detector.group})" if detector.group else "h[i]"
     return rf"""
-WITH c AS (SELECT doc_id, t, regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS g FROM (SELECT doc_id, coalesce(t, '') AS t FROM ({corpus}) x)),
-e AS (SELECT doc_id, t, {found_sql} AS f, h[i] AS whole, array_to_string(list_transform(range(1, i), lambda j: g[j] || h[j]), '') || g[i] AS pre FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM c)),
-x AS (SELECT *, substr(t, length(pre) + length(whole) + 1) AS post FROM e)
-SELECT doc_id, '{detector.code}' AS code, '{detector.issue_type}' AS issue_type, '{detector.severity}' AS severity, CAST(strlen(pre) AS INTEGER) AS "offset", CAST(strlen(f) AS INTEGER) AS length, f AS found, CAST({detector.suggestion} AS VARCHAR) AS suggestion
+WITH {hits_sql(corpus, core, detector.group)}
+SELECT doc_id, '{detector.code}' AS code, '{detector.issue_type}' AS issue_type, '{detector.severity}' AS severity, CAST(b AS INTEGER) AS "offset", CAST(strlen(f) AS INTEGER) AS length, f AS found, CAST({detector.suggestion} AS VARCHAR) AS suggestion
 FROM x WHERE {where}
 """

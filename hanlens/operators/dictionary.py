@@ -1,34 +1,51 @@
-"""Dictionary matching: rule tables against texts, with the chain of conditions that decides a hit.
+"""Rule tables as DataFrames, and the dictionary over a corpus.
 
-Matching is one alternation, longest first, so a text is scanned once and the
-hits are leftmost-longest.  Rules join their hits by their term; rule tables
-are small and made on the driver, at most ``MOST_RULES`` of them, which bounds
-what is broadcast.
+Layering and gates are relational; matching is the kernel of ``spelling``: one
+automaton, sent to the workers once, whose size ``MOST_RULES`` bounds.  A text is
+read once, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.spans import matches, outside
 from ..rules import CASES, INTERNATIONAL_ONLY, SEVERITY, Rule, parse
+from .detectors import hits_sql
+from .doc import CJK, Doc
+from .kernels import ISSUE, issue_rows, per_text
+from .segmenter import Segmenter
+from .spelling import CLUE_CHARS, MOST_CLUES, PLACE_CHARS, Spelling, absorbers, effective
 
-MOST_RULES, MOST_CLUES, CLUE_CHARS, PLACE_CHARS = 50_000, 32, 40, 20
-_SCHEMA = "rule_id int, `from` string, `to` array<string>, type string, english string, exceptions array<string>, clues array<string>, negative array<string>, positional array<string>, disabled boolean, layer int"
+MOST_RULES = 50_000
+_SCHEMA = "rule_id int, `from` string, `to` array<string>, type string, english string, exceptions array<string>, clues array<string>, negative array<string>, positional array<string>, disabled boolean, context string, layer int"
 
 
-def rule_table(spark: SparkSession, rules: Iterable[Rule] | None = None, layer: int = 0) -> DataFrame:
-    rows = [(*[list(v) if isinstance(v, tuple) else v for v in r], layer) for r in (parse() if rules is None else rules)]
-    if len(rows) > MOST_RULES:
+def checked(rules: Iterable[Rule]) -> list[Rule]:
+    """The rules, no more than may be sent out."""
+    rules = list(rules)
+    if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
+    return rules
+
+
+def rule_table(spark: SparkSession, rules: Iterable[Rule] | None = None, layer: int = 0) -> DataFrame:
+    rows = [(*[list(v) if isinstance(v, tuple) else v for v in r], layer) for r in checked(parse() if rules is None else rules)]
     return spark.createDataFrame(rows, _SCHEMA)
 
 
+def rules_of(table: DataFrame) -> list[Rule]:
+    """A rule table's rows, as many as may be sent out, for the kernel."""
+    names = [f.replace("`", "").split(" ")[0] for f in _SCHEMA.split(", ")[:-1]]
+    rows = table.select(*(F.col(f"`{n}`") for n in names)).orderBy("rule_id").limit(MOST_RULES + 1).collect()
+    return checked(Rule(*(tuple(v or ()) if n in ("to", "exceptions", "clues", "negative", "positional") else v for n, v in zip(names, r, strict=True))) for r in rows)
+
+
 def layered(*layers: DataFrame) -> DataFrame:
     """Base, overrides, packs: the last one with a term wins; then disabled ones go."""
     every = layers[0]
@@ -49,90 +66,57 @@ def compiled(rules: DataFrame, variants: bool = False, fillers: bool = True, tra
     return rules.where(gates).select("rule_id", "from", "to", "type", severity.alias("severity"), "english", "exceptions", F.slice(F.array_distinct("clues"), 1, MOST_CLUES).alias("clues"), F.array_distinct("negative").alias("negative"), "positional")
 
 
-def absorbers(rules: Iterable[Rule]) -> list[str]:
-    """Exception phrases and suggestions around a term that match in its place, unless they hide another rule."""
-    rules = list(rules)
-    terms = {r.from_ for r in rules}
-    found = {p for r in rules for p in (*r.exceptions, *r.to) if r.from_ in p and p not in terms}
-    return sorted(p for p in found if not any(t in p and not any(t == r.from_ for r in rules if p in r.exceptions or p in r.to) for t in terms) and not any(t.startswith(p[k:]) for t in terms for k in range(1, len(p))))
-
-
-def alternation(terms: Iterable[str]) -> str:
-    return "|".join(re.escape(t).replace("\\，", "，") for t in sorted(set(terms), key=lambda t: (-len(t), t)))
-
-
-def hits(docs: DataFrame, rules: Iterable[Rule] | None = None, absorb: bool = False, excluded: str | None = None) -> DataFrame:
-    """(doc_id, start, length, from, pre, post): leftmost-longest hits outside the excluded ranges, with 40 characters on both sides."""
-    rules = list(parse() if rules is None else rules)
-    terms = [r.from_ for r in rules if not r.disabled]
-    spans = matches(F.col("text"), alternation([*terms, *(absorbers(rules) if absorb else ())]))
-    spans = spans if excluded is None else outside(spans, F.col(excluded))
-    rows = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"), F.coalesce("text", F.lit("")).alias("text"), *([excluded] if excluded else []))
-    rows = rows.select("doc_id", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"), s["found"].alias("from"), _before(s["start"]).alias("pre"), _after(s["start"] + s["length"]).alias("post"))).alias("spans"))
-    rows = rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
-    return rows.where(F.col("from").isin(terms)) if absorb else rows
-
+_FOUND = "doc_id long, rule_id int, rule_type string, severity string, offset int, length int, found string, suggestions array<string>, english string, clues array<string>, window string"
 
-def _before(end: Column) -> Column:
-    size = F.least(end, F.lit(4 * CLUE_CHARS + 4))
-    return F.right(F.substring(F.col("bytes"), end - size + 1, size).cast("string"), F.lit(CLUE_CHARS))
 
+def _context(doc: Doc, start: int, end: int) -> str:
+    """40 characters on both sides, up to a blank line."""
+    before, after = doc.text[max(0, start - CLUE_CHARS) : start], doc.text[end : end + CLUE_CHARS]
+    return before[before.rfind("\n\n") + 2 if "\n\n" in before else 0 :] + doc.text[start:end] + after.split("\n\n")[0]
 
-def _after(start: Column) -> Column:
-    return F.left(F.substring(F.col("bytes"), start + 1, F.lit(4 * CLUE_CHARS + 4)).cast("string"), F.lit(CLUE_CHARS))
 
+def spelling_issues(docs: DataFrame, rules: Iterable[Rule] | None = None, **gates: object) -> DataFrame:
+    """Issues of the dictionary alone, nothing excluded, each with the window that disambiguation looks at."""
+    sent = docs.sparkSession.sparkContext.broadcast(checked(parse() if rules is None else rules))
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("rule_id", pa.int32()), ("rule_type", pa.string()), ("severity", pa.string()), ("offset", pa.int32()), ("length", pa.int32()), ("found", pa.string()),
+        ("suggestions", pa.list_(pa.string())), ("english", pa.string()), ("clues", pa.list_(pa.string())), ("window", pa.string()),
+    ])
 
-def _surrounded(phrases: str) -> Column:
-    """Whether one of the phrases lies over the hit as it stands in the text."""
-    def over(p: Column) -> Column:
-        at = F.instr(p, F.col("from"))
-        head, tail = F.substring(p, F.lit(1), at - 1), F.substring(p, at + F.length("from"), F.length(p))
-        return (at > 0) & (p != F.col("from")) & F.endswith(F.col("pre"), head) & F.startswith(F.col("post"), tail)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = Spelling(sent.value, Segmenter(sent.value), **gates)
+        kinds = {r.rule_id: r.type for r in spelling.rules.values()}
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                doc = Doc(text or "")
+                for i in spelling.issues(doc):
+                    s, e = int(doc.at[i.start]), int(doc.at[i.end])
+                    rows.append((doc_id, i.rule_id, kinds[i.rule_id], i.severity, s, e - s, doc.text[i.start : i.end], list(i.suggestions), i.english, list(i.clues), _context(doc, i.start, i.end)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return F.exists(phrases, over)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
 
 
-def _placed(clue: Column) -> Column:
-    """A positional clue's condition; ``before:X`` means that the hit comes before X."""
-    kind, word = F.substring_index(clue, ":", 1), F.substring_index(clue, ":", -1)
-    after = F.contains(F.left("post", F.lit(PLACE_CHARS)), word)
-    before = F.contains(F.right("pre", F.lit(PLACE_CHARS)), word)
-    touching = F.startswith(F.col("post"), word) | F.endswith(F.col("pre"), word)
-    return F.when(kind == "before", after).when(kind == "after", before).when(kind == "adjacent", touching).when(kind == "not_before", ~after).when(kind == "not_after", ~before).otherwise(F.lit(True))
+def case_issues(docs: DataFrame, cases: Iterable[str] = CASES) -> DataFrame:
+    """Product names in another case (M6)."""
+    forms = tuple(cases)
+    made: dict[str, Spelling] = {}  # filled in the worker: patterns are not sent
 
+    def issues(doc: Doc) -> Iterator[tuple]:
+        if "it" not in made:
+            made["it"] = Spelling((), cases=forms)
+        return issue_rows(doc, made["it"].case_issues(doc))
 
-def conditions(found: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits with their rule and one boolean column a condition; ``kept`` is all of them."""
-    m = found.join(F.broadcast(rules), "from")
-    window = F.concat(F.col("pre"), F.col("from"), F.col("post"))
-    m = m.withColumn("window", window)
-    positive = (F.size("clues") == 0) | F.exists("clues", lambda c: F.contains(F.col("window"), c))
-    m = m.withColumns({
-        "superstring_ok": ~_surrounded("to"),
-        "exception_ok": ~_surrounded("exceptions"),
-        "clues_ok": positive & ~F.exists("negative", lambda c: F.contains(F.col("window"), c)),
-        "position_ok": F.forall("positional", _placed),
-    })
-    return m.withColumn("kept", F.col("superstring_ok") & F.col("exception_ok") & F.col("clues_ok") & F.col("position_ok"))
+    return per_text(docs, issues, ISSUE).select("doc_id", "offset", "length", "found", "suggestion")
 
 
-def spelling_issues(docs: DataFrame, rules: DataFrame, terms: Iterable[Rule] | None = None, excluded: str | None = None) -> DataFrame:
-    """Issues of the dictionary: a deletion also takes one following ``，`` or ``：``; attributes come last."""
-    m = conditions(hits(docs, terms, excluded=excluded), rules).where("kept")
-    deletion = (F.size("to") == 1) & (F.element_at("to", 1) == "") & F.left("post", F.lit(1)).isin("，", "：")
-    found = F.when(deletion, F.concat("from", F.left("post", F.lit(1)))).otherwise(F.col("from"))
-    return m.select("doc_id", "rule_id", F.col("type").alias("rule_type"), "severity", F.col("start").alias("offset"), F.octet_length(found).alias("length"), found.alias("found"), F.col("to").alias("suggestions"), "english", "clues")
+# The same in SQL, written from the rules
 
 
-def case_issues(docs: DataFrame, cases: Iterable[str] = CASES) -> DataFrame:
-    """Product names in another case, not inside a longer Latin word (M6)."""
-    forms = {c.split("|")[0]: [c.split("|")[0], *[a for a in c.split("|")[1].split(",") if a]] for c in cases}
-    pattern = f"(?i)(?<![A-Za-z])(?:{alternation(forms)})(?![A-Za-z])"
-    spans = F.explode(matches(F.coalesce("text", F.lit("")), pattern))
-    term = F.create_map(*(F.lit(x) for t in forms for x in (t.lower(), t)))[F.lower("found")]
-    right = F.array(*(F.lit(x) for f in forms.values() for x in f))
-    rows = docs.select("doc_id", spans.alias("s")).select("doc_id", F.col("s.start").alias("offset"), F.col("s.length").alias("length"), F.col("s.found").alias("found"))
-    return rows.where(~F.array_contains(right, F.col("found"))).withColumn("suggestion", term)
+def alternation(terms: Iterable[str]) -> str:
+    return "|".join(re.escape(t).replace("\\，", "，") for t in sorted(set(terms), key=lambda t: (-len(t), t)))
 
 
 def values_sql(rules: Iterable[Rule]) -> str:
@@ -142,31 +126,58 @@ def values_sql(rules: Iterable[Rule]) -> str:
             return "CAST([" + ", ".join(map(text, x)) + "] AS VARCHAR[])"
         return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
 
-    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rules) + ") AS r(rule_id, src, dst, type, english, exceptions, clues, negative, places, disabled)"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rules) + ") AS r(rule_id, src, dst, type, english, exceptions, clues, negative, places, disabled, context)"
+
+
+def found_sql(corpus: str, rules: Iterable[Rule]) -> str:
+    """CTEs down to ``m``: dictionary hits with their rule and sides, the sides up to a blank line; ``t`` is the text."""
+    live = [r for r in rules if not r.disabled]
+    terms = {r.from_ for r in live}
+    return rf"""
+{hits_sql(corpus, alternation([*terms, *absorbers(live)]))},
+y AS (SELECT x.doc_id, f, p, b, c.t, right(pre, {CLUE_CHARS}) AS l0, left(post, {CLUE_CHARS}) AS r0 FROM x JOIN c USING (doc_id)),
+s AS (SELECT *, regexp_extract(l0, '^(?s:.*(?:\n\n|\n\r\n))?((?s:.*))$', 1) AS l, regexp_extract(r0, '^((?s:.*?))(?:\n\n|\n\r\n|$)', 1) AS r1 FROM y),
+m AS (SELECT s.doc_id, s.f, s.p, s.b, s.t, s.l, s.r1, s.l0, s.r0, s.p - length(s.l) AS low, s.p + length(s.f) + length(s.r1) AS high, r.* FROM s JOIN {values_sql(live)} ON f = src)"""
+
+
+def _words_sql(rules: Iterable[Rule]) -> str:
+    s = Segmenter(rules)
+    words = sorted(w for w in s.words if 1 < len(w) <= 32 and w not in s.terms and all(map(CJK.match, w)))
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_OVER = "len(list_filter(range(1, length(ph) - length(f) + 2), lambda k: substr(ph, k, length(f)) = f AND ph <> f AND p >= k - 1 AND substr(t, p - k + 2, length(ph)) = ph)) > 0"
+_BEGINS = "contains(substr(t, low + 1, high - low - 1 + length(cl)), cl)"
+_PLACED = (
+    "CASE split_part(pl, ':', 1) WHEN 'before' THEN contains(left(r1, {n}), split_part(pl, ':', 2)) WHEN 'after' THEN contains(right(l, {n}), split_part(pl, ':', 2)) "
+    "WHEN 'not_before' THEN NOT contains(left(r1, {n}), split_part(pl, ':', 2)) WHEN 'not_after' THEN NOT contains(right(l, {n}), split_part(pl, ':', 2)) "
+    "WHEN 'adjacent' THEN starts_with(substr(t, p + length(f) + 1), split_part(pl, ':', 2)) OR ends_with(left(t, p), split_part(pl, ':', 2)) ELSE TRUE END"
+).format(n=PLACE_CHARS)
 
 
-def hits_sql(corpus: str, rules: Iterable[Rule]) -> str:
-    q = alternation(r.from_ for r in rules if not r.disabled)
+def kept_sql(rules: Iterable[Rule]) -> str:
+    """The conditions of a hit (M4), over ``m``."""
+    crossing = "substr(t, {at} - k + 1, length(w)) = w AND {at} >= k"
+    start, end = crossing.format(at="p"), crossing.format(at="(p + length(f))")
     return rf"""
-c AS (SELECT doc_id, t, regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS g FROM (SELECT doc_id, coalesce(t, '') AS t FROM ({corpus}) x)),
-e AS (SELECT doc_id, t, h[i] AS f, array_to_string(list_transform(range(1, i), lambda j: g[j] || h[j]), '') || g[i] AS head FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM c)),
-m AS (SELECT e.*, r.*, right(head, {CLUE_CHARS}) AS pre, substr(t, length(head) + length(f) + 1, {CLUE_CHARS}) AS post FROM e JOIN {values_sql(rules)} ON f = src)"""
+len(list_filter(dst, lambda ph: {_OVER})) = 0 AND len(list_filter(exceptions, lambda ph: {_OVER})) = 0
+AND (len(clues) = 0 OR len(list_filter(clues, lambda cl: {_BEGINS})) > 0) AND len(list_filter(negative, lambda cl: {_BEGINS})) = 0
+AND len(list_filter(places, lambda pl: NOT ({_PLACED}))) = 0
+AND len(list_filter({_words_sql(rules)}, lambda w: len(list_filter(range(1, length(w)), lambda k: ({start}) OR (k >= length(f) AND {end}))) > 0)) = 0"""
 
 
-_OVER = "instr(p, f) > 0 AND p <> f AND ends_with(pre, substr(p, 1, instr(p, f) - 1)) AND starts_with(post, substr(p, instr(p, f) + length(f)))"
-KEPT_SQL = rf"""
-NOT len(list_filter(dst, lambda p: {_OVER})) > 0 AND NOT len(list_filter(exceptions, lambda p: {_OVER})) > 0
-AND (len(clues) = 0 OR len(list_filter(clues, lambda p: contains(pre || f || post, p))) > 0) AND NOT len(list_filter(negative, lambda p: contains(pre || f || post, p))) > 0
-AND len(list_filter(places, lambda p: NOT CASE split_part(p, ':', 1) WHEN 'before' THEN contains(left(post, {PLACE_CHARS}), split_part(p, ':', 2)) WHEN 'after' THEN contains(right(pre, {PLACE_CHARS}), split_part(p, ':', 2)) ELSE TRUE END)) = 0"""
+def effective_sql(rules: Iterable[Rule]) -> str:
+    """What a rule suggests, by its term ``f``."""
+    return "CASE f " + " ".join(f"WHEN '{r.from_}' THEN CAST([{', '.join(repr(x) for x in effective(r))}] AS VARCHAR[])" for r in rules) + " END"
 
 
-def spelling_oracle(corpus: str) -> str:
-    rules = [r for r in parse() if r.type != "variant"]
+def spelling_oracle(corpus: str, rules: Iterable[Rule] | None = None) -> str:
+    rules = [r for r in (rules or parse()) if r.type != "variant"]
     severity = "CASE type " + " ".join(f"WHEN '{t}' THEN '{s}'" for t, s in SEVERITY.items()) + " END"
     return rf"""
-WITH {hits_sql(corpus, rules)},
-k AS (SELECT *, CASE WHEN len(dst) = 1 AND dst[1] = '' AND left(post, 1) IN ('，', '：') THEN f || left(post, 1) ELSE f END AS found FROM m WHERE {KEPT_SQL})
-SELECT doc_id, type AS rule_type, {severity} AS severity, CAST(strlen(head) AS INTEGER) AS "offset", CAST(strlen(found) AS INTEGER) AS length, found, array_to_string(dst, ',') AS suggestions, english
+WITH {found_sql(corpus, rules)},
+k AS (SELECT *, CASE WHEN len(dst) = 1 AND dst[1] = '' AND substr(t, p + length(f) + 1, 1) IN ('，', '：') THEN f || substr(t, p + length(f) + 1, 1) ELSE f END AS found FROM m WHERE {kept_sql(rules)})
+SELECT doc_id, type AS rule_type, {severity} AS severity, CAST(b AS INTEGER) AS "offset", CAST(strlen(found) AS INTEGER) AS length, found, array_to_string({effective_sql(rules)}, ',') AS suggestions, english
 FROM k
 """
 
@@ -174,10 +185,8 @@ FROM k
 def case_oracle(corpus: str, cases: Iterable[str] = CASES) -> str:
     terms = [c.split("|")[0] for c in cases]
     right = [x for c in cases for x in (c.split("|")[0], *[a for a in c.split("|")[1].split(",") if a])]
-    q = f"(?i)(?:{alternation(terms)})"
     return rf"""
-WITH c AS (SELECT doc_id, t, regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS g FROM (SELECT doc_id, coalesce(t, '') AS t FROM ({corpus}) x)),
-e AS (SELECT doc_id, t, h[i] AS f, array_to_string(list_transform(range(1, i), lambda j: g[j] || h[j]), '') || g[i] AS pre FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM c))
-SELECT doc_id, CAST(strlen(pre) AS INTEGER) AS "offset", CAST(strlen(f) AS INTEGER) AS length, f AS found, CASE lower(f) {' '.join(f"WHEN '{t.lower()}' THEN '{t}'" for t in terms)} END AS suggestion
-FROM e WHERE NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(substr(t, length(pre) + length(f) + 1), '^[A-Za-z]') AND f NOT IN ({', '.join(f"'{x}'" for x in right)})
+WITH {hits_sql(corpus, f"(?i)(?:{alternation(terms)})")}
+SELECT doc_id, CAST(b AS INTEGER) AS "offset", CAST(strlen(f) AS INTEGER) AS length, f AS found, CASE lower(f) {' '.join(f"WHEN '{t.lower()}' THEN '{t}'" for t in terms)} END AS suggestion
+FROM x WHERE NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]') AND f NOT IN ({', '.join(f"'{x}'" for x in right)})
 """

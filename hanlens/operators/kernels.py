@@ -1,489 +1,42 @@
-"""Sequential operators as Arrow kernels: what no column expression states well.
-
-Each is a plain function of one text; ``per_text`` runs it over a DataFrame in
-Arrow batches, row by row independent, so partitioning never matters.
-"""
+"""Kernels over a DataFrame's texts: Arrow in, Arrow out, row by row, so partitioning never matters."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..rules import Rule
+from .doc import Doc, Issue
 
-Span = tuple[int, int]
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
 
-def per_text(docs: DataFrame, fn: Callable[[str], list[tuple]], ddl: str) -> DataFrame:
+def per_text(docs: DataFrame, fn: Callable[[Doc], Iterable[tuple]], ddl: str) -> DataFrame:
     """``doc_id`` and a row for each tuple that ``fn`` makes of the text (null counts as empty)."""
-    names = [f.strip().split(" ")[0] for f in ddl.split(",")]
+    fields = [f.strip().rsplit(" ", 1) for f in ddl.split(",")]
+    schema = pa.schema([("doc_id", pa.int64()), *((n, _KINDS[k]) for n, k in fields)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, *r) for i, t in zip(b["doc_id"], b["text"], strict=True) for r in fn(t if isinstance(t, str) else "")]
-            yield pd.DataFrame(rows, columns=["doc_id", *names])
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {ddl}")
-
-
-def byte_offsets(text: str) -> Callable[[int], int]:
-    if text.isascii():
-        return lambda k: k
-    at = [0]
-    for c in text:
-        at.append(at[-1] + len(c.encode()))
-    return at.__getitem__
-
-
-def merged(spans: list[Span]) -> list[Span]:
-    out: list[Span] = []
-    for s, e in sorted(x for x in spans if x[0] < x[1]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def overlaps(start: int, end: int, spans: list[Span]) -> bool:
-    return start < end and any(start < e and end > s for s, e in spans)
-
-
-# Formats that are skipped.
-_URL = re.compile(r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+")
-_PATH = re.compile(r"(?:\.\.?/|/)[^\s「」『』《》]+")
-_MENTION = re.compile(r"@[a-zA-Z0-9_]+")
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_INLINE = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)", re.S)
-_HTML = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
-_KEY = re.compile(r"^[ \t]*(?:- )?[^\s#\"'][^:\n]*?:(?=\s|$)", re.M)
-#: Any tool's tag may stand before the directive.
-_NEXT = re.compile(r"<!--\s*[a-z]+:(?:ignore|disable)-next-line\s*-->")
-_OPEN, _CLOSE = re.compile(r"<!--\s*[a-z]+:(?:ignore|disable)-start\s*-->"), re.compile(r"<!--\s*[a-z]+:(?:ignore|disable)-end\s*-->")
-_HERE = re.compile(r"//\s*[a-z]+:(?:ignore|disable)\b(?!-)")
-
-
-def links(text: str) -> list[Span]:
-    """URLs, paths not inside or right behind one, and mentions that overlap nothing."""
-    spans = [m.span() for m in _URL.finditer(text)]
-    for m in _PATH.finditer(text):
-        if not any(s <= m.start() < e or 0 <= m.start() - e <= 50 and "\n" not in text[e : m.start()] and not text[e : m.start()].strip() for s, e in spans):
-            spans.append(m.span())
-    return spans + [m.span() for m in _MENTION.finditer(text) if not overlaps(*m.span(), spans)]
-
-
-def lines(text: str) -> list[Span]:
-    out, at = [], 0
-    for part in text.split("\n"):
-        out.append((at, at + len(part)))
-        at += len(part) + 1
-    return out
-
-
-def suppressions(text: str) -> list[Span]:
-    """Lines that a directive switches off (X10); an open block lasts to the end."""
-    out, start = [], None
-    rows = lines(text)
-    for k, (s, e) in enumerate(rows):
-        line = text[s:e]
-        if start is None and _OPEN.search(line):
-            start = s
-        elif start is not None and _CLOSE.search(line):
-            out.append((start, e))
-            start = None
-        elif _NEXT.search(line):
-            out.append((s, rows[k + 1][1] if k + 1 < len(rows) else e))
-        elif _HERE.search(line):
-            out.append((s, e))
-    return out if start is None else [*out, (start, len(text))]
-
-
-def code(text: str, scan_code: bool = False, quotes: bool = False) -> list[Span]:
-    """Fenced and indented code, inline code, HTML; block quotes where they are exempt."""
-    out: list[Span] = []
-    fence, begun, blank = "", 0, True
-    for s, e in lines(text):
-        line = text[s:e]
-        m = _FENCE.match(line)
-        if fence:
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip("`~ \t\r"):
-                out.append((begun, e))
-                fence = ""
-        elif m:
-            fence, begun = m[1], s
-        elif not scan_code and blank and re.match(r"(?: {4}|\t)\S", line):
-            out.append((s, e))
-            continue
-        elif quotes and re.match(r" {0,3}>", line):
-            out.append((s, e))
-        blank = not line.strip()
-    if fence:
-        out.append((begun, len(text)))
-    if scan_code:
-        out = [x for x in out if text[x[0] :].lstrip()[:1] == ">"]
-    return out + [m.span() for r in (_INLINE, _HTML) for m in r.finditer(text) if not overlaps(*m.span(), out)]
-
-
-def front_matter(text: str) -> Span | None:
-    m = re.match(r"---[ \t]*\r?\n(?:.*\n)*?---[ \t]*(?=\r?\n|$)", text)
-    return m.span() if m else None
-
-
-def markdown(text: str, scan_code: bool = False, quotes: bool = False) -> list[Span]:
-    """Markdown structure: code, container fences, and of front matter the marks and keys."""
-    out = code(text, scan_code, quotes) + [m.span() for m in re.finditer(r"(?m)^[ \t]*:::.*$", text)]
-    if head := front_matter(text):
-        s, e = head
-        out += [(a, b) for a, b in lines(text) if b <= e and text[a:b].strip() == "---"] + [m.span() for m in _KEY.finditer(text, s, e)]
-        out += [(k, k + 1) for k in range(s, e) if text[k] in "\"'"]
-    return out
-
-
-def yaml_keys(text: str) -> list[Span]:
-    return [m.span() for m in _KEY.finditer(text)]
-
-
-def exclusions(text: str, content_type: str = "plain") -> list[tuple[int, int]]:
-    """All excluded byte ranges of a text, merged."""
-    spans = links(text) + suppressions(text)
-    if content_type.startswith("markdown"):
-        spans += markdown(text, content_type.endswith("scan_code"))
-    elif content_type == "yaml":
-        spans += yaml_keys(text)
-    at = byte_offsets(text)
-    return [(at(s), at(e)) for s, e in merged(spans)]
-
-
-def headings(text: str) -> list[tuple[int, int]]:
-    """Byte ranges of ATX and setext heading contents outside code and front matter."""
-    skip, out, rows = code(text), [], lines(text)
-    if head := front_matter(text):
-        skip = [*skip, head]
-    for k, (s, e) in enumerate(rows):
-        if overlaps(s, e, skip):
-            continue
-        if m := re.match(r" {0,3}#{1,6}[ \t]+(.*?)[ \t]*#*[ \t]*$", text[s:e]):
-            out.append((s + m.start(1), s + m.end(1)))
-        elif text[s:e].strip() and k + 1 < len(rows) and re.fullmatch(r" {0,3}(?:=+|-+)[ \t]*", text[slice(*rows[k + 1])]):
-            out.append((s, e))
-    at = byte_offsets(text)
-    return [(at(s), at(e)) for s, e in out]
-
-
-def table_cells(text: str) -> list[tuple[int, int, int, int]]:
-    """(row, col, start, end) of pipe-table cells, header row 0."""
-    out, rows, at = [], lines(text), byte_offsets(text)
-    k = 0
-    while k + 1 < len(rows):
-        if "|" in text[slice(*rows[k])] and re.fullmatch(r"\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*", text[slice(*rows[k + 1])]):
-            row, k2 = 0, k
-            while k2 < len(rows) and "|" in text[slice(*rows[k2])]:
-                if k2 != k + 1:
-                    s, e = rows[k2]
-                    inner = re.finditer(r"[^|]+", text[s:e])
-                    for col, m in enumerate(x for x in inner if x[0].strip()):
-                        out.append((row, col, at(s + m.start()), at(s + m.end())))
-                    row += 1
-                k2 += 1
-            k = k2
-        else:
-            k += 1
-    return out
-
-
-_ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "vs", "etc", "e.g", "i.e", "fig", "no", "vol", "inc", "ltd", "co", "al", "approx")
-_CJK = re.compile(r"[㄀-ㄯ㐀-䶿一-鿿豈-﫿\U00020000-\U000323af]")
-
-
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, sentence) in bytes: 。！？； and blank lines end one; Latin marks only before white space and a capital (G1)."""
-    out, start, k = [], 0, 0
-    cut = []
-    while k < len(text):
-        c = text[k]
-        if c in "。！？；":
-            cut.append(k + 1)
-        elif c in ".?!":
-            m = re.match(r"\s+(\S)", text[k + 1 : k + 40])
-            word = re.search(r"[A-Za-z.]+$", text[max(0, k - 12) : k])
-            if m and (m[1].isupper() or _CJK.match(m[1])) and not (c == "." and word and word[0].lower() in _ABBREVIATIONS):
-                cut.append(k + 1)
-        elif text.startswith("\n\n", k):
-            cut.append(k)
-        k += 1
-    at = byte_offsets(text)
-    for end in [*cut, len(text)]:
-        s = start + len(text[start:end]) - len(text[start:end].lstrip())
-        e = start + len(text[start:end].rstrip())
-        if s < e:
-            out.append((at(s), at(e), text[s:e]))
-        start = end
-    return out
+            rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in fn(Doc(t or ""))]
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {ddl}")
 
-class Segmenter:
-    """Three-word-chunk maximum matching over a frequency dictionary."""
 
-    def __init__(self, rules: list[Rule], words: dict[str, int] | None = None) -> None:
-        self.words: dict[str, int] = dict(words or {})
-        self.terms = {r.from_ for r in rules if not r.disabled}
-        for r in rules:
-            if not r.disabled:
-                for w in (r.from_, *r.to, *r.clues, *r.negative):
-                    if len(w) > 1:
-                        self.words.setdefault(w, 1)
-        self.longest = max(map(len, self.words), default=1)
+ISSUE = "code string, issue_type string, severity string, offset int, length int, found string, suggestion string"
 
-    def _here(self, text: str, k: int) -> list[str]:
-        return [text[k : k + 1], *(text[k : k + n] for n in range(2, min(self.longest, len(text) - k) + 1) if text[k : k + n] in self.words)]
 
-    def segment(self, text: str) -> list[tuple[int, str, bool]]:
-        """(code point offset, word, in dictionary); runs of other scripts are one word."""
-        out, k = [], 0
-        while k < len(text):
-            if not _CJK.match(text[k]):
-                e = k + 1
-                while e < len(text) and not _CJK.match(text[e]):
-                    e += 1
-                out.append((k, text[k:e], False))
-                k = e
-                continue
-            best, word = None, text[k]
-            for a in self._here(text, k):
-                for b in self._here(text, k + len(a)) if k + len(a) < len(text) else [""]:
-                    rest = k + len(a) + len(b)
-                    for c in self._here(text, rest) if b and rest < len(text) else [""]:
-                        chunk = [w for w in (a, b, c) if w]
-                        n = sum(map(len, chunk))
-                        mean = n / len(chunk)
-                        key = (n, -len(chunk), -sum((len(w) - mean) ** 2 for w in chunk), sum(self.words.get(w, 0) for w in chunk if len(w) == 1), len(a))
-                        if best is None or key > best:
-                            best, word = key, a
-            out.append((k, word, word in self.words))
-            k += len(word)
-        return out
+def issue_rows(doc: Doc, issues: Iterable[Issue]) -> Iterator[tuple]:
+    """Issues as (code, issue_type, severity, offset, length, found, suggestion), in bytes."""
+    for i in issues:
+        s, e = int(doc.at[i.start]), int(doc.at[i.end])
+        yield i.code, i.issue_type, i.severity, s, e - s, doc.text[i.start : i.end], i.suggestions[0] if i.suggestions else None
 
-    def straddles(self, text: str, start: int, end: int) -> bool:
-        """Whether a dictionary word that is no rule's term crosses an edge of [start, end)."""
-        for n in range(2, self.longest + 1):
-            for s in range(max(0, start - n + 1), end):
-                w = text[s : s + n]
-                if len(w) == n and w in self.words and w not in self.terms and (s < start < s + n or s <= start and s < end < s + n):
-                    return True
-        return False
-
-
-def clue_count(tokens: list[tuple[int, str, bool]], clues: tuple[str, ...]) -> int:
-    """Distinct clues that are, or are inside, a dictionary word."""
-    return len({c for c in clues if any(known and c in w for _, w, known in tokens)})
-
-
-# A seed of simplified and traditional forms by position, and phrases that a character map
-# gets wrong.  A full table is a parameter of ``to_traditional``.
-SIMPLIFIED = "万专业东个为么书买产亲们价会传伤体关兴养内写军农决况净减击则刚创务动劳势区医协单卖厂历压双变叶号听员响团园围国图圆场坏块声处备头学宁实审对导将岁师带帮应开张强当录态总战护报担择挂据摆断时显术机杀权条来极构标样检楼欢气没测济热爱独现电画盘码确礼离种积称竞笔签简红约级纪纯线组细终经结给络统继续维综缓编网联艺节药营虑蚀补观规视觉计认让议讯记讲许论设访证评识词译试话详语误说请读课调问题软够这错严"
-TRADITIONAL = "萬專業東個為麼書買產親們價會傳傷體關興養內寫軍農決況淨減擊則剛創務動勞勢區醫協單賣廠歷壓雙變葉號聽員響團園圍國圖圓場壞塊聲處備頭學寧實審對導將歲師帶幫應開張強當錄態總戰護報擔擇掛據擺斷時顯術機殺權條來極構標樣檢樓歡氣沒測濟熱愛獨現電畫盤碼確禮離種積稱競筆簽簡紅約級紀純線組細終經結給絡統繼續維綜緩編網聯藝節藥營慮蝕補觀規視覺計認讓議訊記講許論設訪證評識詞譯試話詳語誤說請讀課調問題軟夠這錯嚴"
-#: Left alone by the character map; phrases decide them.
-AMBIGUOUS = "于余云伙准几别制卷却发只台合后吁吃向周咸困塬夸娘岳干并御志念恒才折摆斗旋曲朱术松板核梁欲沈沖洒渊游灶炼争疲症皂秋种穀系纤累绷聊胡脏致舍范荐获蒙表谷赞踪辟迹采里钟闲须饥"
-PHRASES = {"以后": "以後", "之后": "之後", "后来": "後來", "然后": "然後", "头发": "頭髮", "发现": "發現", "发展": "發展", "开发": "開發", "皇后": "皇后", "里面": "裡面", "公里": "公里", "关系": "關係", "系统": "系統", "干净": "乾淨", "只是": "只是", "问题": "問題", "导致": "導致", "错误": "錯誤", "范围": "範圍"}
-_MAP = {s: t for s, t in zip(SIMPLIFIED, TRADITIONAL, strict=True) if s not in AMBIGUOUS and s != t}
-
-
-def to_traditional(text: str, characters: dict[str, str] = _MAP, phrases: dict[str, str] = PHRASES) -> str:
-    """Phrases first, leftmost and longest; what lies between by character (M7)."""
-    out, at = [], 0
-    table = str.maketrans(characters)
-    for m in re.finditer("|".join(sorted(map(re.escape, phrases), key=len, reverse=True)) or r"(?!)", text):
-        out += [text[at : m.start()].translate(table), phrases[m[0]]]
-        at = m.end()
-    return "".join([*out, text[at:].translate(table)])
-
-
-def nfc(text: str) -> tuple[str, list[int]]:
-    """NFC text, and for each of its bytes (and its end) the byte it came from."""
-    out, back, at, k = [], [], 0, 0
-    while k < len(text):
-        e = k + 1
-        while e < len(text) and (unicodedata.combining(text[e]) or len(unicodedata.normalize("NFC", text[k : e + 1])) <= len(unicodedata.normalize("NFC", text[k:e]))):
-            e += 1
-        piece = unicodedata.normalize("NFC", text[k:e])
-        out.append(piece)
-        back += [at] * len(piece.encode())
-        at += len(text[k:e].encode())
-        k = e
-    return "".join(out), [*back, at]
-
-
-# Reduplications that are words.
-REDUPLICATIONS = frozenset(
-    "媽媽 爸爸 哥哥 姐姐 弟弟 妹妹 爺爺 奶奶 叔叔 伯伯 姑姑 舅舅 嬸嬸 婆婆 公公 太太 謝謝 哈哈 嘿嘿 呵呵 嗯嗯 喔喔 常常 慢慢 漸漸 快快 好好 早早 偷偷 悄悄 "
-    "剛剛 僅僅 淡淡 默默 靜靜 輕輕 深深 滿滿 多多 少少 大大 小小 明明 真真 最最 乖乖 看看 想想 試試 聽聽 說說 走走 談談 問問 查查 算算 猜猜 找找 玩玩 等等 改改 "
-    "講講 聊聊 碰碰 摸摸 拍拍 拉拉 推推 搖搖 動動 跑跑 跳跳 唸唸 寫寫 畫畫 讀讀 學學 做做 用用 吃吃 星星 點點 毛毛 某某 一一 往往 處處 步步 層層 年年 天天 人人 "
-    "家家 個個 條條 種種 件件 樣樣 沾沾 一步一步 欣欣 彬彬 娓娓 津津 歷歷 源源 嗷嗷 洋洋 碌碌 赫赫 蒸蒸 岌岌 喋喋 耿耿 落落 諄諄 鼎鼎 惴惴 孜孜 矇矇".split()
-)
-_NARROW = re.compile(r"[一-鿿]+")
-_TWICE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9]{3,})(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?=[A-Za-z0-9])", re.ASCII)
-
-
-def cjk_repetitions(text: str) -> list[tuple[int, int, str, str]]:
-    """(offset, length, found, unit): a unit of 3, 2 or 1 characters said twice; words built so are left out."""
-    at, out = byte_offsets(text), []
-    for run in _NARROW.finditer(text):
-        k = run.start()
-        while k < run.end():
-            for n in (3, 2, 1):
-                unit = text[k : k + n]
-                if k + 2 * n <= run.end() and text[k + n : k + 2 * n] == unit and unit * 2 not in REDUPLICATIONS:
-                    if n == 1 and run.end() - run.start() > 2 and unit not in "的了是在和":
-                        continue
-                    out.append((at(k), at(k + 2 * n) - at(k), unit * 2, unit))
-                    k += 2 * n - 1
-                    break
-            k += 1
-    return out
-
-
-def latin_repetitions(text: str) -> list[tuple[int, int, str, str]]:
-    """(offset, length, found, word): a Latin word of three letters or more said twice, in any case."""
-    at, out, k = byte_offsets(text), [], 0
-    while m := _TWICE.search(text, k):
-        word = m[1]
-        e = m.end() + len(word)
-        if text[m.end() : e].lower() == word.lower() and not (e < len(text) and text[e].isalnum()):
-            out.append((at(m.start()), at(e) - at(m.start()), text[m.start() : e], word))
-            k = e
-        else:
-            k = m.end()
-    return out
-
-
-def dunhao(text: str) -> list[tuple[int, int, str, str]]:
-    """Full-width commas that bound two or more short segments in a row."""
-    commas = [k for k, c in enumerate(text) if c == "，"]
-    short = [1 <= len(text[a + 1 : b].strip()) <= 4 and "。" not in text[a + 1 : b] and "\n" not in text[a + 1 : b] for a, b in zip(commas, commas[1:], strict=False)]
-    marked, k = set(), 0
-    while k < len(short):
-        e = k
-        while e < len(short) and short[e]:
-            e += 1
-        if e - k >= 2:
-            marked.update(range(k, e + 1))
-        k = max(e, k + 1)
-    at = byte_offsets(text)
-    return [(at(commas[k]), 3, "，", "、") for k in sorted(marked)]
-
-
-def repeated_marks(text: str) -> list[tuple[int, int, str, str]]:
-    """Each repeat of a full-width mark; dashes and ellipses may stand twice."""
-    at, out = byte_offsets(text), []
-    for m in re.finditer(r"([、-〃〈-】〔-〛！（），．：；？—…])\1+", text):
-        free = 2 if m[1] in "—…" else 1
-        out += [(at(k), len(m[1].encode()), m[1], "") for k in range(m.start() + free, m.end())]
-    return out
-
-
-def spacing(text: str) -> list[tuple[int, int, str, str]]:
-    """Empty spans where a space belongs between CJK and Latin letters or digits."""
-    at, out = byte_offsets(text), []
-    for k in range(1, len(text)):
-        a, b = text[k - 1], text[k]
-        if (_CJK.match(a) and b.isascii() and b.isalnum()) or (a.isascii() and a.isalnum() and _CJK.match(b)):
-            out.append((at(k), 0, "", " "))
-    return out
-
-
-def ascii_quotes(text: str) -> list[tuple[int, int, str, str]]:
-    """Straight quotes near CJK, opening and closing in turn; a blank line starts anew."""
-    at, out, odd = byte_offsets(text), [], False
-    context = re.compile(r"[㄀-ㄯ㐀-䶿一-鿿豈-﫿、-〿！-･︰-﹏]")
-    for k, c in enumerate(text):
-        if c == "\n" and text.startswith("\n\n", k):
-            odd = False
-        if c != '"':
-            continue
-        before, after = re.search(r"(\S)\s{0,3}$", text[max(0, k - 4) : k]), re.match(r"\s{0,3}(\S)", text[k + 1 : k + 5])
-        if odd or (before and context.match(before[1])) or (after and context.match(after[1])):
-            out.append((at(k), 1, '"', "」" if odd else "「"))
-            odd = not odd
-    return out
-
-
-def quote_pairs(text: str) -> list[tuple[int, int, str, str]]:
-    """Curly double quotes as nested 「」『』, paragraph by paragraph."""
-    at, out, base = byte_offsets(text), [], 0
-    for para in re.split(r"(\n\n)", text):
-        marks = [(base + k, c) for k, c in enumerate(para) if c in "“”"]
-        depth, deep, sound = 0, [], len({c for _, c in marks}) > 1
-        for _, c in marks:
-            if c == "“":
-                deep.append(depth)
-                depth += 1
-            else:
-                depth -= 1
-                deep.append(depth)
-                sound = sound and depth >= 0
-        if len(marks) >= 2:
-            for n, ((k, c), d) in enumerate(zip(marks, deep, strict=True)):
-                pair = "「」" if not sound or d % 2 == 0 else "『』"
-                out.append((at(k), 3, c, pair[(c == "”") if sound else n % 2]))
-        base += len(para)
-    return out
-
-
-def quote_hierarchy(text: str) -> list[tuple[int, int, str, str]]:
-    """Unmatched, interleaved, top-level inner, and unclosed CJK quotes of each paragraph."""
-    at, out, base = byte_offsets(text), [], 0
-    close = {"」": "「", "』": "『", "》": "《"}
-    for para in re.split(r"(\n\n)", text):
-        stack: list[tuple[str, int]] = []
-        for k, c in enumerate(para):
-            if c in "「『《":
-                if c == "『" and not stack:
-                    out.append((at(base + k), 3, c, ""))
-                stack.append((c, base + k))
-            elif c in close:
-                if stack and stack[-1][0] == close[c]:
-                    stack.pop()
-                else:
-                    out.append((at(base + k), 3, c, ""))
-        out += [(at(k), 3, c, "") for c, k in stack]
-        base += len(para)
-    return sorted(out)
-
-
-def apply_fixes(text: str, issues: list[tuple[int, int, str, str | None]], mode: str = "lexical_safe", skip: list[Span] = ()) -> tuple[str, list[tuple[int, int, str]]]:
-    """Fixed text and edits (offset, old length, replacement) from (offset, length, type, suggestion) in byte order.
-
-    Punctuation and case are orthographic; every other type needs a lexical
-    tier.  An issue without a suggestion, over an excluded range or over the
-    last edit is left alone.
-    """
-    raw, out, cursor, edits = text.encode(), [], 0, []
-    for offset, length, kind, suggestion in sorted(issues, key=lambda i: (i[0], -i[1])):
-        lexical = kind not in ("punctuation", "case")
-        if mode == "none" or suggestion is None or offset < cursor or (lexical and mode == "orthographic") or overlaps(offset, offset + length, list(skip)):
-            continue
-        out += [raw[cursor:offset], suggestion.encode()]
-        edits.append((offset, length, suggestion))
-        cursor = offset + length
-    return b"".join([*out, raw[cursor:]]).decode(), edits
-
-
-def fixed(issues: DataFrame, docs: DataFrame, mode: str = "lexical_safe") -> DataFrame:
-    """(doc_id, fixed_text, n_edits) for every document, from issues (doc_id, offset, length, issue_type, suggestion)."""
-    gathered = issues.groupBy("doc_id").agg(F.collect_list(F.struct("offset", "length", "issue_type", "suggestion")).alias("issues"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, t, found in zip(b["doc_id"], b["text"], b["issues"], strict=True):
-                known = [(r["offset"], r["length"], r["issue_type"], r["suggestion"]) for r in found] if found is not None else []
-                text, edits = apply_fixes(t if isinstance(t, str) else "", known, mode)
-                rows.append((i, text, len(edits)))
-            yield pd.DataFrame(rows, columns=["doc_id", "fixed_text", "n_edits"])
 
-    return docs.select("doc_id", "text").join(gathered, "doc_id", "left").mapInPandas(run, "doc_id long, fixed_text string, n_edits int")
+def detected(docs: DataFrame, rule: Callable[..., Iterable[Issue]], *args: object) -> DataFrame:
+    """One rule's issues over whole texts, nothing excluded."""
+    return per_text(docs, lambda d: issue_rows(d, rule(d, *args)), ISSUE)

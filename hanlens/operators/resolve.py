@@ -1,74 +1,103 @@
-"""Span algebra over issues: overlap resolution, order, boosts, and rows against ranges."""
+"""Competition of overlapping issues, and their final order and places."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import column_of, line_of
 from ..rules import SEVERITY_ORDER, TYPE_ORDER
+from .doc import Issue, Span, byte_offsets
 
 
-def severity_order(severity: str | Column = "severity") -> Column:
-    c = F.col(severity) if isinstance(severity, str) else severity
-    return F.create_map(*(F.lit(x) for p in SEVERITY_ORDER.items() for x in p))[c]
+def resolved(issues: Iterable[Issue]) -> list[Issue]:
+    """Longer issues first, then graver, then earlier ones; one is taken when it overlaps nothing taken (O1).
 
+    An empty span overlaps a taken one only strictly inside it.  Taken spans
+    stay sorted, so each candidate looks at its neighbours alone.
+    """
+    order = sorted(sorted(issues, key=lambda i: (i.start, i.start - i.end)), key=lambda i: (i.start - i.end, -SEVERITY_ORDER[i.severity], i.start))
+    starts: list[int] = []
+    end_of: dict[int, int] = {}
+    kept = []
+    for i in order:
+        k = bisect_right(starts, i.start) if i.end > i.start else bisect_left(starts, i.start)
+        if k and end_of[starts[k - 1]] > i.start or i.end > i.start and k < len(starts) and starts[k] < i.end:
+            continue
+        if i.end > i.start:
+            insort(starts, i.start)
+            end_of[i.start] = i.end
+        kept.append(i)
+    return sorted(kept, key=lambda i: (i.start, i.start - i.end))
 
-def type_order(issue_type: str | Column = "issue_type") -> Column:
-    c = F.col(issue_type) if isinstance(issue_type, str) else issue_type
-    return F.create_map(*(F.lit(x) for p in TYPE_ORDER.items() for x in p))[c]
 
+def final_order(issues: Iterable[Issue]) -> list[Issue]:
+    """By place, then the graver, then by type (O2)."""
+    return sorted(issues, key=lambda i: (i.start, -SEVERITY_ORDER[i.severity], TYPE_ORDER[i.issue_type]))
 
-def keep_disjoint(issues: Column) -> Column:
-    """Greedy choice from ``array<struct<offset, length, sev, seq, ...>>``.
 
-    Longer issues come first, then graver, then earlier ones; one is taken when
-    it overlaps nothing taken.  An empty span overlaps a taken one only strictly
-    inside it.
-    """
-    first = F.array_sort(issues, lambda a, b: F.when(a["length"] != b["length"], b["length"] - a["length"]).when(a["sev"] != b["sev"], b["sev"] - a["sev"]).when(a["offset"] != b["offset"], a["offset"] - b["offset"]).otherwise(a["seq"] - b["seq"]))
+_UP = {"info": "warning", "warning": "error", "error": "error"}
 
-    def clash(x: Column, y: Column) -> Column:
-        both = (x["offset"] < y["offset"] + y["length"]) & (y["offset"] < x["offset"] + x["length"])
-        return F.when((x["length"] > 0) & (y["length"] > 0), both).when(x["length"] == 0, (x["offset"] > y["offset"]) & (x["offset"] < y["offset"] + y["length"])).otherwise((y["offset"] > x["offset"]) & (y["offset"] < x["offset"] + x["length"]))
 
-    return F.aggregate(first, F.slice(first, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.array_append(kept, x)))
+def boosted(issues: list[Issue], headings: list[Span]) -> list[Issue]:
+    """Severity one step up for issues inside a heading."""
+    starts = [s for s, _ in headings]
 
+    def inside(i: Issue) -> bool:
+        k = bisect_right(starts, i.start) - 1
+        return k >= 0 and i.end <= headings[k][1]
 
-def resolved(issues: DataFrame) -> DataFrame:
-    """Issues (doc_id, issue_type, severity, offset, length, ...) without overlaps, one shuffle by document.
+    return [i._replace(severity=_UP[i.severity]) if inside(i) else i for i in issues]
 
-    A document's issues are gathered with its own text as their bound.
-    """
-    rest = [c for c in issues.columns if c not in ("doc_id", "offset", "length", "severity", "issue_type")]
-    row = F.struct("offset", "length", severity_order().alias("sev"), type_order().alias("seq"), "severity", "issue_type", *rest)
-    kept = issues.groupBy("doc_id").agg(keep_disjoint(F.collect_list(row)).alias("kept"))
-    return kept.select("doc_id", F.explode("kept").alias("i")).select("doc_id", "i.offset", "i.length", "i.severity", "i.issue_type", *(f"i.{c}" for c in rest))
 
+def cell_of(cells: list[tuple[int, int, int, int]], start: int, end: int) -> tuple[int, int] | None:
+    """Row and column of the first table cell around a span."""
+    k = bisect_right(cells, start, key=lambda c: c[2]) - 1
+    return cells[k][:2] if k >= 0 and end <= cells[k][3] else None
 
-def final_order(issues: DataFrame) -> DataFrame:
-    return issues.orderBy("doc_id", "offset", F.desc(severity_order()), type_order())
+
+def line_columns(text: str, places: Iterable[int], encoding: str = "utf16") -> tuple[np.ndarray, np.ndarray]:
+    """1-based lines and columns of code point places; columns in UTF-16 or UTF-32 units, one pass over the text."""
+    places = np.array(list(places), np.int64)
+    breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+    starts = np.concatenate([[0], breaks + 1])
+    line = np.searchsorted(starts, places, "right") - 1
+    at = np.arange(len(text) + 1)
+    if encoding == "utf16" and not text.isascii():
+        at = np.concatenate([[0], np.cumsum(1 + (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 0xFFFF))])
+    return line + 1, at[places] - at[starts[line]] + 1
 
 
-def located(issues: DataFrame, docs: DataFrame) -> DataFrame:
-    """Issues with line and UTF-16 column; the text comes by its document."""
-    d = docs.select("doc_id", "text")
-    return issues.join(d, "doc_id").withColumn("line", line_of(F.col("text"), F.col("offset"))).withColumn("col", column_of(F.col("text"), F.col("offset"))).drop("text")
+def line_columns_of_bytes(text: str, offsets: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for byte offsets."""
+    return line_columns(text, np.searchsorted(byte_offsets(text), np.array(list(offsets), np.int64)))
 
 
-def boosted(issues: DataFrame, headings: DataFrame) -> DataFrame:
-    """Severity one step up for issues inside a heading (doc_id, start, end)."""
-    h = headings.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("headings"))
-    inside = F.coalesce(F.exists("headings", lambda r: (r["start"] <= F.col("offset")) & (F.col("offset") + F.col("length") <= r["end"])), F.lit(False))
-    up = F.when(F.col("severity") == "info", "warning").when(F.col("severity") == "warning", "error").otherwise(F.col("severity"))
-    return issues.join(h, "doc_id", "left").withColumn("severity", F.when(inside, up).otherwise(F.col("severity"))).drop("headings")
+def severity_order(severity: str | Column = "severity") -> Column:
+    c = F.col(severity) if isinstance(severity, str) else severity
+    return F.create_map(*(F.lit(x) for p in SEVERITY_ORDER.items() for x in p))[c]
+
+
+def type_order(issue_type: str | Column = "issue_type") -> Column:
+    c = F.col(issue_type) if isinstance(issue_type, str) else issue_type
+    return F.create_map(*(F.lit(x) for p in TYPE_ORDER.items() for x in p))[c]
+
+
+def ordered(issues: DataFrame) -> DataFrame:
+    """Issue rows in their final order (O2)."""
+    return issues.orderBy("doc_id", "offset", F.desc(severity_order()), type_order())
 
 
 def matched_rules(issues: DataFrame) -> DataFrame:
+    """Distinct dictionary rules behind a document's issues (O3)."""
     return issues.groupBy("doc_id").agg(F.count_distinct("rule_id").alias("rules_matched"))
 
 
 def without_rewritten(issues: DataFrame, written: DataFrame) -> DataFrame:
-    """Rescan issues that touch no span the fixer wrote (doc_id, start, end)."""
-    touch = (issues.doc_id == written.doc_id) & (issues.offset < written.end) & (issues.offset + issues.length > written.start)
-    return issues.join(written, touch, "left_anti")
+    """Rescan issues that touch no span the fixer wrote (doc_id, start, end); a deletion's span is empty."""
+    start, end = issues["offset"], issues["offset"] + issues["length"]
+    touch = F.when(written["start"] == written["end"], (start <= written["start"]) & (end > written["start"])).otherwise((start < written["end"]) & (end > written["start"]))
+    return issues.join(written, (issues["doc_id"] == written["doc_id"]) & touch, "left_anti")

@@ -2,14 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.chars import compact_suggestion, escape_tsv
+from ..functions.spans import matches
+from ..operators.detectors import Detector
+from ..operators.resolve import line_columns_of_bytes, severity_order
 
 SHORT_SEVERITY = {"error": "E", "warning": "W", "info": "I"}
 
 
+def summary(issues: DataFrame) -> DataFrame:
+    """One row for the whole: issues by severity, documents with any, distinct terms (the summary sink)."""
+    by = (F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SHORT_SEVERITY)
+    return issues.agg(F.count("*").alias("n"), *by, F.count_distinct("doc_id").alias("docs"), F.count_distinct("found").alias("terms"))
+
+
+def top_per_axis(issues: DataFrame, most: int = 5) -> DataFrame:
+    """Of each document and axis of style the gravest issues, then the first ones (part of O12)."""
+    axis = F.when(F.col("issue_type") == "ai_style", "ai").when(F.col("issue_type") == "translationese", "translationese").when(F.col("issue_type").isin("cross_strait", "confusable"), "consistency")
+    best = Window.partitionBy("doc_id", "axis").orderBy(F.desc(severity_order()), "line", "offset", "code")
+    return issues.withColumn("axis", axis).where("axis IS NOT NULL").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+
+
+def located(docs: DataFrame, found: tuple[Detector, ...]) -> DataFrame:
+    """Issues with their lines and UTF-16 columns, found and placed in a document's own row: one pass over its text."""
+    def hits(d: Detector) -> Column:
+        return F.transform(matches(F.coalesce("text", F.lit("")), d.pattern, d.group), lambda s: F.struct(F.lit(d.code).alias("code"), s["start"].alias("offset")))
+
+    per_doc = docs.select("doc_id", "text").withColumn("hits", F.flatten(F.array(*map(hits, found))))
+    schema = "doc_id long, code string, offset int, line int, col int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for doc_id, text, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                offsets = [h["offset"] for h in hits]
+                places = zip(*(x.tolist() for x in line_columns_of_bytes(text or "", offsets)), strict=True) if hits else ()
+                rows += [(doc_id, h["code"], h["offset"], line, col) for h, (line, col) in zip(hits, places, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "code", "offset", "line", "col"])
+
+    return per_doc.where(F.size("hits") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "hits").mapInArrow(run, schema)
+
+
+def residual(issues: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Rescan issues that touch nothing the fixer wrote; ``fixed`` has its ``edits``."""
+    start = F.struct(F.lit(0).alias("shift"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        size = F.octet_length(e["text"])
+        span = F.struct((e["offset"] + a["shift"]).alias("start"), (e["offset"] + a["shift"] + size).alias("end"))
+        return F.struct((a["shift"] + size - e["length"]).alias("shift"), F.array_append(a["out"], span).alias("out"))
+
+    spans = fixed.select("doc_id", F.aggregate("edits", start, step, lambda a: a["out"]).alias("written"))
+    inside = lambda w: F.when(w["start"] == w["end"], (F.col("offset") <= w["start"]) & (F.col("offset") + F.col("length") > w["start"])).otherwise((F.col("offset") < w["end"]) & (F.col("offset") + F.col("length") > w["start"]))
+    return issues.join(spans, "doc_id").where(~F.exists("written", inside)).drop("written")
+
+
 def grouped(issues: DataFrame) -> DataFrame:
     """Equal findings of a document: count and sorted offsets (K1)."""
     return issues.groupBy("doc_id", "found", "issue_type", "suggestion", "severity").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("offset")), lambda x: x.cast("string")), ",").alias("offsets"))

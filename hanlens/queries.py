@@ -1,26 +1,31 @@
 """Queries over the driver's tables by name, and the SQL that must give the same rows.
 
-Every query reads its whole tables.  Texts are ``corpus.text_sql`` of
-``documents`` (or ``long_sql`` for rules about paragraphs and density).
+Every query reads its whole tables and whole texts.  Texts are ``corpus.text_sql``
+of ``documents`` (or ``long_sql`` for rules about paragraphs and density): a
+sample in Chinese, which the driver's texts lack, and then the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import corpus
+from . import corpus, oracles
 from .functions import chars, spans
-from .operators import annotate, detectors, dictionary, kernels, resolve, scores, structure
-from .plans import report, scan
-from .rules import Rule, parse
+from .operators import annotate, conversion, detectors, dictionary, exclusions, fixes, kernels, orthography, resolve, scores, style
+from .operators.doc import Doc, Issue, chunk
+from .operators.segmenter import Segmenter
+from .plans import quality, report, scan
+from .rules import COLLOCATIONS, OTHER_SENSES, PRIORS, Rule, parse
+from .sources import rpc
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHORT = f"SELECT doc_id, {corpus.text_sql('text')} AS t FROM documents"
 LONG = f"SELECT doc_id, {corpus.long_sql('text')} AS t FROM documents"
-RULES = [r for r in parse() if r.type != "variant"]
+ALL = parse()
+RULES = [r for r in ALL if r.type != "variant"]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -45,16 +50,22 @@ def query(sql: str | None = None, name: str | None = None):
 
 for _d in detectors.DETECTORS:
     query(detectors.oracle(_d, SHORT), f"detect_{_d.code}")(lambda spark, sf_dir, d=_d: detectors.issues(short(spark, sf_dir), (d,)))
-for _r in structure.RULES:
-    query(structure.oracle(_r, LONG), f"structure_{_r.code}")(lambda spark, sf_dir, r=_r: structure.structural(long(spark, sf_dir), (r,)))
-query(structure.PRONOUN_RUNS_ORACLE.replace("{corpus}", LONG), "structure_t4_pronoun_runs")(lambda spark, sf_dir: structure.pronoun_runs(long(spark, sf_dir)))
-query(structure.TRICOLONS_ORACLE.replace("{corpus}", LONG), "structure_a13_tricolon")(lambda spark, sf_dir: structure.tricolons(long(spark, sf_dir)))
-query(structure.SLOGANS_ORACLE.replace("{corpus}", LONG), "structure_a23_slogans")(lambda spark, sf_dir: structure.repeated_slogans(long(spark, sf_dir)))
+
+_STYLE = {
+    "a1_meaning": style.meaning, "a2_copula": style.copulas, "a6_density": style.densities, "a7_binary_contrast": style.binary_contrast, "a8_paragraph_endings": style.paragraph_endings,
+    "a9_dashes": style.dashes, "a10_formulaic_headings": style.formulaic_headings, "a11_list_density": style.list_density, "a13_tricolon": style.tricolons, "a16_bullets": style.bullets,
+    "a17_bold": style.bold, "a18_em_dash": style.em_dashes, "a22_line_metaphor": style.line_metaphor, "a23_slogans": style.slogans, "t1_passive": style.passives,
+    "t2_abstract_subject": style.abstract_subjects, "t3_late_condition": style.late_conditions, "t4_pronoun_runs": style.pronoun_runs, "t7_de_chain": style.de_chains, "t9_tense": style.tenses,
+    "t10_one_of_density": style.one_of_density, "t11_connective_pair": style.connectives_by_sentence, "t12_nominal_chain": style.nominal_chains, "t13_premodifier": style.premodifiers,
+    "t15_connectives": style.connectives, "t16_nominal_pair": style.nominal_pairs, "t17_false_friend": style.false_friends,
+}
+_STYLE_SQL = oracles.style_oracles(LONG)
+for _code, _rule in _STYLE.items():
+    query(_STYLE_SQL[_rule.__name__], f"structure_{_code}")(lambda spark, sf_dir, r=_rule: kernels.detected(long(spark, sf_dir), r))
 
 
 def _spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = dictionary.compiled(dictionary.layered(dictionary.rule_table(spark, RULES)))
-    return dictionary.spelling_issues(short(spark, sf_dir), table, RULES)
+    return dictionary.spelling_issues(short(spark, sf_dir), RULES)
 
 
 @query(dictionary.spelling_oracle(SHORT))
@@ -67,12 +78,10 @@ def case_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.case_issues(short(spark, sf_dir))
 
 
-_HITS = dictionary.hits_sql(SHORT, RULES)
-_KEPT = dictionary.KEPT_SQL
 _SEVERITY = "CASE type WHEN 'political_coloring' THEN 'error' WHEN 'typo' THEN 'error' WHEN 'ai_filler' THEN 'info' WHEN 'translationese' THEN 'info' ELSE 'warning' END"
-_FOUND = f"WITH {_HITS}, i AS (SELECT doc_id, type AS rule_type, {_SEVERITY} AS severity, f AS found, dst, english, clues, pre || f || post AS w FROM m WHERE {_KEPT})"
-
-
+_NEXT = "substr(t, p + length(f) + 1, 1)"
+_FOUND = f"""WITH {dictionary.found_sql(SHORT, RULES)}, i AS (SELECT doc_id, type AS rule_type, {_SEVERITY} AS severity, CASE WHEN dst = [''] AND {_NEXT} IN ('，', '：') THEN f || {_NEXT} ELSE f END AS found,
+{dictionary.effective_sql(RULES)} AS dst, english, clues, CAST(b AS INTEGER) AS "offset", regexp_replace(l0, '^(?s:.*)\n\n', '') || f || regexp_extract(r0, '^((?s:.*?))(?:\n\n|$)', 1) AS w FROM m WHERE {dictionary.kept_sql(RULES)})"""
 @query(f"""{_FOUND}, g AS (SELECT doc_id, count_if(severity = 'error') AS n_error, count_if(severity = 'warning') AS n_warning, count_if(severity = 'info') AS n_info FROM i GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n_error, 0) AS BIGINT) AS n_error, CAST(coalesce(n_warning, 0) AS BIGINT) AS n_warning, CAST(coalesce(n_info, 0) AS BIGINT) AS n_info, coalesce(n_error, 0) <= 0 AND coalesce(n_warning, 0) <= 1 AS accepted
 FROM documents d LEFT JOIN g USING (doc_id)""")
@@ -98,18 +107,56 @@ def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotate.consistency(_spelling(spark, sf_dir), short(spark, sf_dir))
 
 
-_COLLOCATED = " OR ".join(f"(found = '{t}' AND contains(w, '{n}') AND list_contains(dst, '{to}'))" for t, n, to in annotate.COLLOCATIONS)
-_PRIOR = "CASE " + " ".join(f"WHEN found = '{t}' AND list_contains(dst, '{p}') THEN {w}" for t, p, w in annotate.PRIORS) + " ELSE 0 END"
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spelling(spark, sf_dir).withColumn("issue_type", F.col("rule_type"))
+
+
+
+def _tier2_sql(profile: str = "base") -> str:
+    """Score and outcome of the eligible terms of ``i``, as columns score and outcome."""
+    settled = "CASE " + " ".join(f"WHEN found = '{t}' AND contains(w, '{n}') THEN '{to}'" for t, n, to in COLLOCATIONS) + " END"
+    prior = "CASE found " + " ".join(f"WHEN '{t}' THEN {w}" for t, _, w in PRIORS[profile]) + " ELSE 0 END"
+    preferred = "CASE found " + " ".join(f"WHEN '{t}' THEN '{p}'" for t, p, _ in PRIORS[profile]) + " END"
+    other = " OR ".join(f"(found = '{t}' AND ({' OR '.join(f'contains(w, {chr(39)}{x}{chr(39)})' for x in words)}))" for t, words in OTHER_SENSES.items())
+    return f"""el AS (SELECT *, {settled} AS c, len(list_filter(clues, lambda c: contains(w, c))) AS k, {prior} AS prior, {preferred} AS preferred, {other} AS other FROM i
+WHERE rule_type IN ('cross_strait', 'confusable') AND (len(dst) > 1 OR len(clues) > 0 OR found IN ({', '.join(map(repr, OTHER_SENSES))}))),
+cl AS (SELECT *, CASE WHEN k > 0 THEN least(0.7, 0.3 + 0.4 * k / len(clues)) ELSE 0.0 END AS clue, coalesce(list_contains(dst, c), FALSE) AS fits FROM el),
+sc AS (SELECT *, round(CASE WHEN fits THEN 1.0 WHEN other THEN 0.0 ELSE least(1.0, clue + prior) END, 6) AS score FROM cl),
+t2 AS (SELECT *, CASE WHEN score >= 0.6 THEN 'resolved' WHEN score < 0.3 THEN 'suppressed' ELSE 'gray' END AS outcome FROM sc),
+t3 AS (SELECT *, CASE WHEN outcome = 'resolved' THEN CASE WHEN fits THEN c WHEN prior > clue AND list_contains(dst, preferred) THEN preferred ELSE dst[1] END END AS term FROM t2)"""
 
 
-@query(f"""{_FOUND}, el AS (SELECT *, len(list_filter(clues, lambda c: contains(w, c))) AS k FROM i WHERE rule_type IN ('cross_strait', 'confusable') AND (len(dst) > 1 OR len(clues) > 0 OR found = '進程')),
-s AS (SELECT doc_id, found, round(CASE WHEN {_COLLOCATED} THEN 1.0 ELSE least(1.0, CASE WHEN k > 0 THEN least(0.7, 0.3 + 0.4 * k / len(clues)) ELSE 0.0 END + {_PRIOR}) END, 6) AS score FROM el)
-SELECT doc_id, found, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.6 THEN 'resolved' WHEN score < 0.3 THEN 'suppressed' ELSE 'gray' END AS outcome FROM s""")
+@query(f"{_FOUND}, {_tier2_sql()} SELECT doc_id, found, CAST(score AS DOUBLE) AS score, outcome, term FROM t3")
 def tier2_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = dictionary.compiled(dictionary.layered(dictionary.rule_table(spark, RULES)))
-    m = dictionary.conditions(dictionary.hits(short(spark, sf_dir), RULES), table).where("kept")
-    m = m.select("doc_id", F.col("type").alias("rule_type"), F.col("from").alias("found"), F.col("to").alias("suggestions"), "clues", "window").where(annotate.eligible())
-    return m.select("doc_id", "found", F.round(annotate.tier2_score(), 6).alias("score")).withColumn("outcome", annotate.tier2_outcome("score"))
+    m = annotate.tier2(_spelling(spark, sf_dir).where(annotate.eligible()))
+    return m.select("doc_id", "found", F.round("tier2_score", 6).alias("score"), F.col("tier2_outcome").alias("outcome"), F.col("tier2_term").alias("term"))
+
+
+@query(f"""{_FOUND}, {_tier2_sql('strict')}, oc AS (SELECT doc_id, "offset", outcome, term FROM t3)
+SELECT i.doc_id, found, CASE WHEN outcome = 'suppressed' THEN 'info' ELSE severity END AS severity,
+array_to_string(CASE WHEN term IS NULL OR NOT list_contains(dst, term) THEN dst ELSE list_transform(range(1, len(dst) + 1), lambda k: CASE WHEN k = 1 THEN term WHEN dst[k] = term THEN dst[1] ELSE dst[k] END) END, ',') AS suggestions
+FROM i LEFT JOIN oc ON i.doc_id = oc.doc_id AND i."offset" = oc."offset" """)
+def tier2_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settled suggestions to the front, suppressed terms info (O15), with the strict profile's priors."""
+    return annotate.tier2_apply(_spelling(spark, sf_dir), "strict").select("doc_id", "found", "severity", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+@query(f"""{_FOUND} SELECT doc_id, found, CASE WHEN doc_id % 2 = 0 AND found = '軟件' THEN 'info' ELSE severity END AS severity FROM i""")
+def bulk_confirm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to a bulk question about issues by their place."""
+    i = _spelling(spark, sf_dir)
+    answers = i.where("found = '軟件'").select("doc_id", "offset", (F.col("doc_id") % 2 != 0).alias("keep"))
+    return annotate.confirmed(i, answers).select("doc_id", "found", "severity")
+
+
+@query(f"""{_FOUND}, b AS (SELECT doc_id, CAST(b AS INTEGER) AS "offset", f FROM ({'WITH ' + detectors.hits_sql(SHORT, '網路|系統') + ' SELECT * FROM x'}) z),
+k AS (SELECT i.*, EXISTS (SELECT 1 FROM b WHERE b.doc_id = i.doc_id AND i."offset" <= b."offset" AND i."offset" + strlen(i.found) >= b."offset" + strlen(b.f)) AS banned FROM i)
+SELECT doc_id, "offset", found, CASE WHEN banned THEN 'error' ELSE severity END AS severity, banned AS glossary_banned FROM k
+UNION ALL SELECT doc_id, "offset", f, 'error', TRUE FROM b WHERE NOT EXISTS (SELECT 1 FROM i WHERE b.doc_id = i.doc_id AND i."offset" <= b."offset" AND i."offset" + strlen(i.found) >= b."offset" + strlen(b.f))""")
+def glossary_banned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banned terms become errors, where an issue covers them and where none does."""
+    d = short(spark, sf_dir)
+    return annotate.glossary(_typed(spark, sf_dir), [], ["網路", "系統"], d).select("doc_id", "offset", "found", "severity", "glossary_banned")
 
 
 @query(f"""{_FOUND} SELECT doc_id, found, CASE WHEN found IN ('軟件', '用戶') THEN 'info' WHEN found = '內存' AND severity <> 'info' THEN 'info' ELSE severity END AS severity FROM i WHERE found <> '優化'""")
@@ -153,38 +200,12 @@ def pack_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("from").alias("term"), "variants", F.array_join(F.transform("layers", lambda x: x.cast("string")), ",").alias("layers"))
 
 
-_ALL_RULES = dictionary.values_sql(parse())
+_ALL_RULES = dictionary.values_sql(ALL)
+for _name, (_check, _sql) in quality.checks(ALL).items():
+    query(_sql, f"rules_{_name}")(lambda spark, sf_dir, c=_check: c(quality.annotated(spark)))
 
 
-@query(f"""SELECT 'cycle' AS qa, a.src AS term FROM {_ALL_RULES.replace('AS r(', 'AS a(')}, {_ALL_RULES.replace('AS r(', 'AS b(')} WHERE list_contains(a.dst, b.src) AND list_contains(b.dst, a.src)
-UNION ALL SELECT 'self', src FROM {_ALL_RULES} WHERE list_contains(dst, src)
-UNION ALL SELECT 'no_suggestion', src FROM {_ALL_RULES} WHERE len(dst) = 0 AND english IS NULL
-UNION ALL SELECT 'chained', a.src FROM {_ALL_RULES.replace('AS r(', 'AS a(')} WHERE EXISTS (SELECT 1 FROM {_ALL_RULES.replace('AS r(', 'AS b(')} WHERE list_contains(a.dst, b.src) AND a.src <> b.src)
-UNION ALL SELECT 'exception', src FROM {_ALL_RULES} WHERE len(list_filter(exceptions, lambda e: NOT contains(e, src))) > 0
-UNION ALL SELECT 'no_english', src FROM {_ALL_RULES} WHERE type = 'cross_strait' AND english IS NULL
-UNION ALL SELECT 'short_clue', src FROM {_ALL_RULES} WHERE len(list_filter(clues, lambda c: length(c) < 2)) > 0""")
-def rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of the rule table: circles, self-suggestions, missing fields, bad exceptions and clues."""
-    r = dictionary.rule_table(spark)
-    b = r.select(F.col("from").alias("b_from"), F.col("to").alias("b_to"))
-    near = r.join(F.broadcast(b), F.array_contains("to", F.col("b_from")) & (F.col("from") != F.col("b_from")))
-    checks = [
-        ("cycle", r.join(F.broadcast(b), F.array_contains("to", F.col("b_from"))).where(F.array_contains("b_to", F.col("from")))),
-        ("self", r.where(F.array_contains("to", F.col("from")))),
-        ("no_suggestion", r.where((F.size("to") == 0) & F.isnull("english"))),
-        ("chained", near.dropDuplicates(["from"])),
-        ("exception", r.where(F.exists("exceptions", lambda e: ~F.contains(e, F.col("from"))))),
-        ("no_english", r.where((F.col("type") == "cross_strait") & F.isnull("english"))),
-        ("short_clue", r.where(F.exists("clues", lambda c: F.length(c) < 2))),
-    ]
-    out = None
-    for name, rows in checks:
-        part = rows.select(F.lit(name).alias("qa"), F.col("from").alias("term"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-_SIMP, _TRAD = kernels.SIMPLIFIED, kernels.TRADITIONAL
+_SIMP, _TRAD = conversion.SIMPLIFIED, conversion.TRADITIONAL
 _S = f"(length(t) - length(translate(t, '{_SIMP}', '')))"
 _T = f"(length(t) - length(translate(t, '{_TRAD}', '')))"
 
@@ -206,8 +227,8 @@ _COMMA = detectors.oracle(detectors.BY_CODE["p1_comma"], LONG)
 @query(rf"""WITH i AS ({_COMMA}), d AS ({LONG}), h AS (SELECT i.doc_id, "offset", decode(encode(t)[1:"offset"]) AS head FROM i JOIN d USING (doc_id))
 SELECT doc_id, "offset", CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INTEGER) AS line, CAST(length(string_split(head, chr(10))[-1]) + len(regexp_extract_all(string_split(head, chr(10))[-1], '[\x{{10000}}-\x{{10FFFF}}]')) + 1 AS INTEGER) AS col FROM h""")
 def line_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = long(spark, sf_dir)
-    return resolve.located(detectors.issues(d, (detectors.BY_CODE["p1_comma"],)), d).select("doc_id", "offset", "line", "col")
+    """Lines and columns of a document's issues, merged once with its line starts."""
+    return report.located(long(spark, sf_dir), (detectors.BY_CODE["p1_comma"],)).select("doc_id", "offset", "line", "col")
 
 
 _LINKS = r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+|@[a-zA-Z0-9_]+"
@@ -238,7 +259,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long(spark, sf_dir).select("doc_id", F.posexplode(p).alias("k", "para")).select("doc_id", F.col("k").cast("long").alias("k"), "para")
 
 
-_ORAL = "|".join(scores.ORAL)
+_ORAL = "|".join(sorted(scores.ORAL, key=len, reverse=True))
 _CJK = f"len(regexp_extract_all(t, '[{chars.NARROW}]'))"
 
 
@@ -254,26 +275,40 @@ def _phrase_sql() -> str:
     return f"0.7 * least(1.0, coalesce(({top}) / nullif({weights}, 0), 0))"
 
 
-@query(f"""WITH d AS ({LONG}), s AS (SELECT doc_id, count(*) AS n, stddev_pop(length(x)) AS sigma FROM (SELECT doc_id, unnest(string_split_regex(t, '[。！？]')) AS x FROM d) WHERE trim(x) <> '' GROUP BY 1),
-c AS (SELECT doc_id, count(*) AS n, stddev_pop(g) / avg(g) AS cv, avg(g) AS mean FROM (SELECT doc_id, unnest(list_transform(p[2:len(p) - 1], lambda x: length(x) + 1)) AS g FROM (SELECT doc_id, string_split(t, '，') AS p FROM d)) GROUP BY 1)
-SELECT d.doc_id, CASE WHEN length(t) >= 500 THEN CAST(round(least(1.0, {_phrase_sql()} + CASE WHEN s.n >= 10 AND sigma < 5 THEN 0.15 * (1 - sigma / 5) ELSE 0 END + least(0.2, 0.05 * len(regexp_extract_all(t, '[{chars.ZERO_WIDTH}]'))) + CASE WHEN c.n >= 9 AND mean >= 1 AND cv < 0.3 THEN 0.1 ELSE 0 END), 6) AS DOUBLE) END AS score
+_MARKS = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mark, unnest(list_transform(p[2:len(p) - 1], lambda x: length(x) + 1)) AS g, len(p) - 1 AS marks FROM (SELECT doc_id, string_split(t, '{m}') AS p FROM d)" for m in "，。；、")
+#: Two signs in a row are a dash; of three, two dashes begin.
+_DASHES = "SELECT doc_id, '—' AS mark, b - a AS g, m AS marks FROM (SELECT doc_id, k AS b, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS a, count(*) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, unnest(list_filter(range(1, length(t)), lambda k: substr(t, k, 2) = '——')) AS k FROM d WHERE contains(t, '——'))) WHERE a IS NOT NULL"
+
+
+@query(f"""WITH d AS ({LONG}), s AS (SELECT doc_id, count(*) AS n, stddev_pop(length(x)) AS sigma FROM (SELECT doc_id, unnest(v[1:len(v) - 1]) AS x FROM (SELECT doc_id, string_split_regex(t || CASE WHEN regexp_matches(t, '[。！？!?]$') THEN '' ELSE '。' END, '[。！？!?]') AS v FROM d)) WHERE length(x) >= 4 GROUP BY 1),
+g AS ({_MARKS} UNION ALL {_DASHES}), v AS (SELECT doc_id, mark, any_value(marks) AS marks, stddev_pop(g) / avg(g) AS cv FROM g GROUP BY 1, 2 HAVING count(*) >= 9 AND avg(g) >= 1),
+c AS (SELECT doc_id, sum(cv * marks) / sum(marks) AS cv FROM v GROUP BY 1)
+SELECT d.doc_id, CASE WHEN length(t) >= 500 THEN CAST(round(least(1.0, {_phrase_sql()} + CASE WHEN s.n >= 10 AND sigma < 5 THEN 0.15 * (1 - sigma / 5) ELSE 0 END + least(0.2, 0.2 * len(regexp_extract_all(t, '[{chars.ZERO_WIDTH}]')) / 3) + coalesce(greatest(0, 0.5 - c.cv) / 0.5 * 0.1, 0)), 6) AS DOUBLE) END AS score
 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def ai_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long(spark, sf_dir).select("doc_id", F.round(scores.ai_score(), 6).alias("score"))
+    """The text's own part of the score; what issues add is part of ``document_scores``."""
+    return kernels.per_text(long(spark, sf_dir), lambda d: [(None if (s := scores.ai_score(d).score) is None else round(s, 6),)], "score double")
 
 
 def _translationese_sql(domain: str) -> str:
-    v = [f"(len(regexp_extract_all(t, '{p}')) * 1000.0 / length(t))" for p in ("被", "進行|加以|予以|做出|作出", "他|她|它")]
-    parts = [*zip(v, scores.DOMAINS[domain][:3], (">",) * 3, strict=True), ("most", float(scores.DOMAINS[domain][3]), ">=")]
-    return " + ".join(f"CASE WHEN {x} {op} {t} THEN least(2.0, greatest(0.1, ({x} - {t}) / {t})) ELSE 0 END * {w}" for (x, t, op), w in zip(parts, scores.SIGNAL_WEIGHTS, strict=False))
+    v = [f"(len(regexp_extract_all(t, '{p}')) * 1000.0 / length(t))" for p in ("被", "他們|她們|他|她|它")]
+    objects = "|".join(scores.WEAK_OBJECTS)
+    weak = " + ".join(f"(SELECT len(list_filter(range(2, len(v) + 1), lambda k: regexp_matches(left(array_to_string(v[k:k + 3], '{x}'), 4), '{objects}'))) FROM (SELECT string_split(t, '{x}') AS v))" for x in scores.WEAK_VERBS)
+    passive, weak_most, pronoun, chain, _ = scores.DOMAINS[domain]
+    parts = ((v[0], passive, ">", 1.0), ("most", float(chain), ">=", 0.7), ("weak * 1000.0 / length(t)", weak_most, ">", 0.8), (v[1], pronoun, ">", 0.6))
+    total = " + ".join(f"CASE WHEN {x} {op} {t} THEN least(2.0, greatest(0.1, ({x} - {t}) / {t})) ELSE 0 END * {w}" for x, t, op, w in parts)
+    weak = f"CASE WHEN regexp_matches(t, '{'|'.join(scores.WEAK_VERBS)}') THEN {weak} ELSE 0 END"
+    return f"""WITH d AS (SELECT doc_id, t, {weak} AS weak FROM ({LONG})), m AS (SELECT doc_id, max(len(regexp_extract_all(x, '的'))) AS most FROM (SELECT doc_id, unnest(string_split_regex(t, '[，,。！？；\n]')) AS x FROM d) GROUP BY 1)
+SELECT doc_id, CASE WHEN length(t) >= 200 THEN CAST(round(least(1.0, ({total}) / {sum(scores.SIGNAL_WEIGHTS)}), 6) AS DOUBLE) END AS score FROM d JOIN m USING (doc_id)"""
+
+
+def _translationese(doc: Doc, domain: str) -> list[tuple]:
+    score = scores.translationese_score(doc, (), domain).score
+    return [(None if score is None else round(score, 6),)]
 
 
 for _domain in scores.DOMAINS:
-    query(
-        f"""WITH d AS ({LONG}), m AS (SELECT doc_id, max(len(regexp_extract_all(x, '的'))) AS most FROM (SELECT doc_id, unnest(string_split_regex(t, '[，。；,\\n]')) AS x FROM d) GROUP BY 1)
-SELECT doc_id, CASE WHEN length(t) >= 200 THEN CAST(round(least(1.0, ({_translationese_sql(_domain)}) / {sum(scores.SIGNAL_WEIGHTS)}), 6) AS DOUBLE) END AS score FROM d JOIN m USING (doc_id)""",
-        f"translationese_score_{_domain}",
-    )(lambda spark, sf_dir, domain=_domain: long(spark, sf_dir).select("doc_id", F.round(scores.translationese_score(domain=domain), 6).alias("score")))
+    query(_translationese_sql(_domain), f"translationese_score_{_domain}")(lambda spark, sf_dir, domain=_domain: kernels.per_text(long(spark, sf_dir), lambda d: _translationese(d, domain), "score double"))
 
 
 @query(rf"""WITH w AS (SELECT doc_id, i, ws[i] AS w, ws[i + 1] AS nxt FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS ws FROM documents)))
@@ -301,54 +336,148 @@ def human_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_human(detectors.issues(short(spark, sf_dir), (detectors.BY_CODE["r5_light_verb"],)))
 
 
-def _kernel(name: str, fn: Callable, ddl: str = "offset int, length int, found string, suggestion string", source: Query = short) -> None:
-    query(None, name)(lambda spark, sf_dir: kernels.per_text(source(spark, sf_dir), fn, ddl))
+_ROWS = """SELECT doc_id, '{code}' AS code, '{kind}' AS issue_type, '{severity}' AS severity, CAST({b} AS INTEGER) AS "offset", CAST(strlen({f}) AS INTEGER) AS length, {f} AS found, {suggestion} AS suggestion"""
+#: A mark that is said twice, for an engine without back-references; dashes and ellipses have two free.
+_REPEATABLE = "、。〃〈〉《》「」『』【】〔〕〖〗〘〙〚〛！（），．：；？"
+
+
+def _repeats_sql() -> str:
+    q = "|".join([*(f"{c}{{2,}}" for c in _REPEATABLE.replace("．", "．")), "—{3,}", "…{3,}"])
+    row = _ROWS.format(code="p13_repeated_mark", kind="punctuation", severity="warning", b="b + 3 * (k - 1)", f="left(f, 1)", suggestion="''")
+    return f"WITH {detectors.hits_sql(SHORT, q)} {row} FROM (SELECT *, unnest(range(CASE WHEN left(f, 1) IN ('—', '…') THEN 3 ELSE 2 END, length(f) + 1)) AS k FROM x)"
+
+
+_DUNHAO = f"""WITH {detectors.hits_sql(SHORT, '，')}, g AS (SELECT *, lead(p) OVER q AS after, lag(p) OVER q AS before FROM x WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+w AS (SELECT g.*, length(regexp_replace(regexp_replace(substr(t, before + 2, g.p - before - 1), '^[{oracles.BLANK}]+', ''), '[{oracles.BLANK}]+$', '')) BETWEEN 1 AND 4 AS short FROM g JOIN c USING (doc_id)),
+r AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT * REPLACE (coalesce(short, FALSE) AS short) FROM w))
+{_ROWS.format(code='p7_dunhao', kind='punctuation', severity='info', b='b', f='f', suggestion="'、'")} FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n FROM r) WHERE n >= 3"""
+_LATIN = rf"""WITH {detectors.hits_sql(SHORT, '[A-Za-z0-9]+')}, n AS (SELECT *, lead(f) OVER q AS f2, lead(p) OVER q AS p2, lead(b) OVER q AS b2, lead(post) OVER q AS post2, row_number() OVER q AS j FROM x WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+l AS (SELECT n.*, lower(f) = lower(f2) AND length(f) >= 3 AND regexp_matches(substr(t, p + length(f) + 1, p2 - p - length(f)), '^(?:[ \t]+|[ \t]*\r?\n[ \t]*)$') AND NOT regexp_matches(post2, '^[\pL\pN]') AS link, substr(t, p + 1, p2 + length(f2) - p) AS pair FROM (SELECT * FROM n WHERE lower(f) = lower(f2)) n JOIN c USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, island ORDER BY j) AS turn FROM (SELECT *, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS island FROM l WHERE link))
+{_ROWS.format(code='p18_latin_repetition', kind='repetition', severity='info', b='b', f='pair', suggestion='f')} FROM k WHERE turn % 2 = 1"""
+_KERNELS: dict[str, tuple[Callable[[Doc], Iterable[Issue]], str | None]] = {
+    "detect_p6_ascii_quotes": (orthography.ascii_quotes, None), "detect_p7_dunhao": (orthography.dunhao, _DUNHAO), "detect_p13_repeated_marks": (orthography.repeated_marks, _repeats_sql()),
+    "detect_p16_quote_hierarchy": (orthography.quote_hierarchy, None), "detect_p17_cjk_repetition": (orthography.cjk_repetitions, None), "detect_p18_latin_repetition": (orthography.latin_repetitions, _LATIN),
+}
+for _name, (_rule, _sql) in _KERNELS.items():
+    query(_sql, _name)(lambda spark, sf_dir, r=_rule: kernels.detected(short(spark, sf_dir), r))
+
+
+def _curly(doc: Doc) -> list[Issue]:
+    return orthography.paired(doc, [Issue("p8_double_curly", "punctuation", "warning", k, k + 1) for k, c in enumerate(doc.text) if c in "“”"])
+
+
+@query()
+def detect_p15_quote_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.detected(short(spark, sf_dir), _curly)
 
 
-_kernel("detect_p6_ascii_quotes", kernels.ascii_quotes)
-_kernel("detect_p7_dunhao", kernels.dunhao)
-_kernel("detect_p13_repeated_marks", kernels.repeated_marks)
-_kernel("detect_p15_quote_pairs", kernels.quote_pairs)
-_kernel("detect_p16_quote_hierarchy", kernels.quote_hierarchy)
-_kernel("detect_p17_cjk_repetition", kernels.cjk_repetitions)
-_kernel("detect_p18_latin_repetition", kernels.latin_repetitions)
-_kernel("sentence_index", kernels.sentences, "start int, `end` int, sentence string".replace("`", ""), long)
-_kernel("exclusions_plain", kernels.exclusions, "start int, stop int")
-_kernel("exclusions_markdown", lambda t: kernels.exclusions(t, "markdown"), "start int, stop int", long)
-_kernel("exclusions_yaml", lambda t: kernels.exclusions(t, "yaml"), "start int, stop int")
-_kernel("heading_spans", kernels.headings, "start int, stop int", long)
-_kernel("table_cells", kernels.table_cells, "row int, col int, start int, stop int", long)
-_kernel("simplified_to_traditional", lambda t: [(kernels.to_traditional(t),)], "converted string")
-_kernel("nfc_text", lambda t: [(kernels.nfc(t)[0],)], "normal string")
-ORACLE_SQL["nfc_text"] = f"SELECT doc_id, nfc_normalize(t) AS normal FROM ({SHORT})"
+_JOINT = f"(regexp_matches(a, '[{chars.IDEOGRAPH}]') AND regexp_matches(b, '[A-Za-z0-9]')) OR (regexp_matches(a, '[A-Za-z0-9]') AND regexp_matches(b, '[{chars.IDEOGRAPH}]'))"
 
 
-@query(rf"""WITH c AS (SELECT doc_id, i, t[i] AS a, t[i + 1] AS b, substr(t, 1, i) AS head FROM (SELECT doc_id, t, unnest(range(1, length(t))) AS i FROM ({SHORT})))
-SELECT doc_id, CAST(strlen(head) AS INTEGER) AS "offset", CAST(0 AS INTEGER) AS length, '' AS found, ' ' AS suggestion FROM c WHERE (regexp_matches(a, '[{chars.IDEOGRAPH}]') AND regexp_matches(b, '[A-Za-z0-9]')) OR (regexp_matches(a, '[A-Za-z0-9]') AND regexp_matches(b, '[{chars.IDEOGRAPH}]'))""")
+@query(f"""WITH c AS (SELECT doc_id, t, unnest(list_filter(range(1, length(t)), lambda i: regexp_matches(substr(t, i, 2), '[{chars.IDEOGRAPH}][A-Za-z0-9]|[A-Za-z0-9][{chars.IDEOGRAPH}]'))) AS i FROM ({SHORT}) WHERE regexp_matches(t, '[{chars.IDEOGRAPH}]'))
+{_ROWS.format(code='p11_spacing', kind='punctuation', severity='info', b='strlen(left(t, i))', f="''", suggestion="' '")} FROM c""")
 def detect_p11_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.per_text(short(spark, sf_dir), kernels.spacing, "offset int, length int, found string, suggestion string")
+    return kernels.detected(short(spark, sf_dir), orthography.spacing)
+
+
+def _bytes(doc: Doc, found: Iterable[tuple[int, int]]) -> list[tuple]:
+    return [(int(doc.at[s]), int(doc.at[e])) for s, e in found]
+
+
+@query(f"""WITH {oracles.texts(LONG)}, {oracles.sentences()} SELECT doc_id, CAST(strlen(left(t, s)) AS INTEGER) AS "start", CAST(strlen(left(t, s + length(u))) AS INTEGER) AS "stop", u AS sentence FROM sent JOIN d USING (doc_id)""")
+def sentence_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.per_text(long(spark, sf_dir), lambda d: [(int(d.at[s]), int(d.at[e]), d.text[s:e]) for s, e in d.sentences], "start int, stop int, sentence string")
+
+
+@query(f"""WITH {oracles.texts(LONG)}, {oracles.sentences()},
+{oracles.paragraphs()}, p AS (SELECT doc_id, k, s, unnest(range(0, length(u), 97)) + s AS place FROM para)
+SELECT p.doc_id, CAST(place AS INTEGER) AS place, CAST(coalesce(sent.s, -1) AS INTEGER) AS sentence, CAST(p.s AS INTEGER) AS paragraph FROM p LEFT JOIN sent ON p.doc_id = sent.doc_id AND place >= sent.s AND place < sent.s + length(sent.u)""")
+def unit_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentence and the paragraph over every 97th place of a paragraph."""
+    def look(d: Doc) -> Iterable[tuple]:
+        for s, e in d.paragraphs:
+            for k in range(s, e, 97):
+                yield k, (d.sentence_at(k) or (-1,))[0], d.paragraph_at(k)[0]
+
+    return kernels.per_text(long(spark, sf_dir), look, "place int, sentence int, paragraph int")
+
+
+@query(f"""WITH {oracles.texts(SHORT)}, {oracles.pieces('line', 'd', 't', chr(10), blank=True)}
+SELECT doc_id, CAST(strlen(left(t, s)) AS INTEGER) AS "start", CAST(strlen(left(t, s + length(key))) AS INTEGER) AS "stop" FROM (
+SELECT *, regexp_extract(u, '^((?:[^"'':]|:+[^ \\t\\r:"'']|:+"[^"]*"|:+''[^'']*''|"[^"]*"|''[^'']*'')*?:+)(?:[ \\t\\r]|$)', 1) AS key FROM line) JOIN d USING (doc_id) WHERE key <> ''""")
+def exclusions_yaml_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.per_text(short(spark, sf_dir), lambda d: _bytes(d, exclusions.yaml_keys(d.text)), "start int, stop int")
+
+
+_SUPPRESSED = rf"""WITH {oracles.texts(SHORT)}, {oracles.pieces('line', 'd', 't', chr(10), blank=True)},
+m AS (SELECT line.*, length(t) AS size, regexp_matches(u, '<!-- {exclusions.TAG}:(?:ignore|disable)-block -->') AS o, regexp_matches(u, '<!-- {exclusions.TAG}:end-(?:ignore|disable) -->') AS e, regexp_matches(u, '<!-- {exclusions.TAG}:(?:ignore|disable)-next-line -->') AS nx, regexp_matches(u, '// {exclusions.TAG}:(?:ignore|disable)') AS h FROM line JOIN d USING (doc_id) WHERE contains(t, '{exclusions.TAG}:')),
+q AS (SELECT *, max(CASE WHEN o THEN k END) OVER w AS last_o, max(CASE WHEN e THEN k END) OVER w AS last_e FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, coalesce(last_o > coalesce(last_e, 0), FALSE) AS inside FROM q), n AS (SELECT *, lag(nx AND NOT inside AND NOT o) OVER (PARTITION BY doc_id ORDER BY k) AS told FROM b)
+SELECT doc_id, k FROM n WHERE inside OR o OR told OR h"""
+
+
+@query(_SUPPRESSED)
+def suppressed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a suppression comment switches off."""
+    def lines(d: Doc) -> Iterable[tuple]:
+        off = Doc(d.text, scan.merged(exclusions.suppressions(d.text)))
+        return [(k,) for k, (s, e) in enumerate(d.lines, 1) if off.inside(s, max(e, s + 1)) or (s == e and off.hidden(max(0, s - 1), s + 1) and off.inside(s, s))]
+
+    return kernels.per_text(short(spark, sf_dir), lines, "k long")
+
+
+for _kind, _source in (("plain", short), ("markdown", long), ("yaml", short)):
+    query(None, f"exclusions_{_kind}")(lambda spark, sf_dir, kind=_kind, source=_source: scan.excluded_ranges(source(spark, sf_dir), kind))
+query(None, "heading_spans")(lambda spark, sf_dir: kernels.per_text(long(spark, sf_dir), lambda d: _bytes(d, exclusions.headings(d.text)), "start int, stop int"))
+query(None, "table_cells")(lambda spark, sf_dir: kernels.per_text(short(spark, sf_dir), lambda d: [(r, c, int(d.at[s]), int(d.at[e])) for r, c, s, e in exclusions.table_cells(d.text)], "row int, cell int, start int, stop int"))
+query(None, "semantic_chunks")(lambda spark, sf_dir: kernels.per_text(long(spark, sf_dir), lambda d: [(k, d.text[slice(*chunk(d.text, k, k + 2))]) for k in d.places("系統")], "place int, chunk string"))
+
+
+def _converted_sql() -> str:
+    q = conversion.SEED.found.pattern
+    pairs = ", ".join(f"'{s}': '{t}'" for s, t in conversion.SEED.phrases.items())
+    first = [(chr(a), b) for a, b in conversion.SEED.characters.items()]
+    usual = [(chr(a), b) for a, b in conversion.SEED.variants.items()]
+    gap = f"translate(translate(g[i], '{''.join(a for a, _ in first)}', '{''.join(b for _, b in first)}'), '{''.join(a for a, _ in usual)}', '{''.join(b for _, b in usual)}')"
+    return f"""SELECT doc_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: {gap} || coalesce(map_extract(MAP {{{pairs}}}, h[i])[1], '')), '') AS converted
+FROM (SELECT doc_id, regexp_extract_all(t, '{q}') AS h, string_split_regex(t, '{q}') AS g FROM ({SHORT}))"""
+
+
+query(_converted_sql(), "simplified_to_traditional")(lambda spark, sf_dir: kernels.per_text(short(spark, sf_dir), lambda d: [(conversion.to_traditional(d.text),)], "converted string"))
+query(f"SELECT doc_id, nfc_normalize(t) AS normal FROM ({SHORT})", "nfc_text")(lambda spark, sf_dir: kernels.per_text(short(spark, sf_dir), lambda d: [(conversion.nfc(d.text)[0],)], "normal string"))
 
 
 @query()
 def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = kernels.Segmenter(parse())
-    return kernels.per_text(short(spark, sf_dir), words.segment, "offset int, word string, known boolean")
+    words = Segmenter(ALL)
+    return kernels.per_text(short(spark, sf_dir), lambda d: words.segment(d.text), "offset int, word string, known boolean")
 
 
-@query()
-def scan_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(short(spark, sf_dir))
+def _scan(docs: DataFrame, profile: str, content_type: str | Column = "plain") -> DataFrame:
+    return scan.scan(docs, profile, content_type=content_type).select("doc_id", "offset", "length", "line", "col", "code", "issue_type", "severity", "found", F.array_join("suggestions", "|").alias("suggestions"), "rule_id", "row", "cell")
+
+
+for _profile in scan.PROFILES:
+    query(None, f"scan_{_profile}")(lambda spark, sf_dir, p=_profile: _scan(short(spark, sf_dir), p))
+query(None, "scan_markdown")(lambda spark, sf_dir: _scan(long(spark, sf_dir), "ai", "markdown"))
 
 
 @query()
-def scan_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.scan(short(spark, sf_dir), "strict")
+def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores, flags and coverage of every document, from one pass."""
+    s = scan.scanned(long(spark, sf_dir), "ai")
+    return s.select("doc_id", "chars", "script", "rules_checked", "rules_matched", *(F.round(c, 6).alias(c) for c in ("ai", "translationese", "consistency", "oral_density")), *(F.array_join(c, ",").alias(c) for c in ("ai_signals", "translationese_signals", "quality_flags")))
 
 
 @query()
-def fix_lexical_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = short(spark, sf_dir)
-    return kernels.fixed(scan.scan(d), d)
+def gate_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over the whole scan: counts come from a document's own row, without a join (K2, K4)."""
+    return report.gate(scan.counted(scan.scanned(short(spark, sf_dir))), 0, 1)
+
+
+for _mode in fixes.MODES[1:]:
+    query(None, f"fix_{_mode}")(lambda spark, sf_dir, m=_mode: scan.fixed(short(spark, sf_dir), m).select("doc_id", "fixed_text", "n_edits", "n_issues"))
 
 
 @query()
@@ -356,6 +485,14 @@ def convert_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.converge(short(spark, sf_dir))
 
 
+@query()
+def residual_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues left after a fix, by document, without those that only touch what the fix wrote."""
+    f = scan.fixed(short(spark, sf_dir))
+    again = scan.exploded(scan.scanned(f.select("doc_id", F.col("fixed_text").alias("text"))))
+    return report.severity_counts(report.residual(again, f), f)
+
+
 @query()
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = short(spark, sf_dir).withColumn("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
@@ -368,8 +505,6 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spelling(spark, sf_dir).withColumn("issue_type", F.col("rule_type"))
 
 
 _ONE = "len(dst) = 1 AND dst[1] <> ''"
@@ -449,30 +584,64 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, CASE WHEN count(*) >= 9 AND avg(value) >= 1 THEN round(stddev_pop(value) / avg(value), 6) END AS cv FROM events GROUP BY 1")
 def coefficient_of_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population deviation over mean of a list, as distances between marks are judged."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return e.select("user_id", F.round(scores.variation(F.col("v")), 6).alias("cv"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.round(scores.variation_of("value"), 6).alias("cv"))
 
 
 @query()
 def heading_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = long(spark, sf_dir)
-    h = kernels.per_text(d, kernels.headings, "start int, stop int").withColumnRenamed("stop", "end")
-    return resolve.boosted(detectors.issues(d, (detectors.BY_CODE["p1_comma"],)), h)
+    """Issues of markdown, those in headings a step graver."""
+    return scan.scan(long(spark, sf_dir), content_type="markdown").select("doc_id", "offset", "severity", "found", "code")
 
 
 @query()
-def residual_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues left after a fix, by document: a rescan of the fixed texts."""
-    d = short(spark, sf_dir)
-    f = kernels.fixed(scan.scan(d), d).select("doc_id", F.col("fixed_text").alias("text"))
-    return report.severity_counts(scan.scan(f), d)
+def style_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five gravest issues of each axis of style."""
+    return report.top_per_axis(scan.scan(long(spark, sf_dir), "ai")).select("doc_id", "axis", "rank", "severity", "line", "code", "found")
 
 
-@query()
-def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return short(spark, sf_dir).select("doc_id", F.array_join(scores.quality_flags(), ",").alias("flags"))
+@query(f"{_FOUND} SELECT count(*) AS n, CAST(count_if(severity = 'error') AS BIGINT) AS n_error, CAST(count_if(severity = 'warning') AS BIGINT) AS n_warning, CAST(count_if(severity = 'info') AS BIGINT) AS n_info, count(DISTINCT doc_id) AS docs, count(DISTINCT found) AS terms FROM i")
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary(_spelling(spark, sf_dir))
+
+
+@query(f"{_FOUND} SELECT doc_id, CAST(count(DISTINCT found) AS BIGINT) AS rules_matched FROM (SELECT doc_id, CASE WHEN found LIKE '%，，' OR found LIKE '%，：' THEN left(found, length(found) - 1) ELSE found END AS found FROM i) GROUP BY 1")
+def rules_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rules behind a document's issues (O3)."""
+    return resolve.matched_rules(_spelling(spark, sf_dir))
+
+
+@query(f"SELECT src AS \"from\", to_json({{'from': src, 'to': dst, 'english': english}}) AS entry FROM {_ALL_RULES} WHERE english IS NOT NULL AND NOT disabled")
+def ambiguous_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ambiguous_dictionary(dictionary.rule_table(spark))
+
+
+@query(f"{_FOUND}, {_tier2_sql()}, k AS (SELECT CASE WHEN o.outcome IS NULL THEN 'deterministic' WHEN outcome = 'gray' THEN 'unresolved' ELSE 'heuristic' END AS tier FROM i LEFT JOIN (SELECT doc_id, \"offset\", outcome FROM t3) o ON i.doc_id = o.doc_id AND i.\"offset\" = o.\"offset\") SELECT count(*) AS n, CAST(count_if(tier = 'deterministic') AS BIGINT) AS n_deterministic, CAST(count_if(tier = 'heuristic') AS BIGINT) AS n_heuristic, CAST(count_if(tier = 'llm') AS BIGINT) AS n_llm, CAST(count_if(tier = 'unresolved') AS BIGINT) AS n_unresolved, round(count_if(tier IN ('deterministic', 'heuristic')) * 100.0 / count(*), 6) AS avoided_percent FROM k")
+def tier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by what settled them, and how many needed no judgement (K3, K9)."""
+    i = annotate.tier2_apply(_spelling(spark, sf_dir)).withColumn("llm_judged", F.lit(False))
+    t = report.tier_metrics(i.withColumn("tier", annotate.resolution_tier()))
+    return t.withColumn("avoided_percent", F.round("avoided_percent", 6))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 500")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest rows of a cache within its time to live (O32); a top-k, which is the feature."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", F.unix_date(F.col("o_orderdate").cast("date")).alias("created_at"))
+    return annotate.fresh(o, 20_000, 20_000, 500, ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, 'pong' AS answer FROM documents")
+def rpc_ping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON-RPC lines in, answers out."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = d.select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").cast("string").alias("id"), F.lit("ping").alias("method"))).alias("line"))
+    got = rpc.answers(lines)
+    return got.select(F.get_json_object("line", "$.id").alias("id"), F.when(F.get_json_object("line", "$.result") == "{}", "pong").alias("answer"))
 
 
 @query()
-def style_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores.scorecard(long(spark, sf_dir), _spelling(spark, sf_dir))
+def rpc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool call for every document: its scan as the answer."""
+    d = short(spark, sf_dir)
+    call = F.struct(F.lit("lint").alias("name"), F.struct(F.col("text")).alias("arguments"))
+    return rpc.answers(d.select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").cast("string").alias("id"), F.lit("tools/call").alias("method"), call.alias("params"))).alias("line")))

@@ -1,7 +1,7 @@
 """The stateless scan over files as they arrive.
 
-The scan needs no state across documents; only its overlap resolution gathers
-rows, those of one document, which a micro-batch holds whole.
+The scan needs no state across documents and shuffles nothing, so a micro-batch
+is one pass of row-local steps.
 """
 
 from __future__ import annotations
