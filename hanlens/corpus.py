@@ -50,6 +50,7 @@ SAMPLES = (
     "- **效能提升**：很好\n- **品質改善**：很好\n- **成本下降**：很低\n\n1. **甲**說明\n2. **乙**說明\n3. **丙**說明\n\n- 一\n- 二\n- 三",
     "這是café與naïve的é測試，ｶﾞ與가的內存。Dr. Wang left. He said hi. 中文。etc. Then more? Yes! 好嗎？",
     "共有１２３4個。甲 - 乙。價格 = ...元。// 註解...好\n第一章.....3。東京 ~ 大阪。好…。",
+    "祖國的內地有大陸同胞。裏面的着色羣組眞好，綫上帳單。他是高興的，她是漂亮了。",
     "我愛你你。謝謝，哈哈。天天向上。測試測試一下。這個 這個。我們的的書。是是非非。",
 )
 KEPT = 4

@@ -171,12 +171,13 @@ def effective_sql(rules: Iterable[Rule]) -> str:
     return "CASE f " + " ".join(f"WHEN '{r.from_}' THEN CAST([{', '.join(repr(x) for x in effective(r))}] AS VARCHAR[])" for r in rules) + " END"
 
 
-def spelling_oracle(corpus: str, rules: Iterable[Rule] | None = None) -> str:
-    rules = [r for r in (rules or parse()) if r.type != "variant"]
+def spelling_oracle(corpus: str, rules: Iterable[Rule] | None = None, words: Iterable[Rule] | None = None, variants: bool = False) -> str:
+    """SQL of the dictionary over ``rules``; ``words`` are the rules whose words may not be cut."""
+    rules = [r for r in (rules or parse()) if variants or r.type != "variant"]
     severity = "CASE type " + " ".join(f"WHEN '{t}' THEN '{s}'" for t, s in SEVERITY.items()) + " END"
     return rf"""
 WITH {found_sql(corpus, rules)},
-k AS (SELECT *, CASE WHEN len(dst) = 1 AND dst[1] = '' AND substr(t, p + length(f) + 1, 1) IN ('，', '：') THEN f || substr(t, p + length(f) + 1, 1) ELSE f END AS found FROM m WHERE {kept_sql(rules)})
+k AS (SELECT *, CASE WHEN len(dst) = 1 AND dst[1] = '' AND substr(t, p + length(f) + 1, 1) IN ('，', '：') THEN f || substr(t, p + length(f) + 1, 1) ELSE f END AS found FROM m WHERE {kept_sql(words or rules)})
 SELECT doc_id, type AS rule_type, {severity} AS severity, CAST(b AS INTEGER) AS "offset", CAST(strlen(found) AS INTEGER) AS length, found, array_to_string({effective_sql(rules)}, ',') AS suggestions, english
 FROM k
 """

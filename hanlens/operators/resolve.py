@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..rules import SEVERITY_ORDER, TYPE_ORDER
 from .doc import Issue, Span, byte_offsets
@@ -91,6 +92,12 @@ def ordered(issues: DataFrame) -> DataFrame:
     return issues.orderBy("doc_id", "offset", F.desc(severity_order()), type_order())
 
 
+def placed(issues: DataFrame) -> DataFrame:
+    """Issue rows with their place in their document's final order; a document's issues are bounded by its own text."""
+    order = Window.partitionBy("doc_id").orderBy("offset", F.desc(severity_order()), type_order())
+    return issues.withColumn("place", F.row_number().over(order))
+
+
 def matched_rules(issues: DataFrame) -> DataFrame:
     """Distinct dictionary rules behind a document's issues (O3)."""
     return issues.groupBy("doc_id").agg(F.count_distinct("rule_id").alias("rules_matched"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import ahocorasick
+import numpy as np
+
 from ..rules import STOP_WORDS, VOCABULARY, Rule
 from .doc import CJK
 
 LONGEST = 32
+#: Characters of a text from which the boundaries are read off a map.
+MAPPED = 4096
 
 
 class Segmenter:
@@ -24,6 +29,7 @@ class Segmenter:
         by_head: dict[str, set[int]] = {}
         for w in self.words:
             by_head.setdefault(w[0], set()).add(len(w))
+        self._words: ahocorasick.Automaton | None = None
         #: Lengths of the words that begin with a character; a text is only cut where one can be.
         self.lengths = {c: tuple(sorted(n for n in ns if 1 < n <= LONGEST)) for c, ns in by_head.items()}
 
@@ -60,6 +66,22 @@ class Segmenter:
         words = {w for _, w, known in self.segment(window) if known}
         return sum(any(c in w for w in words) for c in set(clues))
 
+    def boundaries(self, text: str) -> np.ndarray:
+        """For each place of a long text where the earliest word begins that runs over it, or its length (G8b); the same answers as ``straddles``, read off."""
+        first = np.full(len(text) + 1, len(text) + 1)
+        if self._words is None:
+            self._words = ahocorasick.Automaton()
+            for w in self.words:
+                lead = next((k for k, c in enumerate(w) if not CJK.match(c)), len(w))
+                if 1 < len(w) <= LONGEST and w not in self.terms and lead > 1:
+                    self._words.add_word(w, (len(w), min(lead, len(w))))
+            if len(self._words):
+                self._words.make_automaton()
+        for last, (n, lead) in self._words.iter(text) if len(self._words) else ():
+            s = last + 1 - n
+            np.minimum(first[s + 1 : s + lead], s, out=first[s + 1 : s + lead])
+        return first
+
     def straddles(self, text: str, start: int, end: int) -> bool:
         """Whether a dictionary word that is no rule's term crosses an edge of [start, end).
 

@@ -10,10 +10,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 
 from ..rules import CASES, INTERNATIONAL_ONLY, SEVERITY, Rule
 from .doc import Doc, Issue
-from .segmenter import Segmenter
+from .segmenter import MAPPED, Segmenter
 
 MOST_CLUES, CLUE_CHARS, PLACE_CHARS = 32, 40, 20
 
@@ -54,6 +55,7 @@ class Spelling:
             t: r for t, r in last.items() if not r.disabled and r.type not in shut and not (stance == "international" and r.type == "political_coloring" and t in INTERNATIONAL_ONLY)
         }
         self.segmenter = segmenter
+        self._mapped: tuple[Doc | None, np.ndarray] = (None, np.empty(0))
         self.automaton = ahocorasick.Automaton()
         for t in [*self.rules, *absorbers(self.rules.values())]:
             self.automaton.add_word(t, len(t))
@@ -95,11 +97,22 @@ class Spelling:
         return not (
             _surrounded(doc.text, rule.from_, rule.to, s)
             or not _clued(doc, rule, s, e)
-            or (self.segmenter is not None and self.segmenter.straddles(doc.text, s, e))
+            or self._cuts(doc, s, e)
             or _surrounded(doc.text, rule.from_, rule.exceptions, s)
             or not all(_placed(doc, p, s, e) for p in rule.positional)
         )
 
+    def _cuts(self, doc: Doc, s: int, e: int) -> bool:
+        """Whether a general word runs over an edge of the hit (M4f)."""
+        if self.segmenter is None:
+            return False
+        if len(doc.text) <= MAPPED:
+            return self.segmenter.straddles(doc.text, s, e)
+        if self._mapped[0] is not doc:
+            self._mapped = (doc, self.segmenter.boundaries(doc.text))
+        first = self._mapped[1]
+        return first[s] < s or first[e] <= s
+
     def case_issues(self, doc: Doc) -> Iterator[Issue]:
         """Product names in another case, not inside a longer Latin word (M6)."""
         for m in self.case.finditer(doc.text) if self.case else ():

@@ -17,8 +17,9 @@ from .functions import chars, spans
 from .operators import annotate, conversion, detectors, dictionary, exclusions, fixes, kernels, orthography, resolve, scores, style
 from .operators.doc import Doc, Issue, chunk
 from .operators.segmenter import Segmenter
+from .operators.spelling import Spelling
 from .plans import quality, report, scan
-from .rules import COLLOCATIONS, OTHER_SENSES, PRIORS, Rule, parse
+from .rules import COLLOCATIONS, INTERNATIONAL_ONLY, OTHER_SENSES, PRIORS, Rule, parse
 from .sources import rpc
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -493,13 +494,15 @@ def residual_after_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.severity_counts(report.residual(again, f), f)
 
 
-@query()
+@query(f"""WITH i AS ({detectors.oracle(detectors.BY_CODE['p1_comma'], SHORT)})
+SELECT doc_id, to_json({{'ruleId': issue_type, 'level': CASE severity WHEN 'info' THEN 'note' ELSE severity END, 'message': {{'text': found}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': 'doc-' || doc_id}}, 'region': {{'byteOffset': "offset", 'byteLength': length}}}}}}]}}) AS line FROM i""")
 def sarif_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = short(spark, sf_dir).withColumn("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
     return report.as_sarif(detectors.issues(d, (detectors.BY_CODE["p1_comma"],)), d)
 
 
-@query()
+@query(f"""WITH i AS ({detectors.oracle(detectors.BY_CODE['p1_comma'], SHORT)})
+SELECT doc_id, to_json({{'offset': "offset", 'length': length, 'found': found, 'issue_type': issue_type, 'severity': severity, 'suggestion': suggestion}}) AS line FROM i""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(detectors.issues(short(spark, sf_dir), (detectors.BY_CODE["p1_comma"],)))
 
@@ -645,3 +648,82 @@ def rpc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = short(spark, sf_dir)
     call = F.struct(F.lit("lint").alias("name"), F.struct(F.col("text")).alias("arguments"))
     return rpc.answers(d.select(F.to_json(F.struct(F.lit("2.0").alias("jsonrpc"), F.col("doc_id").cast("string").alias("id"), F.lit("tools/call").alias("method"), call.alias("params"))).alias("line")))
+
+
+for _gate, _keep in (("strict", lambda r: True), ("international", lambda r: r.type != "variant" and not (r.type == "political_coloring" and r.from_ in INTERNATIONAL_ONLY)), ("neutral", lambda r: r.type not in ("variant", "political_coloring")), ("plain", lambda r: r.type not in ("variant", "ai_filler", "translationese"))):
+    _gates = {"strict": {"variants": True}, "plain": {"fillers": False, "translationese": False}}.get(_gate, {"stance": _gate})
+    _kept_rules = [r for r in ALL if _keep(r)]
+
+    @query(dictionary.spelling_oracle(SHORT, _kept_rules, ALL, _gate == "strict"), f"dictionary_{_gate}")
+    def _gated(spark: SparkSession, sf_dir: str, gates: dict = _gates) -> DataFrame:
+        """The dictionary behind a profile's gates (M4a-M4c): variants on, a stance, or without fillers and translated style."""
+        i = dictionary.spelling_issues(short(spark, sf_dir), ALL, **gates)
+        return i.select("doc_id", "rule_type", "severity", "offset", "length", "found", F.array_join("suggestions", ",").alias("suggestions"), "english")
+
+
+_GATES = {"base": "type <> 'variant'", "strict": "TRUE", "plain": "type NOT IN ('variant', 'ai_filler', 'translationese')"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{g}' AS profile, count(*) AS rules_checked FROM {_ALL_RULES} WHERE {w}" for g, w in _GATES.items()))
+def rules_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rules a profile tries."""
+    table = dictionary.layered(dictionary.rule_table(spark, ALL))
+    gates = {"base": {}, "strict": {"variants": True}, "plain": {"fillers": False, "translationese": False}}
+    parts = [dictionary.compiled(table, **g).agg(F.count("*").alias("rules_checked")).select(F.lit(n).alias("profile"), "rules_checked") for n, g in gates.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT src AS term, CASE WHEN type = 'translationese' THEN list_filter(dst, lambda x: x <> '')[1] END AS rewrite, coalesce(regexp_extract(context, '@domain\\s+([^。\\s]+)', 1), '') AS domain FROM {dictionary.values_sql([*ALL, *quality.FAULTY])}")
+def rule_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite a rule suggests (F18) and its domain tag."""
+    r = quality.annotated(spark)
+    domain = F.coalesce(F.regexp_extract("context", r"@domain\s+([^。\s]+)", 1), F.lit(""))
+    return r.select(F.col("from").alias("term"), chars.suggested_rewrite(F.col("type"), F.col("to")).alias("rewrite"), domain.alias("domain"))
+
+
+@query(f"""{_FOUND}, b AS (SELECT DISTINCT rule_type, found FROM i WHERE doc_id % 2 = 0) SELECT rule_type, found FROM b UNION SELECT rule_type, found FROM i WHERE rule_type = 'typo'""")
+def baseline_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline and the issues that are added to it, each once."""
+    i = _typed(spark, sf_dir).withColumn("path", F.lit("all"))
+    old = i.where("doc_id % 2 = 0").select(annotate.fingerprint().alias("fingerprint")).distinct()
+    new = annotate.baseline_update(i.where("rule_type = 'typo'"), old)
+    return i.withColumn("fingerprint", annotate.fingerprint()).join(new, "fingerprint", "left_semi").select("rule_type", "found").distinct()
+
+
+_THREE = ("p1_comma", "p14_full_digit", "r5_light_verb", "t6_de")
+_UNION = " UNION ALL ".join(f"SELECT * FROM ({detectors.oracle(detectors.BY_CODE[c], SHORT)})" for c in _THREE)
+_RANK = "CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END"
+_TYPE = "CASE issue_type WHEN 'punctuation' THEN 6 WHEN 'grammar' THEN 7 ELSE 10 END"
+
+
+@query(f'SELECT doc_id, code, "offset", row_number() OVER (PARTITION BY doc_id ORDER BY "offset", {_RANK} DESC, {_TYPE}) AS place FROM ({_UNION})')
+def issue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues by place, then the graver, then by type (O2)."""
+    i = detectors.issues(short(spark, sf_dir), tuple(detectors.BY_CODE[c] for c in _THREE))
+    return resolve.placed(i).select("doc_id", "code", "offset", F.col("place").cast("long").alias("place"))
+
+
+@query(rf"""WITH i AS ({_COMMA}), d AS ({LONG}), h AS (SELECT i.doc_id, "offset", decode(encode(t)[1:"offset"]) AS head FROM i JOIN d USING (doc_id)),
+l AS (SELECT doc_id, "offset", length(head) - length(replace(head, chr(10), '')) + 1 AS line, length(string_split(head, chr(10))[-1]) + 1 AS col FROM h)
+SELECT doc_id, CASE WHEN count(*) > 1 AND count(DISTINCT col) = 1 THEN string_agg(CAST(line AS VARCHAR), ',' ORDER BY "offset") || ':' || min(col) ELSE string_agg(line || ':' || col, ',' ORDER BY "offset") END AS locations FROM l GROUP BY 1""")
+def compact_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's places in short form."""
+    i = report.located(long(spark, sf_dir), (detectors.BY_CODE["p1_comma"],))
+    g = i.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("offset", "line", "col"))).alias("l"))
+    return g.select("doc_id", chars.compressed_locations(F.col("l")).alias("locations"))
+
+
+@query(f"""WITH {dictionary.found_sql(SHORT, RULES)}, i AS (SELECT doc_id, CAST(b AS INTEGER) AS s, CAST(strlen(f) AS INTEGER) AS n FROM m),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i), ed AS (SELECT * FROM w WHERE k % 2 = 1), od AS (SELECT * FROM w WHERE k % 2 = 0)
+SELECT od.doc_id, CAST(od.s + coalesce(sum(2 - ed.n), 0) AS INTEGER) AS "start" FROM od LEFT JOIN ed ON od.doc_id = ed.doc_id AND ed.s + ed.n <= od.s GROUP BY od.doc_id, od.s""")
+def remapped_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges after edits beside them (X14): every other term is replaced by two bytes, the rest move."""
+    made: dict[str, Spelling] = {}  # compiled in the worker
+
+    def moved(d: Doc) -> list[tuple]:
+        it = made.setdefault("it", Spelling(RULES)) if "it" not in made else made["it"]
+        spots = [(int(d.at[s]), int(d.at[e])) for s, e in it.matches(d.text) if d.text[s:e] in it.rules]
+        edits = [fixes.Edit(s, e - s, "xx") for s, e in spots[::2]]
+        return [(s,) for s, _ in fixes.remapped_ranges(spots[1::2], edits)]
+
+    return kernels.per_text(short(spark, sf_dir), moved, "start int")

@@ -226,6 +226,8 @@ def test_straddling_equals_brute_force():
             over = [(k, k + len(w)) for w in words for k in range(len(text)) if text.startswith(w, k)]
             want = any((p < a < q and cjk(text[p : a + 1])) or (p <= a and p < b < q and cjk(text[p : b + 1])) for p, q in over)
             assert s.straddles(text, a, b) == want, text
+            first = s.boundaries(text)
+            assert (first[a] < a or first[b] <= a) == want, text
 
 
 def test_dictionary_conditions():
