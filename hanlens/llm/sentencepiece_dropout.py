@@ -9,8 +9,9 @@ every piece is of the vocabulary, and decoding gives the text back whole.  With
 
 Text is coded as it is: one space goes in front, spaces are the model's space
 mark, and what the vocabulary lacks, a literal space mark included, goes as
-bytes.  No merge crosses from a word into the next space, so a text is cut there,
-and every cut of every document draws for itself.  What a cut's candidates are
+bytes.  No merge crosses from a word into the next space, nor a line end that no
+piece holds, so a text is cut there, and every cut of every document draws for
+itself.  What a cut's candidates are
 depends on the draws before alone, so a worker remembers each word as a tree: a
 candidate, and what follows if it is merged or skipped, down to the codes.  Only
 the hash is drawn anew.  A way met for the first time and once is coded without
@@ -50,10 +51,13 @@ SHORT, TOGETHER = 32, 8192
 #: Longer cuts are not remembered.
 LONGEST = 64
 _NONE = 1 << 30
+#: Codes that are met once are numbered from here.
+_ONCE = 1 << 40
 #: Text bytes coded at a time.
 SLICE_BYTES = 2 << 20
 MARK = "▁"
-_CUT = re.compile(" +[^ ]*")
+#: Characters that part cuts where no piece holds them.
+BREAKS = "\n\r\t"
 _M = (1 << 64) - 1
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -82,6 +86,9 @@ class Pieces:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from a word into the next space")
+        parted = "".join(c for c in BREAKS if not any(c in q for q in self.ids))
+        #: Spaces with what follows them, runs of breaks, and what follows a break.
+        self.cut = re.compile(f" +[^ {parted}]*|[{parted}]+|[^ {parted}]+" if parted else " +[^ ]*")
         order = {x: k for k, x in enumerate(sorted(set(scores.values())))}
         #: Place of each piece in the order of merging; equal scores have equal ranks.
         self.ranks = {p: order[x] for p, x in scores.items()}
@@ -92,6 +99,7 @@ class Pieces:
 
     def _forget(self) -> None:
         self._clear()
+        self._bytes: pa.BinaryArray | None = None
         self._char = np.full(0x110000, -1, np.int32)
         for piece, k in self.ids.items():
             if len(piece) == 1 and piece != MARK:
@@ -104,9 +112,14 @@ class Pieces:
         self._seen: set[str] = set()
         self._mixed, self._next = array("Q"), array("q")
         self._start, self._size, self._codes = array("q"), array("q"), array("i")
+        self._pass()
+
+    def _pass(self) -> None:
+        """No ways that are met once: those live as long as the texts they are met in."""
+        self._start_once, self._size_once, self._codes_once = array("q"), array("q"), array("i")
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_char", "_roots", "_seen", "_mixed", "_next", "_start", "_size", "_codes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_char", "_bytes", "_roots", "_seen", "_mixed", "_next", "_start", "_size", "_codes", "_start_once", "_size_once", "_codes_once")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -206,6 +219,12 @@ class Pieces:
         self._codes.extend(ids)
         return -1 - len(self._start)
 
+    def _leaf_once(self, ids: list[int]) -> int:
+        self._start_once.append(len(self._codes_once))
+        self._size_once.append(len(ids))
+        self._codes_once.extend(ids)
+        return -1 - _ONCE - len(self._start_once)
+
     def _grow(self, cut: str, ids: list[int], mixed: list[int], skipped: list[bool]) -> None:
         """Add a cut's way to its codes to its tree."""
         at, edge = self._roots.get(cut, -1), -1
@@ -248,10 +267,10 @@ class Pieces:
                     for j, a, b, c, d in zip(short, [0, *ends], ends, [0, *stops], stops, strict=False):
                         self._grow(cuts[j], flat[a:b], mixed[c:d], skipped[c:d])
                 else:
-                    base, leaf = len(self._codes), -2 - len(self._start)
-                    self._codes.extend(flat)
-                    self._start.extend(base + a for a in [0, *ends[:-1]][: len(ends)])
-                    self._size.extend(b - a for a, b in zip([0, *ends], ends, strict=False))
+                    base, leaf = len(self._codes_once), -2 - _ONCE - len(self._start_once)
+                    self._codes_once.extend(flat)
+                    self._start_once.extend(base + a for a in [0, *ends[:-1]][: len(ends)])
+                    self._size_once.extend(b - a for a, b in zip([0, *ends], ends, strict=False))
                     for i, j in enumerate(short):
                         out[j] = leaf - i
             for j in alone:
@@ -259,7 +278,7 @@ class Pieces:
                 if grow:
                     self._grow(cuts[j], *way)
                 else:
-                    out[j] = self._leaf(way[0])
+                    out[j] = self._leaf_once(way[0])
         return out
 
     def _walk(self, at: np.ndarray, keys: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +309,7 @@ class Pieces:
 
     def encode_flat(self, texts_: list[str], doc_ids: list[int | None], copies: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's start and the last's end; unknown ways of all of them are coded together."""
-        by_text = [_CUT.findall(" " + t) if t else [] for t in texts_]
+        by_text = [self.cut.findall(" " + t) if t else [] for t in texts_]
         counts = np.array([len(c) for c in by_text], np.int64)
         cuts = list(chain.from_iterable(by_text))
         if not cuts:
@@ -316,9 +335,13 @@ class Pieces:
             at[once] = self._learn([cuts[j] for j in once.tolist()], keys[once], False)
             lost, edges = self._walk(at, keys, lost)
         leaf = -2 - at
-        size, start = np.frombuffer(self._size, np.int64)[leaf], np.frombuffer(self._start, np.int64)[leaf]
+        leaf = np.where(leaf < _ONCE, leaf, leaf - _ONCE + len(self._start))
+        sizes, starts = (np.concatenate([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64) + more]) for x, y, more in ((self._size, self._size_once, 0), (self._start, self._start_once, len(self._codes))))
+        size, start = sizes[leaf], starts[leaf]
         ends = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(self._codes, np.int32)[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        codes = np.concatenate([np.frombuffer(self._codes, np.int32), np.frombuffer(self._codes_once, np.int32)])
+        ids = codes[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        self._pass()
         if len(self._mixed) + len(self._codes) + len(seen) > REMEMBERED:
             self._clear()
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
@@ -335,6 +358,23 @@ class Pieces:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode()[1:]
 
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes that all ids stand for, each text with its leading space, and where each text starts and the last ends."""
+        if self._bytes is None:
+            self._bytes = pa.array(self.bytes_of, pa.binary())
+        taken = self._bytes.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+        return memoryview(data or b"").cast("B"), at[ends]
+
+    def lossless(self, given: list[bytes], ids: np.ndarray, ends: np.ndarray) -> list[bool]:
+        """Whether each text's ids decode to it, byte for byte."""
+        data, at = self.decode_flat(ids, ends)
+        sizes = np.fromiter((len(t) + 1 if t else 0 for t in given), np.int64, len(given))
+        if np.array_equal(np.diff(at), sizes) and data[at[0] : at[-1]] == b"".join([b" " + t for t in given if t]):
+            return [True] * len(given)
+        return [bytes(data[a:b]) == (b" " + t if t else b"") for t, a, b in zip(given, at.tolist(), at[1:].tolist(), strict=False)]
+
 
 def encode_docs(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` but ``copy_col`` with ``piece_ids``, ``n_pieces`` and ``lossless`` (names that clash get ``_`` behind)."""
@@ -350,11 +390,11 @@ def encode_docs(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
         for b in batches:
             for part in sliced(iter([b]), text_col, SLICE_BYTES):
                 names_in = part.schema
-                given = [t.decode() for t in texts(part.column(names_in.get_field_index(text_col)))]
+                raw = texts(part.column(names_in.get_field_index(text_col)))
+                given = [t.decode() for t in raw]
                 copies = part.column(names_in.get_field_index(copy_col)).to_pylist() if copy_col else None
                 ids, ends = p.encode_flat(given, part.column(names_in.get_field_index(id_col)).cast(pa.int64()).to_pylist(), copies)
-                flat, at = ids.tolist(), ends.tolist()
-                whole = [p.decode(flat[a:b]) == t for a, b, t in zip(at, at[1:], given, strict=False)]
+                whole = p.lossless(raw, ids, ends)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 columns = [*(part.column(names_in.get_field_index(f.name)) for f in kept), lists, pa.array(np.diff(ends)), pa.array(whole, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *names])

@@ -37,7 +37,7 @@ def brute(rows, model):
     rows = [r for r, c in zip(rows, stay, strict=True) if r[0] == c]
     pieces, out = sentencepiece_dropout.Pieces(), []
     for (d, t, _), (*_, copies) in zip(rows, brute_mix(rows), strict=True):
-        cuts = sentencepiece_dropout._CUT.findall(" " + t) if t else []
+        cuts = pieces.cut.findall(" " + t) if t else []
         for copy in range(copies):
             keys = pieces._keys(d, copy, len(cuts)).tolist()
             out.append((d, tuple(x for c, k in zip(cuts, keys, strict=True) for x in pieces._code(c, k)[0])))
