@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.chars import content_words, identity
 from ..functions.spans import matches
@@ -143,6 +144,20 @@ def resolution_tier() -> Column:
     return F.when(F.col("llm_judged"), "llm").when(F.isnull("tier2_outcome"), "deterministic").when(F.col("tier2_outcome") == "gray", "unresolved").otherwise("heuristic")
 
 
+def translation_requests(issues: DataFrame, most_bytes: int = 4096) -> DataFrame:
+    """What a translator is asked (S10): each distinct window of a document once, numbered into payloads of about ``most_bytes``."""
+    order = Window.partitionBy("doc_id").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
+    d = issues.where(F.isnotnull("english")).select("doc_id", "window").distinct()
+    return d.withColumn("payload", F.floor(F.coalesce(F.sum(F.octet_length("window")).over(order), F.lit(0)) / most_bytes))
+
+
+def judgement_requests(issues: DataFrame, most: int = 5) -> DataFrame:
+    """What a judge is asked (S11): of each document the first ``most`` terms, those that tier 2 left gray before the others; a bound of the protocol."""
+    order = Window.partitionBy("doc_id").orderBy(F.when(F.col("tier2_outcome") == "gray", 0).otherwise(1), "offset")
+    asked = issues.where(F.col("tier2_outcome").isin("gray", "resolved"))
+    return asked.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+
+
 def anchored(issues: DataFrame, translations: DataFrame) -> DataFrame:
     """Whether the translated context (doc_id, words) holds a content word of the gloss; null without either."""
     out = issues.join(translations, "doc_id", "left")

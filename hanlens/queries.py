@@ -281,7 +281,7 @@ _MARKS = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS mark, unnest(list_transfor
 _DASHES = "SELECT doc_id, '—' AS mark, b - a AS g, m AS marks FROM (SELECT doc_id, k AS b, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS a, count(*) OVER (PARTITION BY doc_id) AS m FROM (SELECT doc_id, unnest(list_filter(range(1, length(t)), lambda k: substr(t, k, 2) = '——')) AS k FROM d WHERE contains(t, '——'))) WHERE a IS NOT NULL"
 
 
-@query(f"""WITH d AS ({LONG}), s AS (SELECT doc_id, count(*) AS n, stddev_pop(length(x)) AS sigma FROM (SELECT doc_id, unnest(v[1:len(v) - 1]) AS x FROM (SELECT doc_id, string_split_regex(t || CASE WHEN regexp_matches(t, '[。！？!?]$') THEN '' ELSE '。' END, '[。！？!?]') AS v FROM d)) WHERE length(x) >= 4 GROUP BY 1),
+@query(f"""WITH d AS ({LONG}), s AS (SELECT doc_id, count(*) AS n, stddev_pop(length(x)) AS sigma FROM (SELECT doc_id, unnest(v[1:len(v) - 1]) AS x FROM (SELECT doc_id, string_split_regex(t, '[。！？!?]') AS v FROM d)) WHERE length(x) >= 4 GROUP BY 1),
 g AS ({_MARKS} UNION ALL {_DASHES}), v AS (SELECT doc_id, mark, any_value(marks) AS marks, stddev_pop(g) / avg(g) AS cv FROM g GROUP BY 1, 2 HAVING count(*) >= 9 AND avg(g) >= 1),
 c AS (SELECT doc_id, sum(cv * marks) / sum(marks) AS cv FROM v GROUP BY 1)
 SELECT d.doc_id, CASE WHEN length(t) >= 500 THEN CAST(round(least(1.0, {_phrase_sql()} + CASE WHEN s.n >= 10 AND sigma < 5 THEN 0.15 * (1 - sigma / 5) ELSE 0 END + least(0.2, 0.2 * len(regexp_extract_all(t, '[{chars.ZERO_WIDTH}]')) / 3) + coalesce(greatest(0, 0.5 - c.cv) / 0.5 * 0.1, 0)), 6) AS DOUBLE) END AS score
@@ -690,6 +690,21 @@ def baseline_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.withColumn("fingerprint", annotate.fingerprint()).join(new, "fingerprint", "left_semi").select("rule_type", "found").distinct()
 
 
+@query(f"""{_FOUND}, w AS (SELECT DISTINCT doc_id, w FROM i WHERE english IS NOT NULL)
+SELECT doc_id, w AS "window", CAST(floor(coalesce(sum(strlen(w)) OVER (PARTITION BY doc_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 64) AS BIGINT) AS payload FROM w""")
+def translation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a translator would be asked, in payloads of 64 bytes."""
+    return annotate.translation_requests(_spelling(spark, sf_dir), 64)
+
+
+@query(f"""{_FOUND}, {_tier2_sql()}, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE outcome WHEN 'gray' THEN 0 ELSE 1 END, "offset") AS turn FROM t3 WHERE outcome <> 'suppressed')
+SELECT doc_id, found, "offset", turn FROM q WHERE turn <= 2""")
+def judgement_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge would be asked, two terms a document."""
+    i = annotate.tier2(_spelling(spark, sf_dir).where(annotate.eligible()))
+    return annotate.judgement_requests(i, 2).select("doc_id", "found", "offset", F.col("turn").cast("long").alias("turn"))
+
+
 _THREE = ("p1_comma", "p14_full_digit", "r5_light_verb", "t6_de")
 _UNION = " UNION ALL ".join(f"SELECT * FROM ({detectors.oracle(detectors.BY_CODE[c], SHORT)})" for c in _THREE)
 _RANK = "CASE severity WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END"

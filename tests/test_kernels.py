@@ -251,6 +251,22 @@ def test_dictionary_conditions():
     assert spelling.checked() == 6
 
 
+def test_many_rules():
+    """Tens of thousands of terms cost a text no more than one pass."""
+    signs = [chr(0x4E00 + k) for k in range(40)]
+    rules = [Rule(k, a + b + c, (c + b,), "cross_strait", "x") for k, (a, b, c) in enumerate(itertools.product(signs, signs, signs[:15]))]
+    spelling = Spelling(rules, Segmenter(rules, [], []))
+    rng = random.Random(3)
+    text = "".join(rng.choice(signs) for _ in range(20_000))
+    terms, at, want = {r.from_ for r in rules}, 0, []
+    while at < len(text):
+        hit = text[at : at + 3] in terms
+        want += [at] * hit
+        at += 3 if hit else 1
+    assert [s for s, _ in spelling.matches(text)] == want and len(rules) == 24_000
+    assert len(list(spelling.issues(Doc(text)))) > 1000
+
+
 def test_absorbers_do_not_hide_rules():
     made = absorbers(parse())
     assert "國內存款" in made
