@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,11 +19,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str, group: int = 0, needs: Iterable[str] = ()) -> Column:
     """``array<struct<start, length, found>>`` of a pattern's matches (none may be empty).
 
     With ``group`` the match's text is that of the group, which must start the match.
-    Offsets are running sums in two levels, so the work grows with the hits.
+    Offsets are running sums in two levels, so the work grows with the hits.  A
+    text that holds none of ``needs`` is not searched at all.
     """
     none = F.expr("cast(array() as array<struct<start:int,length:int,found:string>>)")
 
@@ -46,7 +49,8 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
         return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * STRETCH + 1, F.lit(STRETCH))), summed)
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(text.rlike(pattern), let(hits, lambda h: let(sized(h), cut))).otherwise(none)
+    able = reduce(or_, (F.contains(text, F.lit(n)) for n in needs)) & text.rlike(pattern) if needs else text.rlike(pattern)
+    return F.when(able, let(hits, lambda h: let(sized(h), cut))).otherwise(none)
 
 
 def ranges(spans: Column) -> Column:

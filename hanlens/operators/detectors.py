@@ -63,6 +63,11 @@ def alt(words) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def led(words) -> str:
+    """A look at the first character, which settles most places of a text."""
+    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])"
+
+
 class Detector(NamedTuple):
     code: str
     issue_type: str
@@ -72,6 +77,8 @@ class Detector(NamedTuple):
     suggestion: str = "NULL"
     group: int = 0
     check: tuple[str, str] | None = None
+    #: A text without any of these has no hit; looked for before the pattern is.
+    needs: tuple[str, ...] = ()
 
 
 def _case(pairs) -> str:
@@ -98,12 +105,12 @@ def _punctuation() -> list[Detector]:
         java, sql = _near(sign)
         exempt = r"(?!!\[)" if sign == "!" else ""
         made.append(Detector(code, "punctuation", "warning", exempt + java, f"'{full}'", 0, (sign, sql + (r" AND NOT regexp_matches(post, '^\[')" if exempt else ""))))
-    made.append(Detector("p4_parenthesis", "punctuation", "warning", rf"(?<=[{C}])[()](?=[{C}])", "CASE WHEN f = '(' THEN '（' ELSE '）' END", 0, ("[()]", f"regexp_matches(pre, '[{C}]$') AND regexp_matches(post, '^[{C}]')")))
+    made.append(Detector("p4_parenthesis", "punctuation", "warning", rf"(?=[()])(?<=[{C}])[()](?=[{C}])", "CASE WHEN f = '(' THEN '（' ELSE '）' END", 0, ("[()]", f"regexp_matches(pre, '[{C}]$') AND regexp_matches(post, '^[{C}]')")))
     java, sql = _near(":")
     made.append(Detector("p5_colon", "punctuation", "warning", rf"(?=:)(?!(?<=[0-9]):[0-9])(?!://)(?<!\])(?!(?<![^\n]): ){java}", "'：'", 0, (":", rf"{sql} AND NOT (regexp_matches(pre, '[0-9]$') AND regexp_matches(post, '^[0-9]')) AND NOT regexp_matches(post, '^//') AND NOT regexp_matches(pre, '\]$') AND NOT ((pre = '' OR regexp_matches(pre, '\n$')) AND regexp_matches(post, '^ '))")))
-    quotes = rf"(?:(?<=[{C}]\s{{0,3}})[“”]|[“”](?=\s{{0,3}}[{C}]))"
+    quotes = rf"(?=[“”])(?:(?<=[{C}]\s{{0,3}})[“”]|[“”](?=\s{{0,3}}[{C}]))"
     made.append(Detector("p8_double_curly", "punctuation", "warning", quotes, "CASE WHEN f = '“' THEN '「' ELSE '」' END", 0, ("[“”]", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]'))")))
-    single = rf"(?<![A-Za-z])(?:(?<=[{C}]\s{{0,3}})[‘’]|[‘’](?=\s{{0,3}}[{C}]))(?![A-Za-z])"
+    single = rf"(?=[‘’])(?<![A-Za-z])(?:(?<=[{C}]\s{{0,3}})[‘’]|[‘’](?=\s{{0,3}}[{C}]))(?![A-Za-z])"
     made.append(Detector("p8_single_curly", "punctuation", "warning", single, "CASE WHEN f = '‘' THEN '『' ELSE '』' END", 0, ("[‘’]", rf"(regexp_matches(pre, '[{C}]\s{{0,3}}$') OR regexp_matches(post, '^\s{{0,3}}[{C}]')) AND NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]')")))
     made.append(Detector("p9_range_tilde", "punctuation", "info", rf"(?=~)(?:{BEFORE}|(?<=[0-9]))~{AFTER}", "'～'", 0, ("~", rf"({SQL_BEFORE} OR regexp_matches(pre, '[0-9]$')) AND {SQL_AFTER}")))
     line_start = r"(?<![\n\r][ \t]{0,30})(?<!^[ \t]{0,30})"
@@ -114,21 +121,21 @@ def _punctuation() -> list[Detector]:
     made.append(Detector("p10_full_stops", "punctuation", "warning", "。{3,}", "'……'"))
     one = rf"(?=…)(?<!…)(?:{BEFORE}…|…{AFTER})(?!…)"
     made.append(Detector("p10_single_ellipsis", "punctuation", "info", one, "'……'", 0, ("…", rf"({SQL_BEFORE} OR {SQL_AFTER}) AND NOT regexp_matches(pre, '…$') AND NOT regexp_matches(post, '^…')")))
-    made.append(Detector("p12_space_before", "punctuation", "info", rf"(?<=[{I}A-Za-z0-9]) +(?=[{FP}])", "''", 0, (" +", f"regexp_matches(pre, '[{I}A-Za-z0-9]$') AND regexp_matches(post, '^[{FP}]')")))
-    made.append(Detector("p12_space_after", "punctuation", "info", rf"(?<=[{FP}]) +(?=[{I}A-Za-z0-9])", "''", 0, (" +", f"regexp_matches(pre, '[{FP}]$') AND regexp_matches(post, '^[{I}A-Za-z0-9]')")))
+    made.append(Detector("p12_space_before", "punctuation", "info", rf"(?= )(?= +[{FP}])(?<=[{I}A-Za-z0-9]) +", "''", 0, (" +", f"regexp_matches(pre, '[{I}A-Za-z0-9]$') AND regexp_matches(post, '^[{FP}]')")))
+    made.append(Detector("p12_space_after", "punctuation", "info", rf"(?= )(?<=[{FP}]) +(?=[{I}A-Za-z0-9])", "''", 0, (" +", f"regexp_matches(pre, '[{FP}]$') AND regexp_matches(post, '^[{I}A-Za-z0-9]')")))
     made.append(Detector("p14_full_digit", "punctuation", "warning", "[０-９]", "translate(f, '０１２３４５６７８９', '0123456789')"))
     return made
 
 
 def _style() -> list[Detector]:
     p, adj = alt(sorted(PRONOUNS, key=len, reverse=True)), alt(sorted(ADJECTIVES, key=len, reverse=True))
-    fronted = rf"(?<![針面絕相反比核校應配])對(?!於)[^，。；,\n進對]{{1,6}}進行[^，。；,\n]{{0,2}}?{alt(FRONTED_VERBS)}"
+    fronted = rf"(?=對)(?<![針面絕相反比核校應配])對(?!於)[^，。；,\n進對]{{1,6}}進行[^，。；,\n]{{0,2}}?{alt(FRONTED_VERBS)}"
     attribution = r"根據[^，。；,\n\[\]]+?(?:顯示(?!器)|指出|表明|表示(?!式)|說明(?!書))"
     return [
-        Detector("r1_a_not_a_ma", "grammar", "warning", rf"({alt(A_NOT_A)}{N}*嗎)\s*(?:{Z}|$)", "CASE " + " ".join(f"WHEN f LIKE '{w}%' THEN '{w}'" for w in A_NOT_A) + " END", 1),
-        Detector("r2_and_clauses", "grammar", "info", rf"(?<=[{VERB_SUFFIXES}])和(?={p})(?!.{{0,10}}(?:一樣|一般|相同|類似|相似))", "'，'", 0, ("和", rf"regexp_matches(pre, '[{VERB_SUFFIXES}]$') AND regexp_matches(post, '^{p}') AND NOT regexp_matches(post, '^.{{0,10}}(?:一樣|一般|相同|類似|相似)')")),
-        Detector("r3_bare_adjective", "grammar", "info", rf"{p}是{adj}(?:(?=[{ADJECTIVE_TAILS}])|(?![{I}]))", "replace(f, '是', '很')", 0, (rf"{p}是{adj}", f"(NOT regexp_matches(post, '^[{I}]') OR regexp_matches(post, '^[{ADJECTIVE_TAILS}]'))")),
-        Detector("r4_redundant_preposition", "grammar", "info", "|".join(rf"{v}[^，。；,\n]{{0,2}}?{q}" for v, q in REDUNDANT_PREPOSITIONS), "substr(f, 1, 2)"),
+        Detector("r1_a_not_a_ma", "grammar", "warning", rf"{led(A_NOT_A)}({alt(A_NOT_A)}{N}*嗎)\s*(?:{Z}|$)", "CASE " + " ".join(f"WHEN f LIKE '{w}%' THEN '{w}'" for w in A_NOT_A) + " END", 1, (rf"({alt(A_NOT_A)}{N}*嗎)\s*(?:{Z}|$)", "TRUE")),
+        Detector("r2_and_clauses", "grammar", "info", rf"(?=和)(?<=[{VERB_SUFFIXES}])和(?={p})(?!.{{0,10}}(?:一樣|一般|相同|類似|相似))", "'，'", 0, ("和", rf"regexp_matches(pre, '[{VERB_SUFFIXES}]$') AND regexp_matches(post, '^{p}') AND NOT regexp_matches(post, '^.{{0,10}}(?:一樣|一般|相同|類似|相似)')")),
+        Detector("r3_bare_adjective", "grammar", "info", rf"{led(PRONOUNS)}{p}是{adj}(?:(?=[{ADJECTIVE_TAILS}])|(?![{I}]))", "replace(f, '是', '很')", 0, (rf"{p}是{adj}", f"(NOT regexp_matches(post, '^[{I}]') OR regexp_matches(post, '^[{ADJECTIVE_TAILS}]'))")),
+        Detector("r4_redundant_preposition", "grammar", "info", led(v for v, _ in REDUNDANT_PREPOSITIONS) + alt(rf"{v}[^，。；,\n]{{0,2}}?{q}" for v, q in REDUNDANT_PREPOSITIONS), "substr(f, 1, 2)", 0, ("|".join(rf"{v}[^，。；,\n]{{0,2}}?{q}" for v, q in REDUNDANT_PREPOSITIONS), "TRUE")),
         Detector("r5_light_verb", "grammar", "info", rf"(?:進行|加以|予以)[^，。；,\n]{{0,2}}?{alt(NOMINALISED)}", "right(f, 2)"),
         Detector("r6_light_action", "grammar", "info", rf"(?:做出|作出)[^，。；,\n]?{alt(ACTION_OBJECTS)}", "right(f, 2)"),
         Detector("r7_fronted_object", "grammar", "info", fronted, "right(f, 2) || split_part(substr(f, 2), '進行', 1)", 0, (rf"對[^，。；,\n進對]{{1,6}}進行[^，。；,\n]{{0,2}}?{alt(FRONTED_VERBS)}", "NOT regexp_matches(pre, '[針面絕相反比核校應配]$') AND NOT regexp_matches(f, '^對於')")),
@@ -142,20 +149,29 @@ def _style() -> list[Detector]:
         Detector("a19_challenge", "ai_style", "info", rf"儘管{N}{{0,40}}?挑戰{N}{{0,40}}?(?:仍然|持續|蓬勃發展|繼續){N}*"),
         Detector("a20_from_to", "ai_style", "info", rf"從{N}{{1,20}}?到{N}{{1,20}}?再到{N}{{3,}}"),
         Detector("t5_copula_classifier", "translationese", "info", rf"(是一(?:個|名|位)){N}*?的", "'是'", 1),
-        Detector("t6_de", "translationese", "warning", alt(a for a, _ in PAIRS_DE), _case(PAIRS_DE)),
-        Detector("t8_redundant_de", "translationese", "info", alt(ADVERBS_DE), "substr(f, 1, 2)"),
+        Detector("t6_de", "translationese", "warning", led(a for a, _ in PAIRS_DE) + alt(a for a, _ in PAIRS_DE), _case(PAIRS_DE), 0, (alt(a for a, _ in PAIRS_DE), "TRUE")),
+        Detector("t8_redundant_de", "translationese", "info", led(ADVERBS_DE) + alt(ADVERBS_DE), "substr(f, 1, 2)", 0, (alt(ADVERBS_DE), "TRUE")),
         Detector("t14_one_of_most", "translationese", "info", rf"(?:最|極為)[^之。？！?!\n]{{1,20}}?(?<!{alt(PERSON_NOUNS)})之一", "NULL", 0, (r"(?:最|極為)[^之。？！?!\n]{1,20}?之一", f"NOT regexp_matches(f, '{alt(PERSON_NOUNS)}之一$')")),
-        Detector("p19_spaced_acronym", "repetition", "info", rf"(?<![A-Za-z])(?:(?:[A-Z] ){{2,}}[A-Z]|{'|'.join(' '.join(a) for a in TWO_LETTER_ACRONYMS)})(?![A-Za-z]| [A-Z](?![A-Za-z]))", "replace(f, ' ', '')", 0, (r"(?:[A-Z] )+[A-Z]", "NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]') AND (length(f) >= 5 OR replace(f, ' ', '') IN (" + ", ".join(f"'{a}'" for a in TWO_LETTER_ACRONYMS) + "))")),
+        Detector("p19_spaced_acronym", "repetition", "info", rf"(?=[A-Z] [A-Z])(?<![A-Za-z])(?:(?:[A-Z] ){{2,}}[A-Z]|{'|'.join(' '.join(a) for a in TWO_LETTER_ACRONYMS)})(?![A-Za-z]| [A-Z](?![A-Za-z]))", "replace(f, ' ', '')", 0, (r"(?:[A-Z] )+[A-Z]", "NOT regexp_matches(pre, '[A-Za-z]$') AND NOT regexp_matches(post, '^[A-Za-z]') AND (length(f) >= 5 OR replace(f, ' ', '') IN (" + ", ".join(f"'{a}'" for a in TWO_LETTER_ACRONYMS) + "))")),
     ]
 
 
-DETECTORS: tuple[Detector, ...] = (*_punctuation(), *_style())
+#: What a pattern cannot match without.
+_NEEDS = {
+    "p1_comma": (",",), "p2_period": (".",), "p3_exclamation": ("!",), "p3_question": ("?",), "p3_semicolon": (";",), "p4_parenthesis": ("(", ")"), "p5_colon": (":",), "p8_double_curly": ("“", "”"),
+    "p8_single_curly": ("‘", "’"), "p9_range_tilde": ("~",), "p9_range_hyphen": ("-",), "p10_ascii_dots": ("...",), "p10_full_stops": ("。。。",), "p10_single_ellipsis": ("…",),
+    "r1_a_not_a_ma": ("嗎",), "r2_and_clauses": ("和",), "r3_bare_adjective": ("是",), "r4_redundant_preposition": tuple(v for v, _ in REDUNDANT_PREPOSITIONS), "r5_light_verb": ("進行", "加以", "予以"),
+    "r6_light_action": ("做出", "作出"), "r7_fronted_object": ("進行",), "r8_attribution": ("根據",), "a3_passive": ("被廣泛",), "a4_didactic": ("告訴", "提醒", "啟示"), "a5_exaggeration": ("領先", "超前", "超越"),
+    "a14_negative_parallel": ("不只是", "不僅是", "不僅僅是"), "a15_stock_ending": (*ENDINGS, *(a for a, _ in ENDING_PAIRS), "隨著"), "a19_challenge": ("儘管",), "a20_from_to": ("再到",),
+    "t5_copula_classifier": ("是一",), "t6_de": tuple(a for a, _ in PAIRS_DE), "t8_redundant_de": ADVERBS_DE, "t14_one_of_most": ("之一",),
+}
+DETECTORS: tuple[Detector, ...] = tuple(d._replace(needs=_NEEDS.get(d.code, ())) for d in (*_punctuation(), *_style()))
 BY_CODE = {d.code: d for d in DETECTORS}
 
 
 def found(text: Column, detector: Detector, excluded: Column | None = None) -> Column:
     """One detector's spans, without those that overlap an excluded range."""
-    spans = matches(text, detector.pattern, detector.group)
+    spans = matches(text, detector.pattern, detector.group, detector.needs)
     return spans if excluded is None else outside(spans, excluded)
 
 

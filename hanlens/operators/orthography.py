@@ -17,7 +17,7 @@ REDUPLICATIONS = frozenset((
     "赫赫", "蒸蒸", "岌岌", "喋喋", "耿耿", "落落", "諄諄", "鼎鼎", "惴惴", "孜孜", "矇矇",
 ))
 _NARROW = re.compile("[一-鿿]+")
-_TWICE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9]{3,})(?:[ \t]+|[ \t]*\r?\n[ \t]*)(?=[A-Za-z0-9])", re.ASCII)
+_TWICE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9]{3,})(?:[ \t]+|[ \t]*\r?\n[ \t]*)(\1)(?![A-Za-z0-9])", re.ASCII | re.IGNORECASE)
 _BREAK = re.compile(r"\n\n|\r\n\r\n")
 _MARKS = re.compile(r"([、-〃〈-】〔-〛！（），．：；？—…])\1+")
 _JOINTS = re.compile(f"(?<=[{IDEOGRAPH}])(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])(?=[{IDEOGRAPH}])")
@@ -92,13 +92,11 @@ def latin_repetitions(doc: Doc) -> Iterator[Issue]:
     """A Latin word of three letters or more said twice, in any case."""
     text, k = doc.text, 0
     while m := _TWICE.search(text, k):
-        e = m.end() + len(m[1])
-        if text[m.end() : e].lower() == m[1].lower() and not text[e : e + 1].isalnum():
-            if not doc.hidden(m.start(), e):
-                yield Issue("p18_latin_repetition", "repetition", "info", m.start(), e, (m[1],))
-            k = e
-        else:
-            k = m.end()
+        k = m.end()
+        if text[k : k + 1].isalnum():  # a letter of another script goes on
+            k = m.start(2)
+        elif not doc.hidden(*m.span()):
+            yield Issue("p18_latin_repetition", "repetition", "info", *m.span(), (m[1],))
 
 
 def paired(doc: Doc, issues: list[Issue]) -> list[Issue]:
