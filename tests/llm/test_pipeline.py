@@ -1,7 +1,5 @@
 """The pipeline, stage by stage and as a whole."""
 
-import collections
-
 import pytest
 from test_operators import brute_mix
 from test_simhash import brute_components, brute_fingerprint
