@@ -14,7 +14,6 @@ CONTEXT = IDEOGRAPH + r"\x{3001}-\x{303F}\x{FF01}-\x{FF60}\x{FF61}-\x{FF65}\x{FE
 NARROW = r"\x{4E00}-\x{9FFF}"
 FULL_PUNCTUATION = r"\x{3001}-\x{3003}\x{3008}-\x{3011}\x{3014}-\x{301B}\x{FF01}\x{FF08}\x{FF09}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{2014}\x{2026}"
 FULL_DIGITS, DIGITS = "０１２３４５６７８９", "0123456789"
-SENTENCE_END = "。？！?!\n"
 CLAUSE_END = "，。；,\n"
 ZERO_WIDTH = r"\x{200B}\x{200C}\x{200D}\x{FEFF}\x{200E}\x{200F}"
 
@@ -35,26 +34,6 @@ def script(text: Column, simplified: str, traditional: str) -> Column:
     return F.when(s > t, "simplified").when(t > s, "traditional").otherwise("unknown")
 
 
-def byte_offset(text: Column, chars: Column) -> Column:
-    """UTF-8 byte offset of a code-point offset."""
-    return F.octet_length(F.substring(text, F.lit(1), chars)).cast("int")
-
-
-def prefix(text: Column, offset: Column) -> Column:
-    """The text before a byte offset."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), offset), "UTF-8")
-
-
-def window(text: Column, start: Column, end: Column, chars: int) -> Column:
-    """``chars`` characters on both sides of the code points [start, end)."""
-    low = F.greatest(start - chars, F.lit(0))
-    return F.substring(text, low + 1, end - low + chars)
-
-
-def clauses(text: Column) -> Column:
-    return F.split(text, f"[{CLAUSE_END}]", -1)
-
-
 def effective_suggestions(to: Column, english: Column) -> Column:
     """Non-empty suggestions; ``[""]`` alone means delete; else the English gloss."""
     some = F.filter(to, lambda x: x != "")
@@ -105,8 +84,3 @@ def content_words(english: Column) -> Column:
     """Distinct lower-case ASCII words without stop words."""
     words = F.filter(F.split(F.lower(english), "[^a-z0-9]+"), lambda x: x != "")
     return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
-
-
-def has_gloss_after(text: Column, end: Column) -> Column:
-    """Whether a parenthesis with Latin letters follows after at most two blanks."""
-    return F.substring(text, end + 1, F.lit(80)).rlike(r"^[ \t]{0,2}[(（][^)）]*[A-Za-z][^)）]*[)）]")

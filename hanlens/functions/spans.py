@@ -77,13 +77,3 @@ def excluded(start: Column, end: Column, spans: Column) -> Column:
 def outside(found: Column, spans: Column) -> Column:
     """The matches that overlap no excluded range."""
     return F.filter(found, lambda s: ~excluded(s["start"], s["start"] + s["length"], spans))
-
-
-def remap(spans: Column, edits: Column) -> Column:
-    """Ranges after edits ``array<struct<start, old, new>>`` (sorted, outside the ranges)."""
-    return F.transform(spans, lambda r: F.struct((r["start"] + shift(r["start"], edits)).alias("start"), (r["end"] + shift(r["start"], edits)).alias("end")))
-
-
-def shift(offset: Column, edits: Column) -> Column:
-    """What edits that end at or before ``offset`` add to it."""
-    return F.aggregate(edits, F.lit(0), lambda a, e: a + F.when(e["start"] + e["old"] <= offset, e["new"] - e["old"]).otherwise(0))

@@ -21,7 +21,6 @@ from ..functions.spans import matches, outside
 
 Z = r"[。？！?!\n]"
 N = r"[^。？！?!\n]"
-K = r"[^，。；,\n]"
 
 # Word lists of the rules.
 VERB_SUFFIXES = "了過著來去完好到"

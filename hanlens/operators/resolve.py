@@ -101,10 +101,3 @@ def placed(issues: DataFrame) -> DataFrame:
 def matched_rules(issues: DataFrame) -> DataFrame:
     """Distinct dictionary rules behind a document's issues (O3)."""
     return issues.groupBy("doc_id").agg(F.count_distinct("rule_id").alias("rules_matched"))
-
-
-def without_rewritten(issues: DataFrame, written: DataFrame) -> DataFrame:
-    """Rescan issues that touch no span the fixer wrote (doc_id, start, end); a deletion's span is empty."""
-    start, end = issues["offset"], issues["offset"] + issues["length"]
-    touch = F.when(written["start"] == written["end"], (start <= written["start"]) & (end > written["start"])).otherwise((start < written["end"]) & (end > written["start"]))
-    return issues.join(written, (issues["doc_id"] == written["doc_id"]) & touch, "left_anti")

@@ -49,11 +49,15 @@ class Profile(NamedTuple):
 
 
 BASE = Profile()
-#: ``strict`` adds variant forms; ``relaxed`` drops colon, 、 and grammar rules and writes ranges with an en dash; ``ai`` looks for machine-written text.
-PROFILES = {
-    "base": BASE, "strict": BASE._replace(variants=True), "relaxed": BASE._replace(grammar=False, colon=False, dunhao=False, en_dash=True),
-    "ai": BASE._replace(ai_words=True, ai_density=True, ai_structure=True),
-}
+
+
+def ai_profile(level: str = "medium", base: Profile = BASE) -> Profile:
+    """``base`` that also looks for machine-written text, more or less strictly."""
+    return base._replace(ai_words=True, ai_density=True, ai_structure=True, multiplier=scores.MULTIPLIERS[level])
+
+
+#: ``strict`` adds variant forms; ``relaxed`` drops colon, 、 and grammar rules and writes ranges with an en dash.
+PROFILES = {"base": BASE, "strict": BASE._replace(variants=True), "relaxed": BASE._replace(grammar=False, colon=False, dunhao=False, en_dash=True), "ai": ai_profile()}
 
 _AI_WORDS = ("a3_passive", "a4_didactic", "a5_exaggeration")
 

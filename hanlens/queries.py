@@ -327,6 +327,12 @@ def grouped_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.grouped(detectors.issues(short(spark, sf_dir), (detectors.BY_CODE["p1_comma"],)))
 
 
+@query(f"""WITH i AS (SELECT * FROM ({detectors.oracle(detectors.BY_CODE['p12_space_after'], LONG)}) UNION ALL SELECT * FROM ({detectors.oracle(detectors.BY_CODE['p14_full_digit'], LONG)})) SELECT doc_id, found, issue_type, severity, CASE WHEN suggestion = '' THEN '(delete)' ELSE coalesce(suggestion, '') END AS suggestion, count(*) AS n FROM i GROUP BY ALL""")
+def compact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal issues with their shortened suggestion (K6)."""
+    return report.as_compact(detectors.issues(long(spark, sf_dir), (detectors.BY_CODE["p12_space_after"], detectors.BY_CODE["p14_full_digit"])))
+
+
 @query(f"WITH i AS ({detectors.oracle(detectors.BY_CODE['r5_light_verb'], SHORT)}) SELECT doc_id, CAST(\"offset\" AS VARCHAR) || chr(9) || 'I' || chr(9) || issue_type || chr(9) || found || chr(9) || suggestion AS line FROM i")
 def tabular_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_tabular(detectors.issues(short(spark, sf_dir), (detectors.BY_CODE["r5_light_verb"],)))
@@ -373,9 +379,6 @@ def detect_p15_quote_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.detected(short(spark, sf_dir), _curly)
 
 
-_JOINT = f"(regexp_matches(a, '[{chars.IDEOGRAPH}]') AND regexp_matches(b, '[A-Za-z0-9]')) OR (regexp_matches(a, '[A-Za-z0-9]') AND regexp_matches(b, '[{chars.IDEOGRAPH}]'))"
-
-
 @query(f"""WITH c AS (SELECT doc_id, t, unnest(list_filter(range(1, length(t)), lambda i: regexp_matches(substr(t, i, 2), '[{chars.IDEOGRAPH}][A-Za-z0-9]|[A-Za-z0-9][{chars.IDEOGRAPH}]'))) AS i FROM ({SHORT}) WHERE regexp_matches(t, '[{chars.IDEOGRAPH}]'))
 {_ROWS.format(code='p11_spacing', kind='punctuation', severity='info', b='strlen(left(t, i))', f="''", suggestion="' '")} FROM c""")
 def detect_p11_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:

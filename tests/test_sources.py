@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from hanlens.operators import dictionary
 from hanlens.plans import report
-from hanlens.plans.scan import exploded, scan, scanned
+from hanlens.plans.scan import exploded, fixed, scan, scanned
 from hanlens.rules import Rule
 from hanlens.sources import files, rpc
 from hanlens.streaming.files import scan_stream, stream_documents
@@ -70,6 +70,8 @@ def test_scan_and_sinks(spark, tmp_path):
         out = str(tmp_path / "out")
         files.write_lines(lines, out)
         assert spark.read.text(out).count() == 3
+    files.write_fixed(fixed(d).select("doc_id", "fixed_text"), str(tmp_path / "fixed"))
+    assert any("軟體" in r.fixed_text for r in spark.read.parquet(str(tmp_path / "fixed")).collect())
     assert report.search_replace(issues).where(F.contains("block", F.lit("軟體"))).count() == 1
 
 
