@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import or_
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,47 +12,40 @@ from pyspark.sql import functions as F
 STRETCH = 64
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def let(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` for a value that is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def matches(text: Column, pattern: str, group: int = 0, needs: Iterable[str] = ()) -> Column:
-    """``array<struct<start, length, found>>`` of a pattern's matches (none may be empty).
+NO_SPANS = "cast(array() as array<struct<start:int,length:int,found:string>>)"
+
+
+def matches_sql(text: str, pattern: str, group: int = 0, needs: Iterable[str] = ()) -> str:
+    """SQL of ``array<struct<start, length, found>>``, a pattern's matches in the SQL expression ``text`` (none may be empty).
 
     With ``group`` the match's text is that of the group, which must start the match.
     Offsets are running sums in two levels, so the work grows with the hits.  A
-    text that holds none of ``needs`` is not searched at all.
+    text that holds none of ``needs`` is not searched at all.  SQL, because a
+    plan of many detectors is then parsed in the JVM and not built call by call.
     """
-    none = F.expr("cast(array() as array<struct<start:int,length:int,found:string>>)")
-
-    def sized(hits: Column) -> Column:
-        found = hits if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-        lengths = F.zip_with(gaps, hits, lambda g, h: F.struct(F.octet_length(g).alias("gap"), F.octet_length(h).alias("all")))
-        return F.zip_with(lengths, found, lambda n, f: F.struct(n["gap"].alias("gap"), n["all"].alias("all"), f.alias("found")))
-
-    def placed(stretch: Column, begin: Column) -> Column:
-        start = F.struct(begin.alias("at"), none.alias("out"))
-        step = lambda a, r: F.struct((a["at"] + r["gap"] + r["all"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + r["gap"]).alias("start"), F.octet_length(r["found"]).alias("length"), r["found"].alias("found"))).alias("out"))
-        return F.aggregate(stretch, start, step, lambda a: a["out"])
-
-    def summed(stretches: Column) -> Column:
-        sums = F.transform(stretches, lambda s: F.aggregate(s, F.lit(0), lambda a, r: a + r["gap"] + r["all"]))
-        begins = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))
-        return F.flatten(F.zip_with(stretches, F.slice(begins, 1, F.size(stretches)), placed))
-
-    def cut(rows: Column) -> Column:
-        last = F.floor((F.size(rows) - 1) / STRETCH).cast("int")
-        return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(rows, k * STRETCH + 1, F.lit(STRETCH))), summed)
-
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    able = reduce(or_, (F.contains(text, F.lit(n)) for n in needs)) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(able, let(hits, lambda h: let(sized(h), cut))).otherwise(none)
-
-
-def ranges(spans: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end")))
+    p = f"r'{pattern}'"
+    if "'" in pattern:
+        raise ValueError("a pattern must not hold a quote")
+    found = "h" if not group else f"regexp_extract_all({text}, {p}, {group})"
+    sized = f"""zip_with(zip_with(slice(split({text}, {p}, -1), 1, size(h)), h, (g, w) -> named_struct('gap', octet_length(g), 'size', octet_length(w))), {found}, (n, f) -> named_struct('gap', n.gap, 'size', n.size, 'found', f))"""
+    cut = f"transform(sequence(0, cast(floor((size(r) - 1) / {STRETCH}) as int)), k -> slice(r, k * {STRETCH} + 1, {STRETCH}))"
+    begins = "aggregate(transform(c, t -> aggregate(t, 0, (a, x) -> a + x.gap + x.size)), array(0), (a, n) -> array_append(a, element_at(a, -1) + n))"
+    step = "named_struct('at', a.at + x.gap + x.size, 'out', array_append(a.out, named_struct('start', a.at + x.gap, 'length', octet_length(x.found), 'found', x.found)))"
+    placed = f"aggregate(t, named_struct('at', b, 'out', {NO_SPANS}), (a, x) -> {step}, a -> a.out)"
+    summed = f"flatten(zip_with(c, slice({begins}, 1, size(c)), (t, b) -> {placed}))"
+    able = " OR ".join(f"contains({text}, '{n}')" for n in needs)
+    able = f"({able}) AND regexp({text}, {p})" if needs else f"regexp({text}, {p})"
+    return f"CASE WHEN {able} THEN {let(f'regexp_extract_all({text}, {p}, 0)', 'h', let(sized, 'r', let(cut, 'c', summed)))} ELSE {NO_SPANS} END"
+
+
+def matches(text: str, pattern: str, group: int = 0, needs: Iterable[str] = ()) -> Column:
+    """``matches_sql`` as a column."""
+    return F.expr(matches_sql(text, pattern, group, needs))
 
 
 def union(spans: Column) -> Column:
@@ -67,13 +58,3 @@ def union(spans: Column) -> Column:
         return F.when(F.size(acc) == 0, F.array(r)).when(r["start"] <= last["end"], merged).otherwise(F.array_append(acc, r))
 
     return F.aggregate(F.array_sort(spans), empty, add)
-
-
-def excluded(start: Column, end: Column, spans: Column) -> Column:
-    """Whether the non-empty range [start, end) overlaps one of ``spans``."""
-    return (start < end) & F.exists(spans, lambda r: (start < r["end"]) & (end > r["start"]))
-
-
-def outside(found: Column, spans: Column) -> Column:
-    """The matches that overlap no excluded range."""
-    return F.filter(found, lambda s: ~excluded(s["start"], s["start"] + s["length"], spans))

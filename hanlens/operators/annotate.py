@@ -19,7 +19,7 @@ def glossary(issues: DataFrame, proper: list[str], banned: list[str], docs: Data
     left = issues.where(~F.col("found").isin(proper)) if proper else issues
     if docs is None or not banned:
         return left.withColumn("glossary_banned", F.lit(False))
-    spans = docs.select("doc_id", F.explode(matches(F.coalesce("text", F.lit("")), alternation(banned))).alias("s")).select("doc_id", "s.*")
+    spans = docs.select("doc_id", F.explode(matches("coalesce(text, '')", alternation(banned))).alias("s")).select("doc_id", "s.*")
     mine = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("banned"))  # a document's own places, no more than its text holds
     covered = F.exists("banned", lambda b: (F.col("offset") <= b["start"]) & (F.col("offset") + F.col("length") >= b["start"] + b["length"]))
     left = left.join(mine, "doc_id", "left").withColumn("glossary_banned", F.coalesce(covered, F.lit(False))).drop("banned")

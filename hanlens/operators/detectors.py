@@ -8,7 +8,6 @@ look-around: a plain core pattern and a condition on what stands before
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import CONTEXT as C
 from ..functions.chars import FULL_PUNCTUATION as FP
 from ..functions.chars import IDEOGRAPH as I
-from ..functions.spans import matches, outside
+from ..functions.spans import matches_sql
 
 Z = r"[。？！?!\n]"
 N = r"[^。？！?!\n]"
@@ -168,34 +167,32 @@ DETECTORS: tuple[Detector, ...] = tuple(d._replace(needs=_NEEDS.get(d.code, ()))
 BY_CODE = {d.code: d for d in DETECTORS}
 
 
-def found(text: Column, detector: Detector, excluded: Column | None = None) -> Column:
-    """One detector's spans, without those that overlap an excluded range."""
-    spans = matches(text, detector.pattern, detector.group, detector.needs)
-    return spans if excluded is None else outside(spans, excluded)
+def found(text: str, detector: Detector) -> str:
+    """SQL of one detector's spans in the SQL expression ``text``."""
+    return matches_sql(text, detector.pattern, detector.group, detector.needs)
 
 
-def _labelled(d: Detector, code: Column) -> Callable[[Column], Column]:
-    return lambda s: F.struct(code.alias("code"), s["start"].alias("offset"), s["length"].alias("length"), s["found"].alias("f"))
+def hits(text: str, detectors: tuple[Detector, ...]) -> str:
+    """SQL of ``array<struct<code, offset, length, f>>`` of several detectors; ``code`` is a detector's number among them."""
+    each = (f"transform({found(text, d)}, s -> named_struct('code', {k}, 'offset', s.start, 'length', s.length, 'f', s.found))" for k, d in enumerate(detectors))
+    return f"flatten(array({', '.join(each)}))"
 
 
-def hits(text: Column, detectors: tuple[Detector, ...]) -> tuple[Column, str]:
-    """A column ``hits`` and the expression that finishes it: ``array<struct<code, offset, length, suggestion>>`` of several detectors; ``code`` is a detector's number among them."""
-    found_ = [F.transform(found(text, d), _labelled(d, F.lit(k))) for k, d in enumerate(detectors)]
+def suggested(column: str, detectors: tuple[Detector, ...]) -> str:
+    """SQL of ``array<struct<code, offset, length, suggestion>>`` from a column of ``hits``."""
     cases = " ".join(f"WHEN {k} THEN ({d.suggestion})" for k, d in enumerate(detectors))
     suggestion = re.sub(r"\bf\b", "s.f", f"CASE s.code {cases} END")
-    return F.flatten(F.array(*found_)), f"transform(hits, s -> named_struct('code', s.code, 'offset', s.offset, 'length', s.length, 'suggestion', cast({suggestion} AS string)))"
+    return f"transform({column}, s -> named_struct('code', s.code, 'offset', s.offset, 'length', s.length, 'suggestion', cast({suggestion} AS string)))"
 
 
-def issues(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, excluded: str | None = None) -> DataFrame:
+def issues(docs: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """(doc_id, code, issue_type, severity, offset, length, found, suggestion), one row an issue; no shuffle."""
-    skip = None if excluded is None else F.col(excluded)
-    arrays = [F.transform(found(F.col("text"), d, skip), _labelled(d, F.lit(d.code))) for d in detectors]
-    rows = docs.select("doc_id", F.explode(F.flatten(F.array(*arrays))).alias("i")).select("doc_id", "i.*")
+    rows = docs.select("doc_id", F.explode(F.expr(hits("text", detectors))).alias("i")).select("doc_id", "i.*")
 
     def by_code(value: str) -> Column:
-        return F.expr("CASE code " + " ".join(f"WHEN '{d.code}' THEN {value.format(d=d)}" for d in detectors) + " END")
+        return F.expr("CASE code " + " ".join(f"WHEN {k} THEN {value.format(d=d)}" for k, d in enumerate(detectors)) + " END")
 
-    rows = rows.withColumns({"issue_type": by_code("'{d.issue_type}'"), "severity": by_code("'{d.severity}'"), "suggestion": by_code("({d.suggestion})").cast("string")})
+    rows = rows.withColumns({"issue_type": by_code("'{d.issue_type}'"), "severity": by_code("'{d.severity}'"), "suggestion": by_code("({d.suggestion})").cast("string"), "code": by_code("'{d.code}'")})
     return rows.select("doc_id", "code", "issue_type", "severity", "offset", "length", F.col("f").alias("found"), "suggestion")
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.chars import compact_suggestion, escape_tsv
-from ..functions.spans import matches
-from ..operators.detectors import Detector
+from ..operators.detectors import Detector, hits
 from ..operators.resolve import line_columns_of_bytes, severity_order
 
 SHORT_SEVERITY = {"error": "E", "warning": "W", "info": "I"}
@@ -32,19 +31,15 @@ def top_per_axis(issues: DataFrame, most: int = 5) -> DataFrame:
 
 def located(docs: DataFrame, found: tuple[Detector, ...]) -> DataFrame:
     """Issues with their lines and UTF-16 columns, found and placed in a document's own row: one pass over its text."""
-    def hits(d: Detector) -> Column:
-        return F.transform(matches(F.coalesce("text", F.lit("")), d.pattern, d.group), lambda s: F.struct(F.lit(d.code).alias("code"), s["start"].alias("offset")))
-
-    per_doc = docs.select("doc_id", "text").withColumn("hits", F.flatten(F.array(*map(hits, found))))
-    schema = "doc_id long, code string, offset int, line int, col int"
+    per_doc = docs.select("doc_id", "text").withColumn("hits", F.expr(hits("text", found)))
+    schema, codes = "doc_id long, code string, offset int, line int, col int", [d.code for d in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text, hits in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                offsets = [h["offset"] for h in hits]
-                places = zip(*(x.tolist() for x in line_columns_of_bytes(text or "", offsets)), strict=True) if hits else ()
-                rows += [(doc_id, h["code"], h["offset"], line, col) for h, (line, col) in zip(hits, places, strict=True)]
+            for doc_id, text, mine in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                places = zip(*(x.tolist() for x in line_columns_of_bytes(text or "", [h["offset"] for h in mine])), strict=True) if mine else ()
+                rows += [(doc_id, codes[h["code"]], h["offset"], line, col) for h, (line, col) in zip(mine, places, strict=True)]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "code", "offset", "line", "col"])

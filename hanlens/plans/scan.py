@@ -156,11 +156,10 @@ _MARKED = r"[^\x{0}-\x{1FFF}]"
 def _with_hits(d: DataFrame, profile: Profile) -> DataFrame:
     """``d`` with the pattern detectors' hits; a text of plain Latin letters runs the one pattern it can match."""
     found = wanted(profile)
-    hits, finished = detectors.hits(F.col("text"), found)
-    latin = F.filter(detectors.hits(F.col("text"), (detectors.BY_CODE["p19_spaced_acronym"],))[0], lambda h: h["length"] > 0)
     number = next(k for k, x in enumerate(found) if x.code == "p19_spaced_acronym")
-    latin = F.transform(latin, lambda h: h.withField("code", F.lit(number)))
-    return d.withColumn("hits", F.when(F.col("text").rlike(_MARKED), hits).otherwise(latin)).withColumn("hits", F.expr(finished))
+    latin = f"transform({detectors.hits('text', found[number : number + 1])}, s -> named_struct('code', {number}, 'offset', s.offset, 'length', s.length, 'f', s.f))"
+    hits = f"CASE WHEN regexp(text, r'{_MARKED}') THEN {detectors.hits('text', found)} ELSE {latin} END"
+    return d.withColumn("hits", F.expr(hits)).withColumn("hits", F.expr(detectors.suggested("hits", found)))
 
 
 def _rendered(scanner: Scanner, doc: Doc, issues: list[Issue], content_type: str, back: list[int] | None) -> list[dict]:

@@ -239,7 +239,7 @@ _LINKS = r"[a-zA-Z0-9+.\-]*://[^\s「」『』《》]+|@[a-zA-Z0-9_]+"
 e AS (SELECT doc_id, h[i] AS found, strlen(array_to_string(list_transform(range(1, i), lambda j: g[j] || h[j]), '') || g[i]) AS s FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM c))
 SELECT doc_id, CAST(s AS INTEGER) AS "start", CAST(s + strlen(found) AS INTEGER) AS "end", found FROM e""")
 def exclusion_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans.matches(F.col("text"), _LINKS)
+    s = spans.matches("text", _LINKS)
     return short(spark, sf_dir).select("doc_id", F.explode(s).alias("s")).select("doc_id", F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.length")).alias("end"), F.col("s.found").alias("found"))
 
 
