@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 #: Hits summed one by one before their sums are summed: no array grows by single elements beyond this.
@@ -48,13 +49,15 @@ def matches(text: str, pattern: str, group: int = 0, needs: Iterable[str] = ())
     return F.expr(matches_sql(text, pattern, group, needs))
 
 
-def union(spans: Column) -> Column:
-    """Sorted ranges with overlapping and adjacent ones merged."""
-    empty = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+def union(ranges: DataFrame, key: str) -> DataFrame:
+    """(key, start, end): each key's ranges with overlapping and adjacent ones merged, as a stream along one sort.
 
-    def add(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        merged = F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end")))
-        return F.when(F.size(acc) == 0, F.array(r)).when(r["start"] <= last["end"], merged).otherwise(F.array_append(acc, r))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
+    Both windows read the same sort, so that equal ranges stand in the same order in both.  A null start
+    comes last and joins the range before it; ranges without any end so far stay apart.
+    """
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = ranges.select(key, "start", "end", before.alias("_before"))
+    first = F.when(F.isnull("_before") | (F.col("start") > F.col("_before")), 1).otherwise(0)
+    k = F.sum(first).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return met.select(key, "start", "end", k.alias("_k")).groupBy(key, "_k").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_k")

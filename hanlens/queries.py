@@ -248,10 +248,12 @@ m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNB
 g AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT user_id, min(s) AS "start", max(e) AS "end" FROM g GROUP BY user_id, k""")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of overlapping and adjacent ranges, as exclusions are merged, on the event table."""
+    """Union of overlapping and adjacent ranges, as exclusions are merged, on the event table.
+
+    A null start comes last and joins the range before it; where no end is known, each row is a range.
+    """
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.floor("value").cast("int").alias("start"), (F.floor("value") + 1 + F.col("event_id") % 5).cast("int").alias("end"))
-    g = e.groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("all"))
-    return g.select("user_id", F.explode(spans.union(F.col("all"))).alias("r")).select("user_id", "r.start", "r.end")
+    return spans.union(e, "user_id")
 
 
 @query(f"SELECT doc_id, k, para FROM (SELECT doc_id, unnest(range(len(ps))) AS k, unnest(ps) AS para FROM (SELECT doc_id, list_filter(string_split_regex(t, '\\r\\n\\r\\n|\\n\\n'), lambda p: regexp_matches(p, '[^\\s]')) AS ps FROM ({LONG})))".replace("\\\\", "\\"))

@@ -126,3 +126,25 @@ def test_odd_rows(spark):
     d = spark.createDataFrame([(1, None), (None, ""), (3, "字" * 100_000), (3, "內存" * 20_000)], "doc_id long, text string")
     assert scan.scanned(d, "ai").count() == 4 and scan.fixed(d).count() == 4 and scan.converge(d).count() == 4
     assert scan.scan(d.limit(0)).count() == 0
+
+
+def test_interval_union_nulls_and_ties(spark, duck, tmp_path):
+    """Ranges with nulls against the SQL; a table of equal rows against brute force, since the SQL leaves their order open."""
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("""CREATE TABLE events AS SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 10.5::DOUBLE), (2, 1, NULL), (NULL, 1, 3.0), (3, NULL, 3.0), (4, NULL, 3.0), (5, 2, NULL), (6, 2, NULL),
+        (NULL, 3, 3.0), (NULL, 3, 4.0), (-7, 4, -3.5), (-9, 4, -2.5), (-4, 4, -0.0), (NULL, 5, 3.0), (1, 5, 4.0), (1, 5, NULL), (NULL, 6, 3.0), (1, 6, 3.0)) t (event_id, user_id, value)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = queries.interval_union(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(queries.ORACLE_SQL["interval_union"]).fetchall()))
+    con.execute(f"COPY (SELECT k * 10 + h % 3 AS event_id, h % 7 AS user_id, CAST(h % 400 AS DOUBLE) AS value FROM (SELECT i % 100 AS k, (i // 100) * 7919 AS h FROM range(20000) t (i))) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = {}
+    for u, s, e in sorted(con.execute(f"SELECT DISTINCT user_id, CAST(value AS INTEGER) AS s, CAST(value AS INTEGER) + 1 + event_id % 5 AS e FROM '{tmp_path}/events.parquet'").fetchall()):
+        own = want.setdefault(u, [])
+        if own and s <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], e)
+        else:
+            own.append([s, e])
+    got = queries.interval_union(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((u, s, e) for u, own in want.items() for s, e in own)
+    assert queries.interval_union(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
