@@ -13,12 +13,14 @@ the known words and the unseen events, and the score is the exact likelihood of
 the symbols, by the scaled forward recursion, plus the logarithms of the shares.
 
 *Training.*  Baum-Welch: each task folds its texts into expected transition and
-emission counts, which are summed over the cluster.  The first iterations, which
-break the symmetry of the start, read one text in ``START_EVERY``, chosen by the
-hash of its symbols (all of a small corpus), so they grow with it; the counts
-that make the model come from all training texts, pass after pass until a token
-gains less than ``LEAST_GAIN``.  Nothing depends on how the rows are dealt; a text
-over ``PIECE`` tokens is trained, not scored, in pieces of that length.
+emission counts, which are summed over the cluster.  Every iteration reads the
+counts of all training texts, never of some of them.  The first ones, which break
+the symmetry of the start, read them as a table of neighbours: how often a symbol
+follows another (or begins a text), at most ``SYMBOLS ** 2`` pairs whatever the
+corpus, whose likelihood they raise.  Then come passes over the texts themselves,
+until a token gains less than ``LEAST_GAIN``.  Nothing depends on how the rows are
+dealt; a text over ``PIECE`` tokens is passed over, not scored, in pieces of that
+length.
 
 *Size.*  The words with a count above a threshold, at most ``HEAD`` of at most
 ``LONGEST`` bytes each, are broadcast (longer words are known by their SHA-256).
@@ -38,7 +40,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 from typing import NamedTuple
 
@@ -52,15 +54,17 @@ from .common import arrow_schema, batch, held_out, held_out_col, texts, written
 
 STATES, OWN, CLASSES = 8, 4096, 2048
 HEAD, LONGEST = 1 << 17, 64
-#: One text in so many starts the model, but one in fewer while that makes fewer than ``START_TEXTS``.
-START_EVERY, START_TEXTS = 16, 400
-START_ITERATIONS, PASSES, LEAST_GAIN = 12, 8, 0.002
+START_ITERATIONS, PASSES, LEAST_GAIN = 24, 8, 0.002
 STICKY = 0.9
 END = OWN + CLASSES
 SYMBOLS = END + 1
 #: Distinct words a task holds before it hands its counts on; tokens of one recursion.
 COUNTED, TOKENS = 400_000, 500_000
 PIECE = 200_000
+#: Rows in which the sums of an iteration, and the table of neighbours, are dealt.
+SLICE, PARTS = 64, 256
+#: Tokens whose neighbours are counted at once; pairs in one step of their recursion.
+COUNTED_PAIRS, PAIRS = 4_000_000, 1 << 14
 
 
 def word_keys(text: bytes) -> list[bytes]:
@@ -279,41 +283,148 @@ def _packs(sequences: list[np.ndarray]) -> Iterator[list[int]]:
         yield pack
 
 
-def baum_welch(encoded: DataFrame, hmm: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
-    """One iteration over all sequences, and their log10 likelihood before it; tasks send cells, the cluster sums them."""
-    schema, sent = arrow_schema("cell int, n double"), encoded.sparkSession.sparkContext.broadcast(hmm)
+def _summed(rows: DataFrame, hmm: Hmm, counted: Callable[[Hmm, list[pa.Array]], Iterator[tuple[Hmm, float]]]) -> tuple[Hmm, float]:
+    """Expected counts of all rows and their log10 likelihood; tasks send slices of their sums, the cluster adds them."""
+    ddl, sent = "slice int, n binary", rows.sparkSession.sparkContext.broadcast(hmm)
+    schema, cells = arrow_schema(ddl), 1 + STATES + STATES * STATES + STATES * SYMBOLS
+    slices = -(-cells // SLICE)
+
+    def sent_on(sums: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return batch(schema, [pa.array(at, pa.int32()), [sums[k].tobytes() for k in at]])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | None = None
+        total, met = np.zeros(slices * SLICE), False
         for b in batches:
-            seqs = [s[k : k + PIECE] for s in (np.frombuffer(s, np.uint16) for s in b.column(0).to_pylist()) for k in range(0, len(s), PIECE)]
-            for pack in _packs(seqs):
-                c, fit = expected(sent.value, _Laid([seqs[k] for k in pack]))
-                flat = np.concatenate([[-fit], c.start, c.step.ravel(), c.emit.ravel()])
-                total = flat if total is None else total + flat
-        if total is not None:
-            cells = np.flatnonzero(total > 1e-9)
-            yield batch(schema, [pa.array(cells, pa.int32()), pa.array(total[cells])])
+            for c, fit in counted(sent.value, b.columns):
+                total[:cells] += np.concatenate([[fit], c.start, c.step.ravel(), c.emit.ravel()])
+                met = True
+        if met:
+            yield sent_on(total.reshape(slices, SLICE), np.arange(slices))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros((slices, SLICE)), np.zeros(slices, bool)
+        for b in batches:
+            at = b.column(0).to_numpy()
+            np.add.at(total, at, np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(-1, SLICE))
+            met[at] = True
+        yield sent_on(total, np.flatnonzero(met))
+
+    sums, flat = rows.mapInArrow(fold, ddl).repartition("slice").mapInArrow(add, ddl).toArrow(), np.zeros((slices, SLICE))
+    for k, n in zip(sums["slice"].to_pylist(), sums["n"].to_pylist(), strict=True):
+        flat[k] = np.frombuffer(n)
+    fit, *_ = flat = flat.ravel()[:cells]
+    a, b = 1 + STATES, 1 + STATES + STATES * STATES
+    return Hmm(flat[1:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, SYMBOLS)), float(fit)
+
+
+def baum_welch(encoded: DataFrame, hmm: Hmm, prior: np.ndarray) -> tuple[Hmm, float]:
+    """One iteration over all sequences, and their log10 likelihood before it."""
+
+    def counted(hmm: Hmm, columns: list[pa.Array]) -> Iterator[tuple[Hmm, float]]:
+        seqs = [s[k : k + PIECE] for s in (np.frombuffer(s, np.uint16) for s in columns[0].to_pylist()) for k in range(0, len(s), PIECE)]
+        for pack in _packs(seqs):
+            yield expected(hmm, _Laid([seqs[k] for k in pack]))
+
+    counts, fit = _summed(encoded.select("symbols"), hmm, counted)
+    return maximised(counts, prior), fit
+
+
+def neighbours(encoded: DataFrame) -> DataFrame:
+    """(part, pair, n), a row for the symbols ``part, part + PARTS, ...``: how often (``n``, 64 bits each) symbol
+    ``pair % SYMBOLS`` follows ``pair // SYMBOLS`` (32 bits each) in all texts; a text's first follows an end."""
+    ddl = "part int, pair binary, n binary"
+    schema = arrow_schema(ddl)
+    # Symbols by part, so that sorted pairs of a part stand together, and a part holds frequent and rare ones.
+    order = np.argsort(np.arange(SYMBOLS) % PARTS, kind="stable")
+    place = np.argsort(order).astype(np.int32)
+    ends = np.searchsorted(order % PARTS, np.arange(PARTS + 1)) * SYMBOLS
+
+    def counts(laid: list[np.ndarray]) -> pa.RecordBatch:
+        # Texts end with an end, so one after another each first symbol follows an end.
+        x = np.concatenate([[END], *laid]).astype(np.int32)
+        pairs, n = np.unique(place[x[:-1]] * np.int32(SYMBOLS) + x[1:], return_counts=True)
+        at = np.searchsorted(pairs, ends)
+        kept = np.flatnonzero(np.diff(at)).tolist()
+        return batch(schema, [kept, *([v[at[k] : at[k + 1]].astype(np.int32).tobytes() for k in kept] for v in (pairs, n))])
 
-    rows = encoded.select("symbols").mapInArrow(fold, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    flat = np.zeros(1 + STATES + STATES * STATES + STATES * SYMBOLS)
-    flat[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    fit, flat = -flat[0], flat[1:]
-    a, b = STATES, STATES + STATES * STATES
-    return maximised(Hmm(flat[:a], flat[a:b].reshape(STATES, STATES), flat[b:].reshape(STATES, SYMBOLS)), prior), fit
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        laid, held = [], 0
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                laid.append(np.frombuffer(s, np.uint16))
+                held += len(laid[-1])
+                if held > COUNTED_PAIRS:
+                    yield counts(laid)
+                    laid, held = [], 0
+        if laid:
+            yield counts(laid)
+
+    def total(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        cells = np.flatnonzero(sums)
+        pair = order[(cells + ends[part]) // SYMBOLS] * SYMBOLS + cells % SYMBOLS
+        return batch(schema, [[part], [pair.astype(np.int32).tobytes()], [sums[cells].tobytes()]])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, sums = -1, np.zeros(0, np.int64)
+        for b in batches:
+            for p, pair, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    if part >= 0:
+                        yield total(part, sums)
+                    part, sums = p, np.zeros(ends[p + 1] - ends[p], np.int64)
+                sums[np.frombuffer(pair, np.int32) - ends[p]] += np.frombuffer(n, np.int32)
+        if part >= 0:
+            yield total(part, sums)
+
+    return encoded.select("symbols").mapInArrow(count, ddl).repartition("part").sortWithinPartitions("part").mapInArrow(add, ddl)
+
+
+def expected_pairs(hmm: Hmm, left: np.ndarray, blobs: Iterable[tuple[bytes, bytes]]) -> tuple[Hmm, float]:
+    """Expected counts of neighbours, each pair taken alone, and the log10 likelihood of all; ``left``: shares of the states before a symbol."""
+    # A ninth state stands before a text; it alone shows an end on the left.
+    before = np.vstack([hmm.emit, np.zeros(SYMBOLS)])
+    before[:, END] = np.arange(STATES + 1) == STATES
+    joint = np.vstack([left[:, None] * hmm.step, hmm.start])
+    ahead, emit, fit = joint.T @ before, hmm.emit, 0.0
+    by_left, by_right = np.zeros((STATES, SYMBOLS)), np.zeros((STATES, SYMBOLS))
+    pieces = ((np.frombuffer(p, np.int32)[k : k + PAIRS], np.frombuffer(n, np.int64)[k : k + PAIRS]) for p, n in blobs for k in range(0, len(p) // 4, PAIRS))
+    for pair, n in pieces:
+        a, b = np.divmod(pair, SYMBOLS)
+        x, y = [row[a] for row in ahead], [row[b] for row in emit]
+        p = sum(map(np.multiply, x, y))
+        fit += float(n @ np.log10(p))
+        share = n / p
+        for j in range(STATES):
+            by_left[j] += np.bincount(a, share * y[j], SYMBOLS)
+            by_right[j] += np.bincount(b, share * x[j], SYMBOLS)
+    moved = joint * (before @ by_left.T)
+    emits = emit * by_right + (before * (joint @ by_left))[:STATES]
+    # An end is in one pair, every other symbol in two.
+    emits[:, END] *= 2
+    return Hmm(moved[STATES], moved[:STATES], emits), fit
+
+
+def start(encoded: DataFrame, prior: np.ndarray) -> Hmm:
+    """The model of all texts' neighbours, from ``uniform_start``."""
+    hmm, left = uniform_start(prior), np.full(STATES, 1 / STATES)
+    pairs = written(neighbours(encoded).select("pair", "n"), "lm-pairs")
+    for _ in range(START_ITERATIONS):
+
+        def counted(hmm: Hmm, columns: list[pa.Array], left: np.ndarray = left) -> Iterator[tuple[Hmm, float]]:
+            yield expected_pairs(hmm, left, zip(*(c.to_pylist() for c in columns), strict=True))
+
+        counts, _ = _summed(pairs, hmm, counted)
+        hmm, left = maximised(counts, prior), counts.step.sum(axis=1) + 1
+        left /= left.sum()
+    return hmm
 
 
 def train(encoded: DataFrame, prior: np.ndarray) -> Hmm:
     """``encoded``: the training texts' symbols."""
-    hmm = uniform_start(prior)
     count, size = encoded.agg(F.count("*"), F.sum(F.length("symbols"))).first()
     if not count:
-        return hmm
-    every = min(START_EVERY, max(1, count // START_TEXTS))
-    first = written(encoded.where(F.pmod(F.xxhash64("symbols"), F.lit(every)) == 0).select("symbols"), "lm-start")
-    for _ in range(START_ITERATIONS):
-        hmm = baum_welch(first, hmm, prior)[0]
-    before = -np.inf
+        return uniform_start(prior)
+    hmm, before = start(encoded, prior), -np.inf
     for _ in range(PASSES):
         hmm, fit = baum_welch(encoded, hmm, prior)
         if fit - before < LEAST_GAIN * size / 2:

@@ -1,6 +1,7 @@
 """Every operator on small fixtures: brute force, edge rows, empty tables, clashing columns."""
 
 import collections
+import itertools
 import glob
 import hashlib
 import math
@@ -351,6 +352,55 @@ def test_baum_welch_raises_the_likelihood():
         hmm = language_model.maximised(language_model.expected(hmm, laid)[0], prior)
 
 
+def coded(spark, seqs):
+    return spark.createDataFrame([(bytearray(s.tobytes()),) for s in seqs], "symbols binary")
+
+
+def test_every_iteration_reads_all_training_texts(spark, monkeypatch):
+    rng, end = np.random.default_rng(9), language_model.END
+    seqs = [np.append(rng.integers(0, 40, k % 7), end).astype(np.uint16) for k in range(1000)]
+    texts, prior, read = coded(spark, seqs).cache(), np.ones(language_model.SYMBOLS) / language_model.SYMBOLS, []
+    one = language_model.baum_welch
+    monkeypatch.setattr(language_model, "baum_welch", lambda e, h, p: read.append(e.count()) or one(e, h, p))
+    language_model.train(texts, prior)
+    assert read and set(read) == {len(seqs)}
+    want = collections.Counter((a, b) for s in seqs for a, b in itertools.pairwise([end, *s.tolist()]))
+    for frame, tokens in ((texts.repartition(3), language_model.COUNTED_PAIRS), (texts, 50)):
+        monkeypatch.setattr(language_model, "COUNTED_PAIRS", tokens)
+        got = [x for r in language_model.neighbours(frame).collect() for x in zip(np.frombuffer(r.pair, np.int32).tolist(), np.frombuffer(r.n, np.int64).tolist(), strict=True)]
+        assert len(got) == len(want) and {divmod(p, language_model.SYMBOLS): n for p, n in got} == want
+    sizes, summed = [], language_model._summed
+    monkeypatch.setattr(language_model, "_summed", lambda d, h, f: sizes.append(sum(int(np.frombuffer(r.n, np.int64).sum()) for r in d.collect())) or summed(d, h, f))
+    language_model.start(texts, prior)
+    assert sizes == [sum(map(len, seqs))] * language_model.START_ITERATIONS
+
+
+def test_expected_pairs_is_exact():
+    rng, end, states = np.random.default_rng(10), language_model.END, range(language_model.STATES)
+    hmm = language_model.uniform_start(np.ones(language_model.SYMBOLS) / language_model.SYMBOLS)
+    hmm = hmm._replace(start=rng.dirichlet(np.ones(language_model.STATES)))
+    left = rng.dirichlet(np.ones(language_model.STATES))
+    pairs = {(end, 5): 3, (end, end): 2, (5, 6): 7, (6, 5): 1, (5, end): 4}
+    emit, step, begin, fit = np.zeros_like(hmm.emit), np.zeros_like(hmm.step), np.zeros_like(hmm.start), 0.0
+    for (a, b), n in pairs.items():
+        if a == end:
+            p = hmm.start * hmm.emit[:, b]
+            begin += n * p / p.sum()
+            emit[:, b] += n * p / p.sum()
+        else:
+            p = np.array([[left[i] * hmm.emit[i, a] * hmm.step[i, j] * hmm.emit[j, b] for j in states] for i in states])
+            step += n * p / p.sum()
+            emit[:, a] += n * p.sum(axis=1) / p.sum()
+            emit[:, b] += n * p.sum(axis=0) / p.sum()
+        fit += n * math.log10(p.sum())
+    emit[:, end] *= 2
+    cells, n = np.array([a * language_model.SYMBOLS + b for a, b in pairs], np.int32), np.array(list(pairs.values()))
+    got, likelihood = language_model.expected_pairs(hmm, left, [(cells[:2].tobytes(), n[:2].tobytes()), (cells[2:].tobytes(), n[2:].tobytes())])
+    assert likelihood == pytest.approx(fit)
+    for x, y in zip(got, (begin, step, emit), strict=True):
+        assert np.allclose(x, y, rtol=1e-9, atol=1e-15)
+
+
 def test_sentencepiece_round_trip(edge):
     import sentencepiece
 
